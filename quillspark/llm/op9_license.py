@@ -148,12 +148,22 @@ class Index:
                 out.append((begin, end, template, matched))
             elif matched > out[-1][3]:
                 out[-1] = (begin, end, template, matched)
+        out = [x for x in out if not any(_within(x, y, self.words) for y in out)]
         return [
             (self.names[t], m / len(self.words[t]), m, len(self.words[t]), spans[b][0], spans[e - 1][1])
             for b, e, t, m in sorted(out)
         ]
 
 
+def _within(x: tuple[int, int, int, int], y: tuple[int, int, int, int], words: list[np.ndarray]) -> bool:
+    """Whether the span of match x lies in that of y, of another template, and y has more
+    matched words, or as many and covers more of its template."""
+    if x[2] == y[2] or not y[0] <= x[0] < x[1] <= y[1]:
+        return False
+    rank = lambda m: (m[3], m[3] / len(words[m[2]]), -m[2])
+    return rank(y) > rank(x)
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
     """Spans in the text of the words of its lower-case form, where lowering changes lengths."""
     owner = [i for i, c in enumerate(text) for _ in c.lower()]
@@ -165,8 +175,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, text: str
     ``template_words``, ``start_char``, ``end_char`` (exclusive).
 
     Null, empty and short texts match nothing; templates under three words are not found;
-    overlapping matches of one template give the fullest, the first of equals; different
-    templates may overlap; repeated rows repeat their matches. Other columns are not read.
+    overlapping matches of one template give the fullest, the first of equals; a match
+    within the span of another template's fuller match is left out; repeated rows repeat their matches. Other columns are not read.
     """
     base = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     given = dict(TEMPLATES if templates is None else templates)
