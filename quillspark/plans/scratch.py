@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,15 @@ class Scratch:
             if path:
                 remove_path(self.spark, path)
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of tables that have been written. Its cleaner
+        follows the driver's garbage collector, which else runs every half hour; what the
+        first collection finds is deleted in the background by the second."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+
     def clear(self) -> None:
         remove_path(self.spark, self.base)
         _LIVE.pop(self.base, None)
