@@ -29,35 +29,50 @@ def _sizes(size: tuple[int, int]) -> range:
     return range(low, high + 1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. What a lambda refers to from outside is else
+    computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(items: Column, n: int, joiner: str) -> Column:
+    """Each ``n`` neighbours of an array of strings, joined."""
+    empty = F.array().cast("array<string>")
+    joined = lambda i: F.concat_ws(joiner, *[F.get(items, i + k) for k in range(n)])
+    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), joined)).otherwise(empty)
+
+
+def _all_windows(items: Column, size: tuple[int, int], joiner: str) -> Column:
+    sizes = _sizes(size)
+    return _let(items, lambda x: F.concat(*[_windows(x, n, joiner) for n in sizes]))
+
+
 def ngrams(words: Column, size: tuple[int, int]) -> Column:
     """Word n-grams of all sizes, joined by a space; shorter sizes first."""
-    grams = [
-        words if n == 1 else F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in _sizes(size)
-    ]
-    return F.concat(*grams)
+    return words if size == (1, 1) else _all_windows(words, size, " ")
+
+
+def _characters(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
 
 
 def char_ngrams(text: Column, size: tuple[int, int]) -> Column:
     """Character n-grams of the lower-case text with runs of white space as one space."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s\s+", " ")
-    return F.concat(*[_chars(t, n) for n in _sizes(size)])
-
-
-def _chars(t: Column, n: int) -> Column:
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _all_windows(_characters(t), size, "")
 
 
 def char_wb_ngrams(text: Column, size: tuple[int, int]) -> Column:
     """Character n-grams within words padded by one space on each side. A padded word that is
     no longer than n is emitted whole, at the first such n only."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    low = size[0]
+    low, sizes = size[0], _sizes(size)
+    empty = F.array().cast("array<string>")
 
     def of_word(word: Column) -> Column:
-        w = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [F.when(F.length(w) >= n, _chars(w, n)).otherwise(F.array(w) if n == low else F.array().cast("array<string>")) for n in _sizes(size)]
-        return F.concat(*parts)
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        part = lambda x, n: F.when(F.size(x) >= n, _windows(x, n, "")).otherwise(F.array(F.array_join(x, "")) if n == low else empty)
+        return _let(_characters(padded), lambda x: F.concat(*[part(x, n) for n in sizes]))
 
     return F.flatten(F.transform(words, of_word))
 
@@ -99,4 +114,4 @@ def decode_utf8(raw: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """Text of mark-up by pattern only: tags become spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<script\b.*?</script>|<style\b.*?</style>", " "), r"<[^>]*>", " "))

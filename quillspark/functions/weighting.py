@@ -9,18 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DOC = Window.partitionBy("doc_id")
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
 
 TF: dict[str, Callable[[Column], Column]] = {
     "n": lambda tf: tf.cast("double"),
     "l": lambda tf: 1 + F.ln(tf),
     "d": lambda tf: 1 + F.ln(1 + F.ln(tf)),
-    "a": lambda tf: 0.5 + 0.5 * tf / F.max(tf).over(DOC),
+    "a": lambda tf: 0.5 + 0.5 * tf / F.max(tf).over(_doc()),
     "b": lambda tf: F.lit(1.0),
-    "L": lambda tf: (1 + F.ln(tf)) / (1 + F.ln(F.avg(tf).over(DOC))),
+    "L": lambda tf: (1 + F.ln(tf)) / (1 + F.ln(F.avg(tf).over(_doc()))),
 }
 IDF: dict[str, Callable[[Column, Column], Column]] = {
     "n": lambda df, n: F.lit(1.0),
@@ -30,9 +33,9 @@ IDF: dict[str, Callable[[Column, Column], Column]] = {
     "d": lambda df, n: F.ln((n + 1 - df) / (df + 1)),
 }
 NORM: dict[str, Callable[[Column], Column]] = {
-    "c": lambda w: F.sqrt(F.sum(w * w).over(DOC)),
-    "l": lambda w: F.sum(F.abs(w)).over(DOC),
-    "u": lambda w: F.count(F.lit(1)).over(DOC).cast("double"),
+    "c": lambda w: F.sqrt(F.sum(w * w).over(_doc())),
+    "l": lambda w: F.sum(F.abs(w)).over(_doc()),
+    "u": lambda w: F.count(F.lit(1)).over(_doc()).cast("double"),
 }
 
 

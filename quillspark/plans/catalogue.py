@@ -1,13 +1,656 @@
-"""All queries of the document operators over the driver's tables, with their SQL."""
+"""All queries of the document operators over the driver's tables, with their SQL.
+
+Each query applies an operator to whole tables; the SQL states the same in one text for a
+second engine. Floats are rounded to six digits on both sides. Operators that SQL cannot
+state (decompositions, fitted models, stemming) have no SQL here and are tested against
+brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import similarity as sim
+from quillspark.functions import text as tx
+from quillspark.functions import weighting as wt
+from quillspark.functions.stopwords import ENGLISH
+from quillspark.operators import categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads
+from quillspark.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "search_text"
+WORDS = features.FeatureParams()
+VECTOR_TERMS = features.FeatureParams(min_df=2, max_df=0.5, n_features=2000, weighting="ltc")
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("category"))
+
+
+def _rounded(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Parts that the SQL texts share
+
+TOKENS = f"tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS term FROM documents)"
+TF = f"{TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term)"
+DF = f"{TF}, df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n FROM documents)"
+VECTORS = "v AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS vec, label::VARCHAR AS category FROM embeddings)"
+
+
+# Features
+
+
+@query(f"WITH {TF} SELECT doc_id, term, tf FROM tf")
+def term_frequencies(spark, d):
+    return features.term_frequencies(_docs(spark, d))
+
+
+@query(f"WITH {DF} SELECT term, df, cf FROM df")
+def document_frequencies(spark, d):
+    return features.document_frequencies(features.term_frequencies(_docs(spark, d)))
+
+
+@query(f"WITH {TF} SELECT doc_id, sum(tf)::BIGINT AS length, count(*) AS n_unique, max(tf) AS max_tf, round(avg(tf), 6) AS mean_tf FROM tf GROUP BY doc_id")
+def document_statistics(spark, d):
+    tf = features.term_frequencies(_docs(spark, d))
+    return tf.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count("*").alias("n_unique"), F.max("tf").alias("max_tf"), F.round(F.avg("tf"), 6).alias("mean_tf"))
+
+
+@query(f"WITH {DF} SELECT term, df, cf FROM df, n WHERE df >= 5 AND df <= 0.5 * n")
+def vocabulary_by_frequency(spark, d):
+    docs = _docs(spark, d)
+    return features.vocabulary(features.document_frequencies(features.term_frequencies(docs)), docs.count(), 5, 0.5)
+
+
+@query(f"WITH {DF} SELECT term, df, cf FROM df ORDER BY cf DESC, term LIMIT 500")
+def vocabulary_top(spark, d):
+    docs = _docs(spark, d)
+    return features.vocabulary(features.document_frequencies(features.term_frequencies(docs)), docs.count(), n_features=500)
+
+
+@query(f"WITH {DF} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM df")
+def vocabulary_index(spark, d):
+    return features.indexed(features.document_frequencies(features.term_frequencies(_docs(spark, d)))).select("term", "idx")
+
+
+_STOP = ", ".join(f"'{w}'" for w in ENGLISH)
+
+
+@query(
+    f"WITH {TOKENS}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '{tx.TOKEN}') AS all_words FROM documents),"
+    f" k AS (SELECT doc_id, list_filter(all_words, lambda x: x NOT IN ({_STOP})) AS words FROM w),"
+    " g AS (SELECT unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS term FROM k)"
+    " SELECT term, count(*) AS n FROM g GROUP BY term"
+)
+def word_bigrams(spark, d):
+    params = features.FeatureParams(ngram_range=(2, 2), stop_words="english")
+    return features.document_terms(_docs(spark, d), params).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH t AS (SELECT regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS t FROM documents),"
+    " g AS (SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS term FROM t)"
+    " SELECT term, count(*) AS n FROM g GROUP BY term"
+)
+def char_trigrams(spark, d):
+    params = features.FeatureParams(analyzer="char", ngram_range=(3, 3))
+    return features.document_terms(_docs(spark, d), params).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents), p AS (SELECT ' ' || w || ' ' AS w FROM w WHERE w <> ''),"
+    " g AS (SELECT unnest(CASE WHEN length(w) >= 4 THEN list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) ELSE [w] END) AS term FROM p)"
+    " SELECT term, count(*) AS n FROM g GROUP BY term"
+)
+def char_word_ngrams(spark, d):
+    params = features.FeatureParams(analyzer="char_wb", ngram_range=(4, 4))
+    return features.document_terms(_docs(spark, d), params).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query()
+def hashed_frequencies(spark, d):
+    return features.term_frequencies(_docs(spark, d), features.FeatureParams(use_hashing=True, n_features=4096))
+
+
+@query(
+    "WITH m AS (SELECT conv_id, turn, 'From: ' || role || chr(10) || '  Date: today' || chr(10) || 'Subject: s' || chr(10) || text AS text FROM conversations)"
+    " SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(To|From|Date|Cc|Sent):')), chr(10)) AS text FROM m"
+)
+def header_lines_dropped(spark, d):
+    m = table(spark, d, "conversations").withColumn("text", F.concat(F.lit("From: "), "role", F.lit("\n  Date: today\nSubject: s\n"), "text"))
+    return m.select("conv_id", "turn", tx.preprocess(F.col("text"), ("emails_ignore_header",)).alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def decoded_bytes(spark, d):
+    return _docs(spark, d).select("doc_id", tx.decode_utf8(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).alias("text"))
+
+
+@query(
+    "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'g'), ' ') AS text FROM pages"
+)
+def tags_stripped(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
+
+
+# SMART weighting
+
+_TF_SQL = {"n": "tf::DOUBLE", "l": "1 + ln(tf)", "d": "1 + ln(1 + ln(tf))", "a": "0.5 + 0.5 * tf / max(tf) OVER d", "b": "1.0::DOUBLE", "L": "(1 + ln(tf)) / (1 + ln(avg(tf) OVER d))"}
+_IDF_SQL = {"n": "1.0", "t": "ln(n / df) + 1", "s": "ln((n + 1) / (df + 1)) + 1", "p": "CASE WHEN df < n THEN ln((n - df) / df) END", "d": "ln((n + 1 - df) / (df + 1))"}
+_NORM_SQL = {"n": "1.0", "c": "sqrt(sum(w * w) OVER d)", "l": "sum(abs(w)) OVER d", "u": "count(*) OVER d"}
+SCHEMES = ("nnc", "nnn", "ntc", "lsl", "dtu", "asc", "bpc", "Ldl", "lncp", "ltup", "nslp", "Ltcp")
+
+
+def smart_sql(scheme: str, alpha: float = 0.75) -> str:
+    t, i, norm, pivoted = wt.parse_scheme(scheme)
+    by = f"(1 - {alpha}) * (SELECT coalesce(sum(k), 0) / (SELECT n FROM n) FROM (SELECT any_value(norm) AS k FROM m GROUP BY doc_id)) + {alpha} * norm" if pivoted else "norm"
+    return (
+        f"WITH {DF}, raw AS (SELECT doc_id, term, ({_TF_SQL[t]}) * ({_IDF_SQL[i]}) AS w FROM tf JOIN df USING (term), n"
+        f" WHERE {'df < n' if i == 'p' else 'true'} WINDOW d AS (PARTITION BY doc_id)),"
+        f" m AS (SELECT doc_id, term, w, {_NORM_SQL[norm]} AS norm FROM raw WINDOW d AS (PARTITION BY doc_id))"
+        f" SELECT doc_id, term, round(w / (CASE WHEN norm = 0 THEN 1 ELSE {by} END), 6) AS weight FROM m"
+    )
+
+
+def smart(scheme: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = _docs(spark, d)
+        params = features.FeatureParams(weighting=scheme)
+        tf = features.term_frequencies(docs, params)
+        model = features.fit(docs, params, tf=tf)
+        if scheme[1] == "p":  # a term of all documents weighs minus infinity
+            model.vocab = model.vocab.where(F.col("df") < model.n_docs)
+        return model.weigh(tf).select("doc_id", "term", *_rounded("weight"))
+
+    return run
+
+
+for _s in SCHEMES:
+    query(smart_sql(_s), f"smart_{_s}")(smart(_s))
+
+
+# Search
+
+_NNC = f"{DF}, x AS (SELECT doc_id, term, tf::DOUBLE / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM tf)"
+_QUERY_0 = f"q AS (SELECT term, count(*)::DOUBLE AS q FROM (SELECT unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS term FROM benchmark WHERE item_id = 0) GROUP BY term)"
+_SCORED = (
+    f"WITH {_NNC}, {_QUERY_0}, k AS (SELECT q.term, q FROM q JOIN df USING (term)), s AS (SELECT doc_id, sum(w * q) / (SELECT sqrt(sum(q * q)) FROM k) AS c FROM x JOIN k USING (term) GROUP BY doc_id),"
+    " scored AS (SELECT doc_id, coalesce(c, 0) AS score FROM documents LEFT JOIN s USING (doc_id))"
+)
+
+
+def _text_scores(spark: SparkSession, d: str, scale: str = "cosine") -> DataFrame:
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    model = features.fit(docs, WORDS, tf=tf)
+    asked = model.transform(table(spark, d, "benchmark").where("item_id = 0").select(F.col("item_id").alias("doc_id"), "text"))
+    return search.sparse_scores(asked.select("term", "weight"), model.weigh(tf), docs, scale)
+
+
+@query(f"{_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored")
+def search_text(spark, d):
+    return _text_scores(spark, d).select("doc_id", *_rounded("score"))
+
+
+@query(
+    f"{_SCORED} SELECT doc_id, round(score / (2 - score), 6) AS jaccard, round((score + 1) / 2, 6) AS cosine_norm, round((3 * (score / (2 - score)) + 1) / 4, 6) AS jaccard_norm, round(greatest(score, 0), 6) AS positive FROM scored"
+)
+def search_scales(spark, d):
+    s = _text_scores(spark, d)
+    names = {"jaccard": "jaccard", "cosine_norm": "cosine_norm", "jaccard_norm": "jaccard_norm", "cosine-positive": "positive"}
+    return s.select("doc_id", *[F.round(sim.from_cosine(F.col("score"), k), 6).alias(v) for k, v in names.items()])
+
+
+@query(
+    f"WITH {_NNC}, q AS (SELECT term, w AS q FROM x WHERE doc_id = 7), s AS (SELECT doc_id, sum(w * q) AS c FROM x JOIN q USING (term) GROUP BY doc_id)"
+    " SELECT doc_id, round(coalesce(c, 0), 6) AS score FROM documents LEFT JOIN s USING (doc_id) WHERE doc_id <> 7 AND coalesce(c, 0) > 0.05"
+)
+def search_document(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    scores = search.sparse_scores(search.document_query(x, 7), x, docs)
+    return search.shape(scores, min_score=0.05, exclude=7).select("doc_id", *_rounded("score"))
+
+
+@query(f"{_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY round(score, 6) DESC, doc_id LIMIT 25 OFFSET 50")
+def search_subset_page(spark, d):
+    scores = _text_scores(spark, d).select("doc_id", *_rounded("score"))
+    kept = search.shape(scores, min_score=None, subset=table(spark, d, "labels"))
+    return index.page(kept, [F.desc("score"), "doc_id"], batch_id=2, batch_size=25)[0]
+
+
+@query(
+    f"WITH {VECTORS}, q AS (SELECT vec AS qv FROM v WHERE doc_id = 3) SELECT doc_id, round(list_cosine_similarity(vec, qv), 6) AS score FROM v, q"
+)
+def search_dense(spark, d):
+    v = _vectors(spark, d)
+    q = v.where("doc_id = 3").select("vec").first()[0]
+    return search.dense_scores(F.array(*[F.lit(float(x)) for x in q]), v).select("doc_id", *_rounded("score"))
+
+
+@query(f"WITH {_NNC} SELECT term, round(sum(w) / (SELECT count(*) FROM documents WHERE lang = 'es'), 6) AS weight FROM x JOIN documents USING (doc_id) WHERE lang = 'es' GROUP BY term ORDER BY sum(w) DESC, term LIMIT 50")
+def top_terms(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    return features.top_terms(x, docs.where("lang = 'es'"), 50).select("term", *_rounded("weight"))
+
+
+# Index operations
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select(F.concat(F.lit("docs/file"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), (F.col("doc_id") * 3 + 1).alias("document_id"))
+    return index.numbered(docs, ["file_path"])
+
+
+_INDEX = "idx AS (SELECT row_number() OVER (ORDER BY 'docs/file' || doc_id || '.txt') - 1 AS internal_id, 'docs/file' || doc_id || '.txt' AS file_path, doc_id * 3 + 1 AS document_id FROM documents)"
+
+
+@query(f"WITH {_INDEX} SELECT * FROM idx")
+def index_numbering(spark, d):
+    return _index(spark, d).select("internal_id", "file_path", "document_id")
+
+
+@query(f"WITH {_INDEX}, q AS (SELECT 3 * doc_id + 1 AS document_id, row_number() OVER (ORDER BY quality, doc_id DESC) - 1 AS sort_order FROM labels) SELECT internal_id, file_path, idx.document_id, sort_order FROM q JOIN idx USING (document_id)")
+def index_search(spark, d):
+    asked = index.numbered(table(spark, d, "labels").select((F.col("doc_id") * 3 + 1).alias("document_id"), "quality"), ["quality", F.desc("document_id")], name="sort_order")
+    return index.search(_index(spark, d), asked.select("document_id", "sort_order"), strict=False).select("internal_id", "file_path", "document_id", "sort_order")
+
+
+@query(
+    f"WITH {_INDEX}, k AS (SELECT * FROM idx WHERE document_id NOT IN (SELECT 3 * doc_id + 1 FROM labels WHERE quality = 0)) SELECT file_path, document_id, row_number() OVER (ORDER BY internal_id) - 1 AS internal_id FROM k"
+)
+def index_remove(spark, d):
+    gone = table(spark, d, "labels").where("quality = 0").select((F.col("doc_id") * 3 + 1).alias("document_id"))
+    return index.remove(_index(spark, d), gone).select("file_path", "document_id", "internal_id")
+
+
+@query(
+    f"WITH {_INDEX} SELECT internal_id, file_path, document_id FROM idx UNION ALL SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY 'pages/p' || page_id) - 1, 'pages/p' || page_id, page_id + 1000000000 FROM pages"
+)
+def index_append(spark, d):
+    more = table(spark, d, "pages").select(F.concat(F.lit("pages/p"), F.col("page_id").cast("string")).alias("file_path"), (F.col("page_id") + 1000000000).alias("document_id"))
+    return index.append(_index(spark, d), more).select("internal_id", "file_path", "document_id")
+
+
+@query("SELECT 'docs/file' || doc_id || '.txt' AS file_path, doc_id AS document_id FROM documents")
+def index_inferred_ids(spark, d):
+    return index.infer_document_id(_index(spark, d).drop("document_id")).select("file_path", "document_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def subset_train(spark, d):
+    return index.subset(_docs(spark, d), table(spark, d, "labels")).select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def subset_test(spark, d):
+    return index.subset(_docs(spark, d), table(spark, d, "labels"), complement=True).select("doc_id", "n_chars")
+
+
+@query("SELECT doc_id, n_chars, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def rendered_results(spark, d):
+    return index.render(_docs(spark, d).select("doc_id", "n_chars"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("SELECT d.doc_id, d.n_chars FROM documents d JOIN (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) s ON d.doc_id = s.doc_id")
+def sampled_dataset(spark, d):
+    names = table(spark, d, "labels")
+    return index.sampled(_docs(spark, d), names.select("doc_id").union(names.where("toxic = 1").select("doc_id")), "doc_id").select("doc_id", "n_chars")
+
+
+@query("SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT lang FROM documents WHERE doc_id % 2 = 1) GROUP BY lang")
+def batches_united(spark, d):
+    docs = _docs(spark, d)
+    return docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# Metrics
+
+_JUDGED = "r AS (SELECT l.doc_id, l.quality AS y_true, d.n_chars::DOUBLE AS score, (d.n_chars > 1500)::INT AS y_pred FROM labels l JOIN documents d USING (doc_id))"
+_GROUPED = "r AS (SELECT lang AS a, source AS b FROM documents), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM r GROUP BY a, b)"
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    truth = table(spark, d, "labels").select("doc_id", F.col("quality").alias("y_true"))
+    return metrics.matched(truth, _docs(spark, d).select("doc_id", F.col("n_chars").cast("double").alias("score"), (F.col("n_chars") > 1500).cast("int").alias("y_pred")))
+
+
+@query(
+    f"WITH {_JUDGED}, k AS (SELECT sum((y_true = 1 AND y_pred = 1)::INT) AS tp, sum((y_true <> 1 AND y_pred = 1)::INT) AS fp, sum((y_true = 1 AND y_pred <> 1)::INT) AS fn FROM r)"
+    " SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM k"
+)
+def metric_precision_recall(spark, d):
+    return metrics.precision_recall_f1(_judged(spark, d)).select(*_rounded("precision", "recall", "f1"))
+
+
+@query(f"WITH {_JUDGED} SELECT round(avg((y_true = y_pred)::INT), 6) AS precision, round(avg((y_true = y_pred)::INT), 6) AS recall, round(avg((y_true = y_pred)::INT), 6) AS f1 FROM r")
+def metric_micro(spark, d):
+    return metrics.micro_scores(_judged(spark, d)).select(*_rounded("precision", "recall", "f1"))
+
+
+@query(
+    f"WITH {_JUDGED}, k AS (SELECT y_true, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM r)"
+    " SELECT round((sum(rk) FILTER (WHERE y_true = 1) - count(*) FILTER (WHERE y_true = 1) * (count(*) FILTER (WHERE y_true = 1) + 1) / 2) / (count(*) FILTER (WHERE y_true = 1) * count(*) FILTER (WHERE y_true <> 1)), 6) AS roc_auc FROM k"
+)
+def metric_roc_auc(spark, d):
+    return metrics.roc_auc(_judged(spark, d)).select(*_rounded("roc_auc"))
+
+
+@query(
+    f"WITH {_JUDGED}, k AS (SELECT y_true, sum((y_true = 1)::INT) OVER w AS tp, count(*) OVER w AS n FROM r WINDOW w AS (ORDER BY score DESC))"
+    " SELECT round(sum(tp / n) FILTER (WHERE y_true = 1) / count(*) FILTER (WHERE y_true = 1), 6) AS average_precision FROM k"
+)
+def metric_average_precision(spark, d):
+    return metrics.average_precision(_judged(spark, d)).select(*_rounded("average_precision"))
+
+
+@query(
+    f"WITH {_JUDGED}, k AS (SELECT y_true, row_number() OVER (ORDER BY score DESC, doc_id DESC) AS rn, count(*) OVER () AS n FROM r)"
+    " SELECT round(sum((y_true = 1 AND rn <= floor(0.2 * n))::INT) / sum((y_true = 1)::INT), 6) AS recall_at_k FROM k"
+)
+def metric_recall_at_k(spark, d):
+    return metrics.recall_at_k(_judged(spark, d), 0.2).select(*_rounded("recall_at_k"))
+
+
+@query(
+    f"WITH {_GROUPED}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ab, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS sa,"
+    " (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS sb, (SELECT sum(n) FROM c) AS t)"
+    " SELECT round((ab - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari FROM s"
+)
+def metric_adjusted_rand(spark, d):
+    return metrics.adjusted_rand(_docs(spark, d), "lang", "source").select(*_rounded("ari"))
+
+
+@query(
+    f"WITH {_GROUPED}, t AS (SELECT sum(n) AS t FROM c), ha AS (SELECT -sum(m / t * ln(m / t)) AS h FROM (SELECT sum(n) AS m FROM c GROUP BY a), t),"
+    " hb AS (SELECT -sum(m / t * ln(m / t)) AS h FROM (SELECT sum(n) AS m FROM c GROUP BY b), t), hab AS (SELECT -sum(n / t * ln(n / t)) AS h FROM c, t),"
+    " s AS (SELECT (ha.h + hb.h - hab.h) / ha.h AS ho, (ha.h + hb.h - hab.h) / hb.h AS co FROM ha, hb, hab)"
+    " SELECT round(ho, 6) AS homogeneity, round(co, 6) AS completeness, round(2 * ho * co / (ho + co), 6) AS v_measure FROM s"
+)
+def metric_v_measure(spark, d):
+    return metrics.v_measure(_docs(spark, d), "lang", "source").select(*_rounded("homogeneity", "completeness", "v_measure"))
+
+
+@query("SELECT round(1 - abs(x - y) / greatest(x, y), 6) AS ratio_duplicates FROM (SELECT count(*) - count(DISTINCT md5(text)) AS x, count(*) - count(DISTINCT n_chars) AS y FROM documents)")
+def metric_ratio_duplicates(spark, d):
+    return metrics.ratio_duplicates(_docs(spark, d).select(F.md5("text").alias("x"), F.col("n_chars").alias("y"))).select(*_rounded("ratio_duplicates"))
+
+
+@query(
+    "WITH f AS (SELECT count(*) OVER (PARTITION BY md5(text)) > 1 AS t, count(*) OVER (PARTITION BY n_chars) > 1 AS p FROM documents)"
+    " SELECT round(2 * sum((t AND p)::INT) / (2 * sum((t AND p)::INT) + sum((t <> p)::INT)), 6) AS f1_same_duplicates FROM f"
+)
+def metric_same_duplicates(spark, d):
+    return metrics.f1_same_duplicates(_docs(spark, d).select(F.md5("text").alias("x"), F.col("n_chars").alias("y"))).select(*_rounded("f1_same_duplicates"))
+
+
+@query(
+    "WITH f AS (SELECT count(*) OVER (PARTITION BY md5(text)) AS x, count(*) OVER (PARTITION BY n_chars) AS y FROM documents)"
+    " SELECT round(avg(1 - abs(x - y) / greatest(x, y)), 6) AS mean_duplicates_count FROM f WHERE x > 1 OR y > 1"
+)
+def metric_mean_duplicates(spark, d):
+    return metrics.mean_duplicates_count(_docs(spark, d).select(F.md5("text").alias("x"), F.col("n_chars").alias("y"))).select(*_rounded("mean_duplicates_count"))
+
+
+@query("SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY n_chars) = 1 THEN -1 ELSE n_chars END AS label FROM documents")
+def labels_noisy(spark, d):
+    return metrics.noisy_from_unique(_docs(spark, d).select("doc_id", F.col("n_chars").alias("label")))
+
+
+# Neighbours, categories, clusters
+
+_PAIRED = f"{VECTORS}, p AS (SELECT a.doc_id, b.category, b.doc_id AS nn, round(list_cosine_similarity(a.vec, b.vec), 12) AS s FROM v a, v b WHERE b.doc_id % 5 = 0)"
+
+
+@query(f"WITH {_PAIRED} SELECT doc_id, category, round(max(s), 6) AS score, arg_max(nn, (s, -nn)) AS nn_doc_id FROM p GROUP BY doc_id, category")
+def nearest_neighbors(spark, d):
+    v = _vectors(spark, d)
+    return neighbors.nearest(v, v.where("doc_id % 5 = 0")).select("doc_id", "category", *_rounded("score"), "nn_doc_id")
+
+
+@query(
+    f"WITH {_PAIRED}, b AS (SELECT doc_id, category, round(max(s), 6) AS score FROM p GROUP BY doc_id, category),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rank FROM b)"
+    " SELECT doc_id, category, score, rank FROM k WHERE rank <= 3"
+)
+def top_categories(spark, d):
+    v = _vectors(spark, d)
+    scores = neighbors.nearest(v, v.where("doc_id % 5 = 0")).select("doc_id", "category", *_rounded("score"))
+    shaped = categorize.shape(scores, max_categories=3)
+    return shaped.select("doc_id", F.posexplode("scores").alias("rank", "s")).select("doc_id", "s.category", "s.score", (F.col("rank") + 1).cast("bigint").alias("rank"))
+
+
+_CENTERS = f"{VECTORS}, e AS (SELECT category, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v), m AS (SELECT category, i, avg(x) AS m FROM e GROUP BY category, i), c AS (SELECT category, list(m ORDER BY i) AS centroid FROM m GROUP BY category)"
+
+
+@query(f"WITH {_CENTERS} SELECT category, i - 1 AS i, round(m, 6) AS m FROM m")
+def centroids(spark, d):
+    return neighbors.centroids(_vectors(spark, d)).select("category", F.posexplode("centroid").alias("i", "m")).select("category", F.col("i").cast("bigint").alias("i"), *_rounded("m"))
+
+
+@query(f"WITH {_CENTERS}, p AS (SELECT doc_id, c.category, list_distance(vec, centroid) AS dist FROM v, c) SELECT doc_id, arg_min(category, dist) AS category, round(min(dist), 6) AS distance FROM p GROUP BY doc_id")
+def nearest_centroid(spark, d):
+    v = _vectors(spark, d)
+    return neighbors.nearest_centroid(v, neighbors.centroids(v)).select("doc_id", "category", *_rounded("distance"))
+
+
+_SIMILAR = f"{_CENTERS}, s AS (SELECT doc_id, v.category AS cluster_id, list_cosine_similarity(vec, centroid) AS similarity FROM v JOIN c USING (category))"
+
+
+@query(f"WITH {_SIMILAR} SELECT doc_id, cluster_id, round(similarity, 6) AS similarity, round(avg(similarity) OVER w, 6) AS cluster_similarity, count(*) OVER w AS cluster_size FROM s WINDOW w AS (PARTITION BY cluster_id)")
+def cluster_similarity(spark, d):
+    v = _vectors(spark, d)
+    return cluster.similarities(v, v.select("doc_id", F.col("category").alias("cluster_id"))).select("doc_id", "cluster_id", *_rounded("similarity", "cluster_similarity"), "cluster_size")
+
+
+@query(
+    f"WITH {_SIMILAR}, p AS (SELECT cluster_id, count(*) AS cluster_size, arg_max(doc_id, (round(similarity, 9), -doc_id)) AS doc_id FROM s GROUP BY cluster_id),"
+    " k AS (SELECT *, coalesce(sum(cluster_size) OVER (ORDER BY cluster_size DESC, cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(cluster_size) OVER () AS total FROM p)"
+    " SELECT cluster_id, doc_id, cluster_size FROM k WHERE before <= 0.5 * total"
+)
+def cluster_sampling(spark, d):
+    v = _vectors(spark, d)
+    s = cluster.similarities(v, v.select("doc_id", F.col("category").alias("cluster_id")))
+    return cluster.sample_clusters(s.withColumn("similarity", F.round("similarity", 9)), 0.5)
+
+
+@query(
+    f"WITH {_NNC}, s AS (SELECT lang AS cluster_id, term, sum(w) / any_value(k) AS weight FROM x JOIN documents USING (doc_id) JOIN (SELECT lang, count(*) AS k FROM documents GROUP BY lang) USING (lang) GROUP BY lang, term),"
+    " r AS (SELECT cluster_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY cluster_id ORDER BY round(weight, 9) DESC, term) AS rank FROM s)"
+    " SELECT cluster_id, term, weight, rank FROM r WHERE rank <= 20"
+)
+def cluster_terms(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    centers = cluster.sparse_centroids(x, docs.select("doc_id", F.col("lang").alias("cluster_id"))).withColumn("weight", F.round("weight", 9))
+    return cluster.ranked_terms(centers, 20).select("cluster_id", "term", *_rounded("weight"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def cluster_labels(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    return cluster.labels(cluster.sparse_centroids(x, docs.select("doc_id", F.col("lang").alias("cluster_id"))), 10)
+
+
+_UNIT = "u AS (SELECT vec_id AS doc_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS vec FROM embeddings)"
+
+
+def _unit(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return v.withColumn("n", sim.norm(F.col("vec"))).select("doc_id", F.transform("vec", lambda x: x / F.col("n")).alias("vec"))
+
+
+@query(
+    f"WITH RECURSIVE {_UNIT}, p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a, u b WHERE a.doc_id <> b.doc_id AND list_distance(a.vec, b.vec) <= sqrt(2 * (1 - 0.6))),"
+    " core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) + 1 >= 5), e AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),"
+    " reach(id, to_id) AS (SELECT id, id FROM core UNION SELECT r.id, e.b FROM reach r JOIN e ON r.to_id = e.a),"
+    " lab AS (SELECT id, min(to_id) AS cluster_id FROM reach GROUP BY id),"
+    " border AS (SELECT p.a AS id, arg_min(lab.cluster_id, p.b) AS cluster_id FROM p JOIN lab ON p.b = lab.id GROUP BY p.a)"
+    " SELECT u.doc_id, coalesce(lab.cluster_id, border.cluster_id, -1) AS cluster_id FROM u LEFT JOIN lab ON u.doc_id = lab.id LEFT JOIN border ON u.doc_id = border.id"
+)
+def dbscan(spark, d):
+    return cluster.dbscan(_unit(spark, d), 0.6, 5)
+
+
+@query()
+def kmeans(spark, d):
+    return cluster.kmeans(_vectors(spark, d), 10, seed=42)
+
+
+@query()
+def birch(spark, d):
+    return cluster.birch_clusters(_unit(spark, d), 0.6, n_clusters=10)[0]
+
+
+@query()
+def lsi_vectors(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, VECTOR_TERMS)
+    x = features.fit(docs, VECTOR_TERMS, tf=tf).weigh(tf).persist()
+    return lsi.fit(x, docs.count(), 20).transform(x)
+
+
+@query()
+def categorize_logistic(spark, d):
+    v = _vectors(spark, d)
+    return categorize.shape(categorize.train(v.where("doc_id % 2 = 0"), "LogisticRegression").predict(v)).select("doc_id", F.round("best", 6).alias("best"), F.col("scores")[0]["category"].alias("category"))
+
+
+@query(
+    f"WITH {_NNC}, c AS (SELECT term, sum(CASE WHEN toxic = 1 THEN w ELSE -w END) AS coefficient FROM x JOIN labels USING (doc_id) GROUP BY term)"
+    " SELECT doc_id, term, round(w * coefficient, 6) AS contribution FROM x JOIN c USING (term)"
+)
+def sensitivity(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    signed = F.when(F.col("toxic") == 1, F.col("weight")).otherwise(-F.col("weight"))
+    c = x.join(table(spark, d, "labels"), "doc_id").groupBy("term").agg(F.sum(signed).alias("coefficient"))
+    return categorize.sensitivity(x, c).select("doc_id", "term", *_rounded("contribution"))
+
+
+@query()
+def highlighted(spark, d):
+    return _docs(spark, d).select("doc_id", explain.highlighted(F.col("text"), {"license": 1.0, "the": -0.4}).alias("html"))
+
+
+# Near-duplicates
+
+
+def _short_hash() -> Column:
+    return F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
+
+
+_VOTES = " + ".join(f"(CASE WHEN sum(2 * ((h >> {b}) & 1) - 1) > 0 THEN {1 << b} ELSE 0 END)" for b in range(32))
+_SIMHASH = f"{TOKENS}, h AS (SELECT DISTINCT doc_id, term, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM tokens), sh AS (SELECT doc_id, ({_VOTES})::BIGINT AS simhash FROM h GROUP BY doc_id)"
+
+
+def _simhash(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.simhash(features.document_terms(_docs(spark, d), WORDS), _short_hash(), 32)
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sh")
+def simhash(spark, d):
+    return _simhash(spark, d)
+
+
+@query(
+    f"WITH {_SIMHASH}, u AS (SELECT DISTINCT simhash AS v FROM sh) SELECT x.v AS a, y.v AS b, bit_count(xor(x.v, y.v))::INT AS distance FROM u x, u y WHERE x.v < y.v AND bit_count(xor(x.v, y.v)) <= 3"
+)
+def simhash_pairs(spark, d):
+    return duplicates.hamming_pairs(_simhash(spark, d), 3, 32)
+
+
+@query(
+    f"WITH RECURSIVE {_SIMHASH}, u AS (SELECT simhash AS v, min(doc_id) AS rep FROM sh GROUP BY simhash), e AS (SELECT x.rep AS a, y.rep AS b FROM u x, u y WHERE x.v <> y.v AND bit_count(xor(x.v, y.v)) <= 1),"
+    " reach(id, to_id) AS (SELECT rep, rep FROM u UNION SELECT r.id, e.b FROM reach r JOIN e ON r.to_id = e.a), lab AS (SELECT id, min(to_id) AS cluster_id FROM reach GROUP BY id)"
+    " SELECT sh.doc_id, cluster_id FROM sh JOIN u ON sh.simhash = u.v JOIN lab ON lab.id = u.rep"
+)
+def simhash_clusters(spark, d):
+    return duplicates.simhash_clusters(_simhash(spark, d), 1, 32)
+
+
+@query(f"WITH {TOKENS}, s AS (SELECT doc_id, list(DISTINCT term ORDER BY term) AS w FROM tokens GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS cluster_id FROM s")
+def imatch(spark, d):
+    return duplicates.exact_groups(duplicates.imatch(features.document_terms(_docs(spark, d), WORDS)), "h0")
+
+
+@query()
+def imatch_lexicons(spark, d):
+    hashes = duplicates.imatch(features.document_terms(_docs(spark, d), WORDS), 10, 0.9)
+    return duplicates.merged_clusters(hashes, [f"h{j}" for j in range(10)])
+
+
+@query(
+    "SELECT * FROM (SELECT doc_id, min(doc_id) OVER w AS cluster_id, count(*) OVER w AS n_docs FROM documents WINDOW w AS (PARTITION BY text)) WHERE n_docs > 1"
+)
+def exact_duplicates(spark, d):
+    groups = duplicates.exact_groups(_docs(spark, d).select("doc_id", F.sha2("text", 256).alias("simhash")))
+    return duplicates.duplicate_groups(groups)
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT c_custkey AS id, c_nationkey * 1000 + (c_custkey % 37) AS x, c_custkey // 5 AS y FROM customer),"
+    " e AS (SELECT a, b FROM (SELECT id AS a, min(id) OVER (PARTITION BY x) AS b FROM r UNION SELECT id, min(id) OVER (PARTITION BY y) FROM r)), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"
+    " reach(id, to_id) AS (SELECT id, id FROM r UNION SELECT q.id, f.b FROM reach q JOIN f ON q.to_id = f.a)"
+    " SELECT id AS doc_id, min(to_id) AS cluster_id FROM reach GROUP BY id"
+)
+def merged_clusterings(spark, d):
+    r = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_nationkey") * 1000 + F.col("c_custkey") % 37).alias("x"), F.floor(F.col("c_custkey") / 5).alias("y"))
+    return duplicates.merged_clusters(r, ["x", "y"])
+
+
+# Threads
+
+
+@query(
+    "WITH RECURSIVE m AS (SELECT conv_id * 1000 + turn AS message_idx, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_idx FROM conversations),"
+    " t AS (SELECT message_idx, parent_idx, message_idx AS root_idx, 0::BIGINT AS depth FROM m WHERE parent_idx IS NULL"
+    " UNION ALL SELECT m.message_idx, m.parent_idx, t.root_idx, t.depth + 1 FROM m JOIN t ON m.parent_idx = t.message_idx) SELECT * FROM t"
+)
+def email_threads(spark, d):
+    c = table(spark, d, "conversations")
+    mid = lambda n: F.concat(F.lit("<"), F.col("conv_id").cast("string"), F.lit("."), n.cast("string"), F.lit(">"))
+    messages = c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_idx"),
+        mid(F.col("turn")).alias("message_id"),
+        F.lit(None).cast("string").alias("in_reply_to"),
+        F.when(F.col("turn") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("turn") - 1, F.lit(0))), mid)).alias("references"),
+        F.substring("text", 1, 20).alias("subject"),
+    )
+    return threads.threads(threads.parents(messages))
+
+
+@query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS chars_so_far FROM conversations")
+def cumulative_coverage(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("chars_so_far"))
