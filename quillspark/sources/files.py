@@ -71,7 +71,7 @@ def read_csv(spark: SparkSession, path: str, column_ids: Sequence[int], separato
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     """``document_id``, ``text`` of a file of ``.I <id>`` and ``.W`` blocks; lines of a block are
     joined by a space. The file must begin with a tag."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     if not whole.where(~F.col("value").rlike(r"^\s*\.[A-Z]\b")).isEmpty():
         raise ValueError("the file does not begin with a tag")
     blocks = whole.select(F.explode(F.split("value", r"(?m)^\.I ")).alias("b")).where(F.trim("b") != "")
