@@ -22,7 +22,6 @@ a stream; no group is collected.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ from quillspark.plans.scratch import Scratch
 
 LENGTH, GRAM = 100, 32
 PIECE = 4_000_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 3_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -142,7 +141,8 @@ def _later(order: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], same])[: len(order)]
 
 
-_RANKED = "rank0 bigint, rank1 bigint, doc bigint, place bigint, lo bigint, hi bigint"
+#: ``spot`` holds a place and, in a byte each, how far before it its first and last string start.
+_RANKED = "rank0 bigint, rank1 bigint, doc bigint, spot bigint"
 _RANGES = "doc bigint, lo bigint, hi bigint, open boolean"
 
 
@@ -169,7 +169,7 @@ def rank(docs: DataFrame) -> DataFrame:
                 known = order[later]
                 rank1[known] = 0
                 rank0[known] = mix(doc[known].astype(np.uint64))
-                yield _table(_RANKED, rank0.view(np.int64), rank1.view(np.int64), doc, place, lo, hi)
+                yield _table(_RANKED, rank0.view(np.int64), rank1.view(np.int64), doc, place << 16 | (place - lo) << 8 | (place - hi))
 
     return docs.mapInArrow(run, _RANKED)
 
@@ -182,7 +182,9 @@ def settle(ranked: DataFrame) -> DataFrame:
         held = None  # the first place of the current rank 0 while it has one rank 1: (doc, lo, hi)
         last = None  # rank0, rank1, doc, place of the head of the current pair
         for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            rank0, rank1, doc, spot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            place = spot >> 16
+            c = [rank0, rank1, doc, place, place - (spot >> 8 & 255), place - (spot & 255)]
             known = c[1] == 0
             if known.any():
                 yield _table(_RANGES, c[2][known], c[4][known], c[5][known], np.zeros(int(known.sum()), bool))
@@ -222,14 +224,15 @@ def settle(ranked: DataFrame) -> DataFrame:
                 held = None if run0[-1] in firsts else (doc[run0[-1]], lo[run0[-1]], hi[run0[-1]])
             last = (rank0[-1], rank1[-1], head_doc[-1], head_place[-1])
 
-    return ranked.repartition("rank0").sortWithinPartitions("rank0", "rank1", "doc", "place").mapInArrow(run, _RANGES)
+    return ranked.repartition("rank0").sortWithinPartitions("rank0", "rank1", "doc", "spot").mapInArrow(run, _RANGES)
 
 
 def strings(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """Rank 2 of every string in the open ranges: ``rank2`` (0 if settled within the batch),
-    ``doc``, ``start``, and ``deal``, by which rows are dealt."""
+    """Rank 2 of every string in the open ranges: ``rank2``, ``doc``, ``start`` and ``more`` 0.
+    Strings settled within the batch come as ranges, from ``start`` on ``more`` further ones,
+    with a rank2 that only spreads them, and ``more`` counted from -1 down."""
     ranges = opened.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "deal bigint, rank2 bigint, doc bigint, start bigint"
+    schema = "rank2 bigint, doc bigint, start bigint, more int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -250,20 +253,32 @@ def strings(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 if not docs_:
                     continue
                 doc, start, rank2 = np.concatenate(docs_), np.concatenate(starts_), np.concatenate(ranks_)
-                rank2[rank2 == 0] = 1
                 order = np.lexsort((start, doc, rank2))
                 later = _later(order, rank2)
                 head = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
-                known = order[later & ((doc[order] != doc[order[head]]) | (start[order] != start[order[head]]))]
-                deal = rank2.copy()
-                rank2[known] = 0
-                deal[known] = mix(doc[known].astype(np.uint64))
-                yield _table(schema, deal.view(np.int64), rank2.view(np.int64), doc, start)
+                known = np.zeros(len(doc), bool)
+                known[order[later & ((doc[order] != doc[order[head]]) | (start[order] != start[order[head]]))]] = True
+                d, lo, hi = _joined(doc[known], start[known])
+                yield _table(
+                    schema,
+                    np.concatenate([rank2[~known], mix(d.astype(np.uint64))]).view(np.int64),
+                    np.concatenate([doc[~known], d]),
+                    np.concatenate([start[~known], lo]),
+                    np.concatenate([np.zeros(int((~known).sum()), np.int32), (-1 - (hi - lo)).astype(np.int32)]),
+                )
 
     joined = docs.where("text is not null").join(ranges, "doc_id").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, schema)
 
 
+def _joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring starts of a document, given in ascending order, as ranges."""
+    if not len(doc):
+        return doc, start, start
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
+    return doc[new], start[new], start[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(doc) - 1]])]
+
+
 def settle_strings(ranked: DataFrame) -> DataFrame:
     """The strings that are not the first of their rank 2, as ranges."""
     schema = "doc bigint, lo bigint, hi bigint"
@@ -271,10 +286,10 @@ def settle_strings(ranked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            rank2, doc, start = (b.column(k).to_numpy(zero_copy_only=False) for k in ("rank2", "doc", "start"))
-            known = rank2 == 0
+            rank2, doc, start, more = (b.column(k).to_numpy(zero_copy_only=False) for k in ("rank2", "doc", "start", "more"))
+            known = more < 0
             if known.any():
-                yield _table(schema, doc[known], start[known], start[known])
+                yield _table(schema, doc[known], start[known], start[known] - 1 - more[known].astype(np.int64))
                 rank2, doc, start = rank2[~known], doc[~known], start[~known]
             n = len(doc)
             if not n:
@@ -286,7 +301,7 @@ def settle_strings(ranked: DataFrame) -> DataFrame:
             yield _table(schema, doc[repeat], start[repeat], start[repeat])
             last = (rank2[-1], head_doc[-1], head_start[-1])
 
-    return ranked.repartition("deal").sortWithinPartitions("deal", "rank2", "doc", "start").mapInArrow(run, schema)
+    return ranked.repartition("rank2").sortWithinPartitions("rank2", "doc", "start").mapInArrow(run, schema)
 
 
 def strip(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
@@ -310,20 +325,14 @@ def dedup(docs: DataFrame, text: str = "text", with_kept: bool = False) -> DataF
     doc_id count as one document (repeats between them at the same place are none); rows
     without doc_id are neither searched nor touched. Other columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
+    scratch = Scratch(docs.sparkSession, "repeats")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     named = base.where("doc_id is not null")
 
-    def free() -> None:
-        """Lets Spark delete the shuffle files of what has been written."""
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
     settled = scratch.save(settle(rank(named)), "ranges")
-    free()
+    scratch.free()
     single = scratch.save(settle_strings(strings(named, settled.where("open"))), "strings")
-    free()
+    scratch.free()
     ranges = settled.where("not open").select("doc", "lo", "hi").union(single).groupBy(F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = base.join(ranges, F.col("doc_id") == F.col("r_doc"), "left").select("doc_id", "text", "ranges")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
