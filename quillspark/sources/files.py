@@ -76,7 +76,7 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("the file does not begin with a tag")
     blocks = whole.select(F.explode(F.split("value", r"(?m)^\.I ")).alias("b")).where(F.trim("b") != "")
     parts = F.split("b", r"(?m)^\.W\s*$")
-    body = F.regexp_replace(F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), r"\s*\n\s*", " ")
+    body = F.trim(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s*\n\s*", " "))
     return blocks.select(F.trim(F.regexp_extract("b", r"^\s*(\S+)", 1)).cast("bigint").alias("document_id"), body.alias("text"))
 
 
