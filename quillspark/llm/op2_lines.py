@@ -56,12 +56,14 @@ def repeated_lines(docs: DataFrame, text: str = "text", scratch: Scratch | None
 def _without(text: Column, gone: Column) -> Column:
     """The text without the lines at the places ``gone``: the runs between them, joined."""
     lines = F.split(text, "\n", -1)
-    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
-    between = F.transform(
-        F.sequence(F.lit(1), F.size(bounds) - 1),
-        lambda k: F.slice(lines, F.get(bounds, k - 1) + 2, F.get(bounds, k) - F.get(bounds, k - 1) - 1),
-    )
-    return F.array_join(F.flatten(between), "\n")
+    # bound as lambda variables, or each step would split the text anew
+    bound = F.struct(lines.alias("lines"), F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines))).alias("bounds"))
+
+    def kept(b: Column) -> Column:
+        between = lambda k: F.slice(b["lines"], F.get(b["bounds"], k - 1) + 2, F.get(b["bounds"], k) - F.get(b["bounds"], k - 1) - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(b["bounds"]) - 1), between)), "\n")
+
+    return F.get(F.transform(F.array(bound), kept), F.lit(0))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
