@@ -43,6 +43,9 @@ BINS = 32  # per factor e of squared distance
 #: a word), share of repeated words, share of repeated lines. A statistic that is the same
 #: in nearly all rows of a group would else reject any row that differs at all.
 FLOORS = (1.0, 0.4, 0.04, 0.12, 0.15)
+#: Share of the least variances that is always added, so that few or collinear rows leave
+#: the scatter invertible.
+RIDGE = 0.01
 P = len(FLOORS)
 PAIRS = list(combinations_with_replacement(range(P), 2))
 ANY = "\x00any"
@@ -102,8 +105,8 @@ _ESTIMATE = "g_lang string, g_source string, centre array<double>, precision arr
 
 def _estimate(centre: np.ndarray, scatter: np.ndarray) -> tuple[list[float], list[float]]:
     """Centre and the upper triangle of the precision matrix, with the floors held."""
-    own = np.diag(scatter).copy()
-    scatter = scatter + np.diag(np.maximum(0.0, np.square(FLOORS) - own))
+    least = np.square(FLOORS)
+    scatter = scatter + np.diag(np.maximum(0.0, least - np.diag(scatter)) + RIDGE * least)
     precision = np.linalg.inv(scatter)
     return centre.tolist(), [float(precision[i, j]) for i, j in PAIRS]
 
