@@ -91,6 +91,18 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
 
 
+class _Numbers(dict[str, int]):
+    """Numbers pieces in the order of their first look-up, and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class Codec:
     """Encodes lists of texts to flat id arrays, and decodes ids to bytes."""
 
@@ -109,45 +121,45 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[str, int] = {}
+        self._index = _Numbers()
         self._flat = np.zeros(1 << 16, dtype=np.uint32)
         self._offsets = np.zeros(1 << 15, dtype=np.int64)
 
     def _encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        fresh = [p for p in pieces if p not in self._index]
-        if not fresh:
-            return
+    def _learn(self, fresh: list[str]) -> None:
+        """Ids of pieces that have just been given the next numbers."""
         coded = self._encode(fresh)
-        have, more = len(self._index), len(fresh)
+        have, more = len(self._index) - len(fresh), len(fresh)
         self._offsets = _room(self._offsets, have + more + 1)
         np.cumsum(np.fromiter(map(len, coded), dtype=np.int64, count=more), out=self._offsets[have + 1 : have + more + 1])
         self._offsets[have + 1 : have + more + 1] += self._offsets[have]
         used, end = self._offsets[have], self._offsets[have + more]
         self._flat = _room(self._flat, end)
         self._flat[used:end] = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32, count=end - used)
-        self._index.update(zip(fresh, range(have, have + more), strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the n + 1 offsets of the texts in it. A null
         text counts as empty."""
         whole = {
-            i: t for i, t in enumerate(texts) if t and (BEYOND.search(t) or any(a in t for a in self._added))
+            i: t
+            for i, t in enumerate(texts)
+            if t and ((not t.isascii() and BEYOND.search(t)) or any(a in t for a in self._added))
         }
         direct = dict(zip(whole, self._encode(list(whole.values())), strict=True)) if whole else {}
         split = [LATIN.findall(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        flat = [p for pieces in split for p in pieces]
         if len(self._index) > MAX_PIECES:
             self._forget()
-        self._learn(set(flat))
-        at = np.fromiter(map(self._index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        per_text = np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)
+        at = np.fromiter(map(self._index.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(per_text[-1]))
+        if self._index.fresh:
+            self._learn(self._index.fresh)
+            self._index.fresh = []
         begin = self._offsets[at]
         sizes = self._offsets[at + 1] - begin if len(at) else at
         ends = np.cumsum(sizes)
         ids = self._flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)
         offsets = np.concatenate([[0], ends])[per_text]
         if not direct:
             return ids, offsets
