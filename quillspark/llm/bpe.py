@@ -32,6 +32,15 @@ BYTE_CHARS = byte_table()
 CHAR_BYTES = {c: b for b, c in enumerate(BYTE_CHARS)}
 
 
+_SPELLING = {b: c for b, c in enumerate(BYTE_CHARS) if chr(b) != c}
+
+
+def _spelt(piece: str) -> str:
+    """The bytes of a piece in the characters of the vocabulary."""
+    raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+    return raw.translate(_SPELLING)
+
+
 def token_bytes(token: str) -> bytes:
     """The bytes of a vocabulary entry; characters outside the byte table (only in
     added tokens) give their UTF-8."""
@@ -130,7 +139,8 @@ class Codec:
 
     def _learn(self, fresh: list[str]) -> None:
         """Ids of pieces that have just been given the next numbers."""
-        coded = self._encode(fresh)
+        tokenize = self.tok.model.tokenize
+        coded = [[t.id for t in tokenize(p)] for p in map(_spelt, fresh)]
         have, more = len(self._index) - len(fresh), len(fresh)
         self._offsets = _room(self._offsets, have + more + 1)
         np.cumsum(np.fromiter(map(len, coded), dtype=np.int64, count=more), out=self._offsets[have + 1 : have + more + 1])

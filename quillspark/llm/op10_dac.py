@@ -163,9 +163,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, text: str =
     ordered.mapInArrow(run, _PART).write.partitionBy("kind").option("compression", "zstd").parquet(folder)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``
-    and ``ids`` as little-endian 32-bit integers, read from the shards by random access.
+def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """Per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and
+    ``ids`` as little-endian 32-bit integers, or with ``digest`` their ``ids_crc32`` instead.
 
     One row per shard goes through a running sum (a shard is a megabyte or more, so its
     rows are few); payloads and document places meet by (part, shard).
@@ -189,24 +189,23 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     )
     joined = shards.drop("n_ids").join(starts, ["part", "shard"]).join(places, ["part", "shard"])
 
+    last = "ids_crc32 bigint" if digest else "ids binary"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 dac, first = Dac(b.column("payload")[i].as_py()), b.column("base")[i].as_py()
-                places = b.column("places")[i].as_py()
-                for k in range(0, len(places), 2000):
-                    some = places[k : k + 2000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([p["doc_id"] for p in some], pa.int64()),
-                            pa.array([first + p["place"] for p in some], pa.int64()),
-                            pa.array([p["n_ids"] for p in some], pa.int64()),
-                            pa.array([dac.slice(p["place"], p["place"] + p["n_ids"]).astype("<u4").tobytes() for p in some], pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-
-    return joined.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+                fields = b.column("places")[i].values
+                keys = fields.field("doc_id")
+                place, n = (fields.field(k).to_numpy() for k in ("place", "n_ids"))
+                for k in range(0, len(keys), 2000):
+                    p, m = place[k : k + 2000], n[k : k + 2000]
+                    ids = dac.slice(int(p[0]), int(p[-1] + m[-1])).astype("<u4")  # places follow each other
+                    raw = [ids[x : x + y].tobytes() for x, y in zip((p - p[0]).tolist(), m.tolist(), strict=True)]
+                    out = pa.array([zlib.crc32(r) for r in raw], pa.int64()) if digest else pa.array(raw, pa.binary())
+                    yield pa.RecordBatch.from_arrays([keys.slice(k, 2000), pa.array(first + p), pa.array(m), out], ["doc_id", "start", "n_tokens", last.split()[0]])
+
+    return joined.mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, {last}")
 
 
 def store_and_index(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -215,9 +214,4 @@ def store_and_index(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     folder = Scratch(spark, "dac").path("ids")
     write(docs, folder, path, end_id)
-    return read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32(ids: np.ndarray) -> int:
-    """What ``ids_crc32`` holds, for tests."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return read(spark, folder, digest=True)
