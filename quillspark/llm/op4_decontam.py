@@ -33,6 +33,7 @@ BLOCKS = 4
 RADIUS = 19
 SLICE_CHARS = 16_000_000
 SLICE_ITEMS = 20_000
+CELLS = 1 << 20
 
 
 def simhash(windows: np.ndarray) -> np.ndarray:
@@ -53,23 +54,19 @@ class Index:
         self.sets = [np.unique(h, return_counts=True) for _, h in items]
         self.prints = np.concatenate([simhash(h[None, :]) for _, h in items])
         blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.values, self.lists = [], []
+        #: Per block: its distinct values, and which of them each item has.
+        self.values, self.which = zip(*(np.unique(blocks[:, k], return_inverse=True) for k in range(BLOCKS)), strict=True)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (fingerprint, item) within the radius, through the blocks."""
+        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
+        found = np.zeros((len(prints), len(self.ids)), bool)
         for k in range(BLOCKS):
-            values, inverse = np.unique(blocks[:, k], return_inverse=True)
-            self.values.append(values)
-            self.lists.append([np.flatnonzero(inverse == v) for v in range(len(values))])
-
-    def near(self, fingerprint: np.uint64) -> np.ndarray:
-        """All items within the radius, through the blocks."""
-        found = [
-            self.lists[k][v]
-            for k, part in enumerate(np.array([fingerprint]).view(np.uint16))
-            for v in np.flatnonzero(np.bitwise_count(self.values[k] ^ part) <= RADIUS // BLOCKS)
-        ]
-        if not found:
-            return np.zeros(0, np.int64)
-        some = np.unique(np.concatenate(found))
-        return some[np.bitwise_count(self.prints[some] ^ fingerprint) <= RADIUS]
+            close = np.bitwise_count(parts[:, k, None] ^ self.values[k][None, :]) <= RADIUS // BLOCKS
+            found |= close[:, self.which[k]]
+        i, j = np.nonzero(found)
+        within = np.bitwise_count(prints[i] ^ self.prints[j]) <= RADIUS
+        return i[within], j[within]
 
 
 class Benchmark:
@@ -108,17 +105,17 @@ class Benchmark:
             h, upto = seen[x.span]
             m = x.per_window
             starts = np.flatnonzero(upto[m:] - upto[:-m] >= threshold * m - 1e-9)
-            for k in range(0, len(starts), 4096):
-                some = starts[k : k + 4096]
-                for start, fingerprint in zip(some.tolist(), simhash(h[some[:, None] + np.arange(m)]), strict=True):
-                    near = x.near(fingerprint)
-                    if not len(near):
-                        continue
-                    own = np.unique(h[start : start + m], return_counts=True)
-                    for j in near.tolist():
-                        s = weighted_jaccard(own, x.sets[j])
-                        if s >= threshold and s > best.get(x.ids[j], (0.0,))[0]:
-                            best[x.ids[j]] = s, start, x.size
+            run = max(1, CELLS // len(x.ids))
+            for k in range(0, len(starts), run):
+                some = starts[k : k + run]
+                own, last = None, -1
+                for w, j in zip(*(z.tolist() for z in x.near(simhash(h[some[:, None] + np.arange(m)]))), strict=True):
+                    start = int(some[w])
+                    if start != last:
+                        own, last = np.unique(h[start : start + m], return_counts=True), start
+                    s = weighted_jaccard(own, x.sets[j])
+                    if s >= threshold and s > best.get(x.ids[j], (0.0,))[0]:
+                        best[x.ids[j]] = s, start, x.size
         return [(i, *best[i]) for i in sorted(best)]
 
 
