@@ -30,7 +30,8 @@ class Categorizer:
         if self.method == "NearestNeighbor":
             return neighbors.nearest(docs, self.model, vector)
         if self.method == "NearestCentroid":
-            return _least_distances(docs, self.model, vector)
+            d = neighbors.center_distances(docs, self.model, vector)
+            return d.select("doc_id", "category", expit(-F.col("distance")).alias("score"))
         rows = docs.select("doc_id", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
         scores = [_scores(m.transform(rows), i, c) for i, (c, m) in enumerate(self.model)]
         out = scores[0]
@@ -47,13 +48,6 @@ def _scores(predicted: DataFrame, i: int, category: str) -> DataFrame:
     return predicted.select("doc_id", F.lit(category).alias("category"), score.alias("score"))
 
 
-def _least_distances(docs: DataFrame, centers: DataFrame, vector: str) -> DataFrame:
-    from quillspark.functions.similarity import squared_euclidean
-
-    pairs = docs.select("doc_id", F.col(vector).alias("__v")).join(centers)  # one row per class
-    return pairs.select("doc_id", "category", expit(-F.sqrt(squared_euclidean(F.col("__v"), F.col("centroid")))).alias("score"))
-
-
 def train(data: DataFrame, method: str = "LinearSVC", cv: str | None = None, vector: str = "vec", seed: int = 0) -> Categorizer:
     """Trains on doc_id, category and a vector. Categories are ordered by name; each has a
     binary model of its own, as liblinear does. ``cv`` 'fast' or 'full' picks the
@@ -113,6 +107,14 @@ def shape(scores: DataFrame, max_categories: int = 1, min_score: float | None =
     return kept.groupBy("doc_id").agg(F.first("by").alias("best"), parts.alias("scores")).orderBy(F.desc("best"), "doc_id")
 
 
+def training_scores(model: Categorizer, data: DataFrame, vector: str = "vec") -> DataFrame:
+    """One row of micro-averaged scores of the best category on the training documents."""
+    from quillspark.operators.metrics import micro_scores
+
+    best = shape(model.predict(data, vector)).select("doc_id", F.col("scores")[0]["category"].alias("y_pred"))
+    return micro_scores(data.select("doc_id", F.col("category").cast("string").alias("y_true")).join(best, "doc_id"))
+
+
 def sensitivity(weights: DataFrame, coefficients: DataFrame) -> DataFrame:
     """``doc_id``, ``term``, ``contribution``: term weight times the linear model's coefficient."""
     return weights.join(coefficients, "term").select("doc_id", "term", (F.col("weight") * F.col("coefficient")).alias("contribution"))

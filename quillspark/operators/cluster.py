@@ -123,6 +123,17 @@ def sparse_centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     return sums.join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("weight"))
 
 
+def sparse_similarities(weights: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The same as ``similarities`` over long tables; documents without terms have none."""
+    rows = weights.join(clusters, "doc_id").select("doc_id", "cluster_id", "term", "weight")
+    centers = sparse_centroids(weights, clusters).withColumnRenamed("weight", "m")
+    c_norm = centers.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("c_norm"))
+    dots = rows.join(centers, ["cluster_id", "term"]).groupBy("doc_id", "cluster_id").agg(F.sum(F.col("weight") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    one = dots.join(c_norm, "cluster_id").select("doc_id", "cluster_id", (F.col("dot") / F.nullif(F.col("norm") * F.col("c_norm"), F.lit(0.0))).alias("similarity"))
+    per = one.groupBy("cluster_id").agg(F.avg("similarity").alias("cluster_similarity"), F.count("*").alias("cluster_size"))
+    return one.join(per, "cluster_id").select("doc_id", "cluster_id", "similarity", "cluster_similarity", "cluster_size")
+
+
 def select_top_words(words: Sequence[str], n: int = 10, skip: Sequence[str] = (*ENGLISH, *GIVEN_NAMES, *LABEL_EXTRA)) -> list[str]:
     """The first n words whose stem is new, longer than two and begins with a letter."""
     left_out, stems, out = set(skip), set(), []

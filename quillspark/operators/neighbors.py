@@ -62,14 +62,47 @@ def centroids(train: DataFrame, label: str = "category", vector: str = "vec") ->
     return parts.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_centroid(docs: DataFrame, centers: DataFrame, vector: str = "vec", label: str = "category") -> DataFrame:
-    """``doc_id``, the nearest ``label`` and its Euclidean ``distance``; ties to the least label.
+def _rows_of(centers: DataFrame, label: str) -> tuple[list, np.ndarray]:
+    """Labels and centers in the order of the labels. Their number is fixed by the model; the
+    size of what travels with the tasks is checked."""
+    n, width = centers.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if n * (width or 1) > BLOCK_VALUES:
+        raise ValueError(f"{n} centers of {width} values are too many for a task")
+    rows = centers.select(label, "centroid").orderBy(label).collect()
+    return [r[0] for r in rows], np.array([r[1] for r in rows], float)
+
+
+def _distances(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(np.square(x - c).sum(axis=1)) for c in m], axis=1)
+
+
+def center_distances(docs: DataFrame, centers: DataFrame, vector: str = "vec", label: str = "category") -> DataFrame:
+    """``doc_id``, ``label``, Euclidean ``distance`` to every center."""
+    names, m = _rows_of(centers, label)
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), centers.schema[label].dataType.simpleString()]
 
-    ``centers`` has one row per class or cluster, a number fixed by the model.
-    """
-    pairs = docs.select("doc_id", F.col(vector).alias("__v")).join(centers)
-    d = F.sqrt(sim.squared_euclidean(F.col("__v"), F.col("centroid")))
-    return pairs.groupBy("doc_id").agg(F.min(F.struct(d.alias("distance"), F.col(label).alias(label))).alias("b")).select("doc_id", f"b.{label}", "b.distance")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and len(names):
+                d = _distances(np.stack([np.asarray(v, float) for v in pdf["v"]]), m)
+                yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), len(names)), label: names * len(pdf), "distance": d.ravel()})
+
+    return docs.select("doc_id", F.col(vector).alias("v")).mapInPandas(run, f"doc_id {kinds[0]}, `{label}` {kinds[1]}, distance double")
+
+
+def nearest_centroid(docs: DataFrame, centers: DataFrame, vector: str = "vec", label: str = "category") -> DataFrame:
+    """``doc_id``, the nearest ``label`` and its Euclidean ``distance``; ties to the least label."""
+    names, m = _rows_of(centers, label)
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), centers.schema[label].dataType.simpleString()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) and len(names):
+                d = _distances(np.stack([np.asarray(v, float) for v in pdf["v"]]), m)
+                best = d.argmin(axis=1)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], label: [names[k] for k in best], "distance": d[np.arange(len(d)), best]})
+
+    return docs.select("doc_id", F.col(vector).alias("v")).mapInPandas(run, f"doc_id {kinds[0]}, `{label}` {kinds[1]}, distance double")
 
 
 def centroid_score(docs: DataFrame, centers: DataFrame, vector: str = "vec") -> DataFrame:

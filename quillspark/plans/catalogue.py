@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from quillspark.functions import similarity as sim
 from quillspark.functions import text as tx
 from quillspark.functions import weighting as wt
 from quillspark.functions.stopwords import ENGLISH
+from quillspark.operators import birch as birch_tree_rows
 from quillspark.operators import categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads
 from quillspark.plans.tables import table
 
@@ -397,6 +399,15 @@ def metric_v_measure(spark, d):
     return metrics.v_measure(_docs(spark, d), "lang", "source").select(*_rounded("homogeneity", "completeness", "v_measure"))
 
 
+@query(
+    f"WITH {_GROUPED}, t AS (SELECT sum(n) AS t FROM c), ha AS (SELECT -sum(m / t * ln(m / t)) AS h FROM (SELECT sum(n) AS m FROM c GROUP BY a), t),"
+    " hb AS (SELECT -sum(m / t * ln(m / t)) AS h FROM (SELECT sum(n) AS m FROM c GROUP BY b), t), hab AS (SELECT -sum(n / t * ln(n / t)) AS h FROM c, t)"
+    " SELECT round(ha.h + hb.h - hab.h, 6) AS mi, round(ha.h, 6) AS ha, round(hb.h, 6) AS hb FROM ha, hb, hab"
+)
+def metric_mutual_information(spark, d):
+    return metrics.mutual_information(_docs(spark, d), "lang", "source").select(*_rounded("mi", "ha", "hb"))
+
+
 @query("SELECT round(1 - abs(x - y) / greatest(x, y), 6) AS ratio_duplicates FROM (SELECT count(*) - count(DISTINCT md5(text)) AS x, count(*) - count(DISTINCT n_chars) AS y FROM documents)")
 def metric_ratio_duplicates(spark, d):
     return metrics.ratio_duplicates(_docs(spark, d).select(F.md5("text").alias("x"), F.col("n_chars").alias("y"))).select(*_rounded("ratio_duplicates"))
@@ -460,6 +471,26 @@ def nearest_centroid(spark, d):
     return neighbors.nearest_centroid(v, neighbors.centroids(v)).select("doc_id", "category", *_rounded("distance"))
 
 
+@query(f"WITH {_CENTERS} SELECT doc_id, c.category, round(list_distance(vec, centroid), 6) AS distance FROM v, c")
+def center_distances(spark, d):
+    v = _vectors(spark, d)
+    return neighbors.center_distances(v, neighbors.centroids(v)).select("doc_id", "category", *_rounded("distance"))
+
+
+@query(
+    f"WITH {_NNC}, y AS (SELECT doc_id, lang AS cluster_id, term, w FROM x JOIN documents USING (doc_id)), k AS (SELECT lang AS cluster_id, count(*) AS k FROM documents GROUP BY lang),"
+    " c AS (SELECT cluster_id, term, sum(w) / any_value(k) AS m FROM y JOIN k USING (cluster_id) GROUP BY cluster_id, term), cn AS (SELECT cluster_id, sqrt(sum(m * m)) AS cn FROM c GROUP BY cluster_id),"
+    " s AS (SELECT doc_id, cluster_id, sum(w * m) / (sqrt(sum(w * w)) * any_value(cn)) AS s FROM y JOIN c USING (cluster_id, term) JOIN cn USING (cluster_id) GROUP BY doc_id, cluster_id)"
+    " SELECT doc_id, cluster_id, round(s, 6) AS similarity, round(avg(s) OVER w, 6) AS cluster_similarity, count(*) OVER w AS cluster_size FROM s WINDOW w AS (PARTITION BY cluster_id)"
+)
+def cluster_similarity_sparse(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    s = cluster.sparse_similarities(x, docs.select("doc_id", F.col("lang").alias("cluster_id")))
+    return s.select("doc_id", "cluster_id", *_rounded("similarity", "cluster_similarity"), "cluster_size")
+
+
 _SIMILAR = f"{_CENTERS}, s AS (SELECT doc_id, v.category AS cluster_id, list_cosine_similarity(vec, centroid) AS similarity FROM v JOIN c USING (category))"
 
 
@@ -531,6 +562,30 @@ def birch(spark, d):
     return cluster.birch_clusters(_unit(spark, d), 0.6, n_clusters=10)[0]
 
 
+@query()
+def birch_tree(spark, d):
+    v = _unit(spark, d).orderBy("doc_id").toPandas()  # the exact tree is for data that fits one process
+    return birch_tree_rows.tree_frame(spark, birch_tree_rows.fit_tree(np.stack(list(v["vec"])), v["doc_id"].tolist(), 0.8, 20))
+
+
+@query()
+def categorize_training_scores(spark, d):
+    v = _vectors(spark, d)
+    return categorize.training_scores(categorize.train(v, "NearestCentroid"), v)
+
+
+@query()
+def lsi_appended(spark, d):
+    """Documents that arrive later are projected with the frozen model."""
+    docs = _docs(spark, d)
+    old = docs.where("doc_id % 10 <> 0")
+    tf = features.term_frequencies(old, VECTOR_TERMS)
+    model = features.fit(old, VECTOR_TERMS, tf=tf)
+    x = model.weigh(tf).persist()
+    space = lsi.fit(x, old.count(), 10)
+    return space.transform(x).unionByName(space.transform(model.transform(docs.where("doc_id % 10 = 0"))))
+
+
 @query()
 def lsi_vectors(spark, d):
     docs = _docs(spark, d)
