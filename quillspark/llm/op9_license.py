@@ -124,31 +124,27 @@ class Index:
         at = at[known[at]]
         first, last = (np.searchsorted(self.keys, grams[at], side) for side in ("left", "right"))
         hits = sorted((int(self.template[r]), int(p - self.place[r]), int(p)) for p, a, b in zip(at, first, last, strict=True) for r in range(a, b))
-        found = []
+        found: list[tuple[int, int, int, int]] = []
+        left, of = hashes, -1
         while hits:
             template, low, _ = hits[0]
-            group = 1
-            while group < len(hits) and hits[group][0] == template and hits[group][1] - low <= 2 * BAND:
-                group += 1
+            if template != of:
+                left, of = hashes.copy(), template
+            size = next((k for k, h in enumerate(hits) if h[0] != template or h[1] - low > 2 * BAND), len(hits))
+            group, hits = hits[:size], hits[size:]
             own = self.words[template]
-            # a candidate per repeat of the template along the text
-            places = sorted(h[2] for h in hits[:group])
-            diagonals = sorted({h[1] for h in hits[:group]})
-            middle = (diagonals[0] + diagonals[-1]) // 2
-            matched, begin, end = align(own, hashes, middle, BAND + (diagonals[-1] - diagonals[0] + 1) // 2)
-            if places and matched >= coverage * len(own):
+            while group:  # a short template may stand there several times within the band
+                low, high = min(h[1] for h in group), max(h[1] for h in group)
+                matched, begin, end = align(own, left, (low + high) // 2, BAND + (high - low + 1) // 2)
+                if matched < coverage * len(own):
+                    break
                 found.append((begin, end, template, matched))
-            hits = hits[group:]
+                left[begin:end] = 0
+                group = [h for h in group if not begin <= h[2] < end]
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text)] if len(text) == len(text.lower()) else _spans(text)
-        out: list[tuple[int, int, int, int]] = []
-        for begin, end, template, matched in sorted(found, key=lambda f: (f[2], f[0], f[1])):
-            if not out or out[-1][2] != template or begin >= out[-1][1]:
-                out.append((begin, end, template, matched))
-            elif matched > out[-1][3]:
-                out[-1] = (begin, end, template, matched)
-        out = [x for x in out if not any(_within(x, y, self.words) for y in out)]
+        out = [x for x in found if not any(_within(x, y, self.words) for y in found)]
         return [
             (self.names[t], m / len(self.words[t]), m, len(self.words[t]), spans[b][0], spans[e - 1][1])
             for b, e, t, m in sorted(out)
@@ -175,7 +171,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, text: str
     ``template_words``, ``start_char``, ``end_char`` (exclusive).
 
     Null, empty and short texts match nothing; templates under three words are not found;
-    overlapping matches of one template give the fullest, the first of equals; a match
+    matches of one template do not overlap, the fullest is taken first; a match
     within the span of another template's fuller match is left out; repeated rows repeat their matches. Other columns are not read.
     """
     base = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
