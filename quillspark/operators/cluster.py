@@ -18,6 +18,7 @@ from quillspark.functions.stopwords import ENGLISH, GIVEN_NAMES, LABEL_EXTRA
 from quillspark.operators import birch
 from quillspark.operators.components import connected_components
 from quillspark.operators.neighbors import centroids, nearest_centroid
+from quillspark.operators.running import running_sums
 from quillspark.plans.scratch import Scratch
 
 MAX_LABEL_TERMS = 1000
@@ -112,8 +113,10 @@ def similarities(vectors: DataFrame, clusters: DataFrame, vector: str = "vec") -
     mean) and ``cluster_size``."""
     rows = vectors.select("doc_id", F.col(vector).alias("vec")).join(clusters, "doc_id")
     joined = rows.join(centroids(rows, "cluster_id"), "cluster_id").select("doc_id", "cluster_id", sim.cosine(F.col("vec"), F.col("centroid")).alias("similarity"))
-    w = Window.partitionBy("cluster_id")
-    return joined.withColumns({"cluster_similarity": F.avg("similarity").over(w), "cluster_size": F.count("*").over(w)})
+    scratch = Scratch(vectors.sparkSession, "similarity")
+    joined = scratch.save(joined, "rows")
+    per = scratch.save(joined.groupBy("cluster_id").agg(F.avg("similarity").alias("cluster_similarity"), F.count("*").alias("cluster_size")), "clusters")
+    return joined.join(per, "cluster_id").select("doc_id", "cluster_id", "similarity", "cluster_similarity", "cluster_size")
 
 
 def sparse_centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -195,10 +198,9 @@ def sample_clusters(members: DataFrame, min_coverage: float) -> DataFrame:
     """The same cut for flat clusters: ``cluster_id``, ``doc_id``, ``cluster_size``. ``members``
     has doc_id, cluster_id, similarity. Only one row per cluster is ordered."""
     per = members.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), F.max_by("doc_id", F.struct(F.col("similarity"), -F.col("doc_id"))).alias("doc_id"))
-    order = Window.orderBy(F.desc("cluster_size"), "cluster_id")
-    before = F.coalesce(F.sum("cluster_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("cluster_size").over(Window.partitionBy())
-    return per.withColumn("keep", before <= total * min_coverage).where("keep").select("cluster_id", "doc_id", "cluster_size")
+    total = per.agg(F.sum("cluster_size").alias("total"))  # one row
+    summed = running_sums(per, [F.desc("cluster_size"), "cluster_id"], {"cluster_size": "upto"}).join(total)
+    return summed.where(F.col("upto") - F.col("cluster_size") <= F.col("total") * min_coverage).select("cluster_id", "doc_id", "cluster_size")
 
 
 def ward(vectors: np.ndarray, n_clusters: int) -> np.ndarray:

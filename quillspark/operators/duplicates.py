@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.components import connected_components
+from quillspark.operators.running import with_group_size
 from quillspark.plans.scratch import Scratch
 
 BITS = 64
@@ -57,7 +58,8 @@ def simhash_clusters(hashes: DataFrame, distance: int = 1, bits: int = BITS) ->
 
 def exact_groups(hashes: DataFrame, column: str = "simhash") -> DataFrame:
     """``doc_id``, ``cluster_id``: the least doc_id with the same value."""
-    least = hashes.groupBy(column).agg(F.min("doc_id").alias("cluster_id"))
+    # written, so that a very common value can be split where it is joined
+    least = Scratch(hashes.sparkSession, "groups").save(hashes.groupBy(column).agg(F.min("doc_id").alias("cluster_id")), "least")
     return hashes.join(least, column).select("doc_id", "cluster_id")
 
 
@@ -110,5 +112,4 @@ def single_pass_merge(rows: Iterable[Sequence[int]]) -> list[int]:
 
 def duplicate_groups(clusters: DataFrame) -> DataFrame:
     """Clusters of more than one document, with ``n_docs``."""
-    n = F.count("*").over(Window.partitionBy("cluster_id"))
-    return clusters.withColumn("n_docs", n).where("n_docs > 1")
+    return with_group_size(clusters, "cluster_id", "n_docs").where("n_docs > 1")

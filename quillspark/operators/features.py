@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions import weighting as wt
 from quillspark.functions.stopwords import ENGLISH
+from quillspark.operators.running import numbered
 
 
 @dataclass(frozen=True)
@@ -76,16 +77,8 @@ def vocabulary(df: DataFrame, n_docs: int, min_df: float | int = 1, max_df: floa
 
 
 def indexed(vocab: DataFrame) -> DataFrame:
-    """``vocab`` with ``idx``, the place of the term in alphabetical order, from 0.
-
-    Terms are range partitioned; the start of each partition is the sum of the sizes before
-    it, one row per partition.
-    """
-    spread = vocab.repartitionByRange("term").withColumn("part", F.spark_partition_id())
-    ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("term")))
-    sizes = spread.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    return ranked.join(starts, "part").withColumn("idx", F.col("start") + F.col("rank") - 1).drop("part", "rank", "start")
+    """``vocab`` with ``idx``, the place of the term in alphabetical order, from 0."""
+    return numbered(vocab, ["term"], name="idx")
 
 
 @dataclass

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.running import numbered
+
 KEYS = (("internal_id",), ("document_id", "rendition_id"), ("document_id",), ("file_path",))
 
 
@@ -14,19 +16,6 @@ class NotFound(LookupError):
     """A key of a query is not in the index."""
 
 
-def numbered(docs: DataFrame, order: Sequence[str | Column], offset: int = 0, name: str = "internal_id") -> DataFrame:
-    """``docs`` with consecutive numbers in the given order, from ``offset``.
-
-    Rows are range partitioned by the order and numbered within partitions; the start of a
-    partition is the sum of the sizes before it, so no task sees all rows.
-    """
-    spread = docs.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranked = spread.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    return ranked.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__rank") - 1 + offset).drop("__part", "__rank", "__start")
-
-
 def key_of(columns: Sequence[str]) -> tuple[str, ...]:
     """The key to look up by: the first of the known keys that the columns hold."""
     for key in KEYS:
@@ -47,7 +36,7 @@ def search(index: DataFrame, query: DataFrame, drop: bool = True, strict: bool =
     query's own if it has that column. ``drop`` leaves out other columns of the query."""
     key = key_of([c for c in query.columns if c in index.columns])
     if "sort_order" not in query.columns:
-        query = numbered(query, [F.monotonically_increasing_id()], name="sort_order")
+        query = numbered(query.withColumn("__at", F.monotonically_increasing_id()), ["__at"], name="sort_order").drop("__at")
     if strict and not query.join(index, list(key), "left_anti").isEmpty():
         raise NotFound(f"keys {key} that the index lacks")
     more = [] if drop else [c for c in query.columns if c not in index.columns and c != "sort_order"]

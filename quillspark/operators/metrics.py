@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.running import numbered, running_sums, with_group_size
+
 
 def matched(truth: DataFrame, predicted: DataFrame, on: str = "doc_id") -> DataFrame:
     """Rows of both sides with the same id."""
@@ -28,13 +30,9 @@ def micro_scores(rows: DataFrame, truth: str = "y_true", predicted: str = "y_pre
 
 
 def _by_score(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Per distinct score: rows, relevant rows, and both cumulated from the top.
-
-    Ranks need all scores in order, but only one row per distinct score is ordered.
-    """
+    """Per distinct score: rows, relevant rows, and both cumulated from the top."""
     per = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum((F.col(truth) == 1).cast("long")).alias("pos"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("s", "n", "pos", F.sum("n").over(down).alias("upto_n"), F.sum("pos").over(down).alias("upto_pos"))
+    return running_sums(per, [F.desc("s")], {"n": "upto_n", "pos": "upto_pos"})
 
 
 def roc_auc(rows: DataFrame, truth: str = "y_true", score: str = "score") -> DataFrame:
@@ -56,10 +54,11 @@ def average_precision(rows: DataFrame, truth: str = "y_true", score: str = "scor
 def recall_at_k(rows: DataFrame, k: float | int, truth: str = "y_true", score: str = "score", tie: str = "doc_id") -> DataFrame:
     """One row ``recall_at_k``: share of the relevant rows among the best k; a float k is a
     share of all rows, rounded down. Ties go to the greater id."""
-    n = F.floor(F.lit(k) * F.count("*").over(Window.partitionBy())) if isinstance(k, float) else F.lit(k)
-    order = Window.orderBy(F.desc(score), F.desc(tie))
-    ranked = rows.select((F.col(truth) == 1).cast("long").alias("rel"), F.row_number().over(order).alias("rn"), n.alias("k"))
-    return ranked.agg((F.coalesce(F.sum(F.when(F.col("rn") <= F.col("k"), F.col("rel"))), F.lit(0)) / F.nullif(F.sum("rel"), F.lit(0))).alias("recall_at_k"))
+    most = F.floor(F.lit(k) * F.count("*")) if isinstance(k, float) else F.lit(k)
+    ranked = numbered(rows.select((F.col(truth) == 1).cast("long").alias("rel"), score, tie), [F.desc(score), F.desc(tie)], name="rn")
+    whole = rows.agg(most.alias("most"))  # one row
+    found = F.coalesce(F.sum(F.when(F.col("rn") < F.col("most"), F.col("rel"))), F.lit(0))
+    return ranked.join(whole).agg((found / F.nullif(F.sum("rel"), F.lit(0))).alias("recall_at_k"))
 
 
 def categorization_score(rows: DataFrame, truth: str = "y_true", score: str = "score") -> dict[str, float]:
@@ -132,32 +131,34 @@ def adjusted_mutual_information(rows: DataFrame, a: str = "y_true", b: str = "y_
     return 1.0 if abs(top - expected) < 1e-15 else (mi - expected) / (top - expected)
 
 
-def _copies(label: str) -> Column:
-    return F.count("*").over(Window.partitionBy(label))
-
-
 def ratio_duplicates(rows: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
     """One row: 1 - |da - db| / max(da, db) with d = rows - distinct labels; null without any."""
     d = rows.agg((F.count("*") - F.count_distinct(a)).alias("da"), (F.count("*") - F.count_distinct(b)).alias("db"))
     return d.select((1 - F.abs(F.col("da") - F.col("db")) / F.nullif(F.greatest("da", "db"), F.lit(0))).alias("ratio_duplicates"))
 
 
+def _sized(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return with_group_size(with_group_size(rows.select(a, b), a, "ca"), b, "cb")
+
+
 def f1_same_duplicates(rows: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
     """One row: F1 over whether a row's group has others."""
-    flags = rows.select((_copies(a) > 1).cast("int").alias("y_true"), (_copies(b) > 1).cast("int").alias("y_pred"))
+    sized = _sized(rows, a, b)
+    flags = sized.select((F.col("ca") > 1).cast("int").alias("y_true"), (F.col("cb") > 1).cast("int").alias("y_pred"))
     return precision_recall_f1(flags).select(F.col("f1").alias("f1_same_duplicates"))
 
 
 def mean_duplicates_count(rows: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
     """One row: mean of 1 - |ca - cb| / max(ca, cb) over rows with others in either; null
     without any."""
-    c = rows.select(_copies(a).alias("ca"), _copies(b).alias("cb")).where((F.col("ca") > 1) | (F.col("cb") > 1))
+    c = _sized(rows, a, b).where((F.col("ca") > 1) | (F.col("cb") > 1))
     return c.agg(F.avg(1 - F.abs(F.col("ca") - F.col("cb")) / F.greatest("ca", "cb")).alias("mean_duplicates_count"))
 
 
 def noisy_from_unique(rows: DataFrame, label: str = "label") -> DataFrame:
     """Labels of single rows become -1."""
-    return rows.withColumn(label, F.when(_copies(label) == 1, -1).otherwise(F.col(label)))
+    sized = with_group_size(rows, label, "__n")
+    return sized.withColumn(label, F.when(F.col("__n") == 1, -1).otherwise(F.col(label))).drop("__n")
 
 
 def unique_from_noisy(rows: DataFrame, label: str = "label", id_col: str = "doc_id") -> DataFrame:
