@@ -14,7 +14,7 @@ import xxhash
 
 SIZE = 5
 WORD = re.compile(r"\w+")
-MAX_CACHED = 500_000
+MAX_CACHED = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
