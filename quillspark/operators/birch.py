@@ -216,6 +216,31 @@ def tree_frame(spark, tree: Tree) -> DataFrame:
     return spark.createDataFrame(rows, TREE)
 
 
+def hierarchy(vectors: DataFrame, threshold: float = 0.5, branching: int = 50, vector: str = "vec") -> tuple[DataFrame, DataFrame]:
+    """The tree over the condensed features of a distributed fit: nodes (``cluster_id``,
+    ``parent_id``, ``depth``, ``children``, ``cluster_size``), and the deepest node of each
+    document (``doc_id``, ``cluster_id``). Only features and nodes reach the driver."""
+    from quillspark.operators.neighbors import nearest_centroid
+
+    spark = vectors.sparkSession
+    centers = fit_distributed(vectors, threshold, branching, vector=vector)
+    tree = Tree(threshold, branching)
+    for r in centers.orderBy("cluster_id").collect():  # at most MAX_FEATURES
+        x = np.array(r["centroid"])
+        tree.insert(Feature(1.0, x, float(x @ x), ids=[r["cluster_id"]]))
+    rows = tree_rows(tree)
+    deepest = {leaf: r["cluster_id"] for r in rows for leaf in r["doc_ids"]}  # rows go down the tree
+    leaves = spark.createDataFrame(list(deepest.items()), "leaf int, node int")
+    members = nearest_centroid(vectors, centers, vector, "cluster_id").select("doc_id", F.col("cluster_id").alias("leaf")).join(leaves, "leaf").select("doc_id", F.col("node").alias("cluster_id"))
+    held = {r["node"]: r["n"] for r in members.groupBy(F.col("cluster_id").alias("node")).agg(F.count("*").alias("n")).collect()}
+    size = {r["cluster_id"]: held.get(r["cluster_id"], 0) for r in rows}
+    for r in reversed(rows):
+        if r["parent_id"] is not None:
+            size[r["parent_id"]] += size[r["cluster_id"]]
+    nodes = [(r["cluster_id"], r["parent_id"], r["depth"], r["children"], size[r["cluster_id"]]) for r in rows]
+    return spark.createDataFrame(nodes, "cluster_id int, parent_id int, depth int, children array<int>, cluster_size bigint"), members
+
+
 def limit_depth(rows: DataFrame, depth: int) -> DataFrame:
     """Nodes up to a depth; those at it have no children."""
     return rows.where(F.col("depth") <= depth).withColumn("children", F.when(F.col("depth") < depth, F.col("children")).otherwise(F.array().cast("array<int>")))

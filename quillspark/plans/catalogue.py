@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from quillspark.functions import similarity as sim
 from quillspark.functions import text as tx
 from quillspark.functions import weighting as wt
 from quillspark.functions.stopwords import ENGLISH
-from quillspark.operators import birch as birch_tree_rows
+from quillspark.operators import birch as birch_nodes
 from quillspark.operators import categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads
 from quillspark.plans.tables import table
 
@@ -564,8 +563,7 @@ def birch(spark, d):
 
 @query()
 def birch_tree(spark, d):
-    v = _unit(spark, d).orderBy("doc_id").toPandas()  # the exact tree is for data that fits one process
-    return birch_tree_rows.tree_frame(spark, birch_tree_rows.fit_tree(np.stack(list(v["vec"])), v["doc_id"].tolist(), 0.8, 20))
+    return birch_nodes.hierarchy(_unit(spark, d), 0.8, 20)[0]
 
 
 @query()

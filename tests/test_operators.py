@@ -227,6 +227,18 @@ def test_birch(spark):
     assert cut.agg(F.max("depth")).first()[0] == 1 and cut.where("depth = 1 and size(children) > 0").isEmpty()
 
 
+def test_distributed_hierarchy(spark):
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.normal(c, 0.1, (40, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 3, 3))])
+    nodes, members = birch.hierarchy(vectors(spark, m).repartition(3), 0.4, 5)
+    rows = {r["cluster_id"]: r for r in nodes.collect()}
+    assert rows[0]["cluster_size"] == 120 and members.count() == 120
+    for r in rows.values():
+        assert not r["children"] or r["cluster_size"] == sum(rows[c]["cluster_size"] for c in r["children"])
+    by = labels(members)
+    assert all(len({by[i] for i in range(k, k + 40)} & {by[i] for i in range(j, j + 40)}) == 0 for k, j in ((0, 40), (0, 80), (40, 80)))
+
+
 def test_within_is_exact(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(150, 3))
