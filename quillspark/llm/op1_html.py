@@ -6,8 +6,8 @@ Parts that declare themselves as something else than the article (by element, ro
 class) never become lines. The text-to-tag ratio of the lines is smoothed with a Gaussian
 and clustered in two around a threshold; the heavy cluster selects the content region.
 The region is then completed to its element: all lines of the ``article`` (or ``main``)
-that holds most of it, or, without such an element, all lines from its first to its
-last, with the heading right above.
+that holds most of it, or, without such an element, those of the innermost container
+around it.
 
 White space inside a line becomes one space, lines are joined by one newline. Null,
 empty and mark-up-only pages give an empty text; repeated rows are done each for itself;
@@ -16,6 +16,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import os.path
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -34,7 +35,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold other blocks.
+CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd pre caption figcaption legend summary address".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 OUTSIDE = frozenset(
@@ -54,21 +56,25 @@ IMPLIED = {
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status note".split())
 #: Words that, first or last in the name of a class or id, mark what is not the article.
 NAMES = (
-    r"ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|sponsors|promo|promotion|sidebar|menu|nav|navbar"
-    r"|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|cookie|cookies|consent|gdpr|notice|notices|notification|popup|modal"
-    r"|overlay|comment|comments|replies|disqus|discussion|respond|share|sharing|social|related|recommended|recommendations|newsletter"
-    r"|subscribe|subscription|signup|login|searchbox|widget|widgets|toolbar|pagination|pager|skiplink|outbrain|taboola"
+    r"ads?|ad(?:s?box|block|slot|unit|container|wrap(?:per)?|sense)|advert\w*|banners?|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|side(?:bar|nav|menu|column)s?|menus?"
+    r"|nav(?:bar|igation|menu|links)?|breadcrumbs?|footer|masthead|topbar|cookies?|cookie(?:bar|banner|notice|consent)|consent|gdpr|notices?|notifications?|popups?|modal"
+    r"|overlay|comments?|comment(?:list|area|section|form|box|thread)|replies|disqus|discussion|respond|share|sharing|social|related|recommended|recommendations"
+    r"|newsletter|subscribe|subscription|signup|login|search(?:box|form|bar)|widgets?|toolbar|pagination|pager|skiplinks?|outbrain|taboola"
 )
 MARKED = re.compile(rf"(?:^|\s)(?!(?:has|with|no)[-_])(?:(?:{NAMES})(?:[-_][\w-]*)?|[\w-]*[-_](?:{NAMES}))(?=\s|$)", re.I)
 HEADER = re.compile(r"(?:^|\s)(?:[\w-]+[-_])?header(?=\s|$)", re.I)
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Line:
-    __slots__ = ("heading", "home", "link", "tags", "text")
+    """Text, tags in it (its own included), characters in links, the article or main element
+    around it, and the numbers of the containers around it, outermost first."""
 
-    def __init__(self, text: str, tags: int, link: int, heading: bool, home: int):
-        self.text, self.tags, self.link, self.heading, self.home = text, tags, link, heading, home
+    __slots__ = ("home", "link", "path", "tags", "text")
+
+    def __init__(self, text: str, tags: int, link: int, home: int, path: tuple[int, ...]):
+        self.text, self.tags, self.link, self.home, self.path = text, tags, link, home, path
 
 
 class PageLines(HTMLParser):
@@ -80,6 +86,8 @@ class PageLines(HTMLParser):
         self.lines: list[Line] = []
         self.homes = 0
         self._stack: list[tuple[str, bool, int]] = []  # element, starts an outside part, home within
+        self._path: list[int] = []  # numbers of the open containers
+        self._containers = 0
         self._outside = 0
         self._home = 0
         self._links = 0
@@ -94,16 +102,16 @@ class PageLines(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split()) if self._text else ""
         if text:
-            heading = any(t in HEADINGS for t, _, _ in self._stack[-4:])
-            self.lines.append(Line(text, max(1, self._tags), self._link_chars, heading, self._home))
-            self._tags = 0
-        self._text, self._link_chars = [], 0
+            self.lines.append(Line(text, max(1, self._tags), self._link_chars, self._home, tuple(self._path)))
+        self._text, self._link_chars, self._tags = [], 0, 0
 
     def _pop(self, depth: int) -> None:
         while len(self._stack) > depth:
             tag, outside, _ = self._stack.pop()
             self._outside -= outside
             self._links -= tag == "a"
+            if tag in CONTAINERS:
+                self._path.pop()
             self._home = self._stack[-1][2] if self._stack else 0
 
     def _is_outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -115,6 +123,7 @@ class PageLines(HTMLParser):
             return False
         a = dict(attrs)
         names = f"{a.get('class') or ''} {a.get('id') or ''}"
+        names = f"{names} {HUMP.sub('-', names)}"
         if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style") or ""):
             return True
         if tag == "main":
@@ -151,6 +160,9 @@ class PageLines(HTMLParser):
                 self.homes += 1
                 home = self.homes
         self._stack.append((tag, outside, home))
+        if tag in CONTAINERS:
+            self._containers += 1
+            self._path.append(self._containers)
         self._outside += outside
         self._home = home
         self._links += tag == "a"
@@ -203,6 +215,17 @@ def heavy(ratios: np.ndarray) -> np.ndarray:
     return ratios >= threshold
 
 
+def _completed(lines: list[Line], content: np.ndarray) -> list[Line]:
+    """The lines of the content region: from its first line to its last, and outside of that
+    those that stand in the same part of the innermost container around it, or directly in
+    that container, and are not mostly links."""
+    at = np.flatnonzero(content)
+    paths = [lines[i].path for i in at]
+    depth = len(os.path.commonprefix(paths))
+    parts = {p[: depth + 1] for p in paths} | {paths[0][:depth]}
+    return [x for i, x in enumerate(lines) if at[0] <= i <= at[-1] or (x.path[: depth + 1] in parts and 2 * x.link <= len(x.text))]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
@@ -224,11 +247,7 @@ def main_text(html: str | None) -> str:
     if home:
         chosen = [x for x in lines if x.home == home]
     else:
-        at = np.flatnonzero(content & np.array([x.home == 0 for x in lines]))
-        first, last = int(at[0]), int(at[-1])
-        while first and lines[first - 1].heading:
-            first -= 1
-        chosen = [x for x in lines[first : last + 1] if not x.home]
+        chosen = _completed([x for x in lines if not x.home], content[[not x.home for x in lines]])
     return "\n".join(x.text for x in chosen)
 
 
