@@ -76,6 +76,24 @@ def test_odd_pages(page):
     assert isinstance(op1_html.main_text(page), str)
 
 
+OTHER = ["ad", "ad-slot top", "adBox", "siteFooter", "cookieBanner", "main-nav", "commentlist", "reader-comments", "post_comments", "related-posts", "sideBar", "notice notice-info", "newsletter"]
+
+
+@pytest.mark.parametrize("name", OTHER)
+def test_marked_parts_are_left_out(name):
+    part = "<p>Other words that are many and long enough to look like an article, all of them in one line.</p>"
+    own = "<p>Some words of the article itself, with a good length too.</p><p>More words of the article, in a second line of it.</p>"
+    expected = op1_html.main_text(f"<body><div>{own}</div></body>")
+    for kind in ("class", "id"):
+        for page in (f"<body><div>{own}</div><div {kind}='{name}'>{part}</div></body>", f"<body><article>{own}<section {kind}='{name}'>{part}</section></article></body>"):
+            assert op1_html.main_text(page) == expected
+
+
+@pytest.mark.parametrize("name", ["content", "has-sidebar", "with-ads", "header-image-post", "shadow", "commentary", "navy", "download", "thread"])
+def test_other_names_stay(name):
+    assert op1_html.main_text(f"<body><div class='{name}'><p>Some words of the article itself, with a good length.</p></div></body>").startswith("Some words")
+
+
 def test_edge_pages(spark):
     rows = [(1, None, None, "x"), (2, "u", "", None), (2, "u", "", None), (3, "u", "<p>" + "word " * 200_000 + "</p>", "y")]
     out = op1_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
