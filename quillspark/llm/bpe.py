@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 FAST_BELOW = 0x250
-MAX_PIECES = 400_000
+MAX_PIECES = 800_000
 
 
 def byte_table() -> list[str]:
