@@ -5,7 +5,9 @@ The lines with a character other than white space are a sequence per document. F
 select the same line: its hash is their fingerprint. Fingerprints that occur once are
 dropped; the others are joined with the runs around them, which extends a match to both
 sides line by line. A line goes if it lies in a run of ``RUN`` lines or more that also
-occurs earlier (smaller doc_id, or same document, earlier line).
+occurs earlier (smaller doc_id, or same document, earlier line). With ``alone``, a line of
+more words than that is a run by itself, so one-line passages and one-line documents are
+searched too.
 
 Counts and first places are aggregated before the shuffle; the joins meet one row per
 fingerprint, so a fingerprint of a third of all documents can be split by skew handling.
@@ -19,15 +21,22 @@ from pyspark.sql import functions as F
 from quillspark.plans.scratch import Scratch
 
 RUN = 2
+#: A line of more words is a passage by itself.
+ALONE = 50
 
 
-def _runs(docs: DataFrame, text: str) -> DataFrame:
-    """Every run of RUN lines: doc, the places of its lines, its fingerprint and its hash."""
+def _runs(docs: DataFrame, text: str, alone: int | None = None) -> DataFrame:
+    """Every run of RUN lines, and every line of over ``alone`` words: doc, the places of its
+    lines, its fingerprint and its hash."""
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), x.rlike(r"[^ \t\r\f\x0B]").alias("full")))
-    kept = F.transform(F.filter(numbered, lambda x: x["full"]), lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h")))
-    sequence = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), kept.alias("lines")).where(F.size("lines") >= RUN)
+    long = lambda x: [] if alone is None else [((F.length(x) > 2 * alone) & (F.regexp_count(x, F.lit(r"\S+")) > alone)).alias("long")]
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), x.rlike(r"[^ \t\r\f\x0B]").alias("full"), *long(x)))
+    names = ["at", "h"] if alone is None else ["at", "h", "long"]
+    kept = F.transform(F.filter(numbered, lambda x: x["full"]), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+    sequence = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), kept.alias("lines")).where(F.size("lines") >= (RUN if alone is None else 1))
     starts = F.sequence(F.lit(0), F.size("lines") - RUN)
+    if alone is not None:  # a document of fewer lines has no start
+        starts = F.when(F.size("lines") >= RUN, starts).otherwise(F.array().cast("array<int>"))
 
     def run(i: Column) -> Column:
         part = [F.get("lines", i + k) for k in range(RUN)]
@@ -38,13 +47,20 @@ def _runs(docs: DataFrame, text: str) -> DataFrame:
             F.xxhash64(*hashes, F.lit(RUN)).alias("whole"),
         )
 
-    return sequence.select("doc", F.explode(F.transform(starts, run)).alias("r")).select("doc", "r.at", "r.fingerprint", "r.whole")
+    def single(x: Column) -> Column:
+        whole = F.xxhash64(x["h"], F.lit(1))
+        return F.struct(F.array(x["at"]).alias("at"), whole.alias("fingerprint"), whole.alias("whole"))
 
+    found = F.transform(starts, run)
+    if alone is not None:
+        found = F.concat(found, F.transform(F.filter("lines", lambda x: x["long"]), single))
+    return sequence.select("doc", F.explode(found).alias("r")).select("doc", "r.at", "r.fingerprint", "r.whole")
 
-def repeated_lines(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, alone: int | None = None) -> DataFrame:
     """``doc`` and ``gone``, the ascending places of its lines that go, where there are any."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    runs = scratch.save(_runs(docs, text), "runs")
+    runs = scratch.save(_runs(docs, text, alone), "runs")
     often = scratch.save(runs.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "fingerprints")
     matched = scratch.save(runs.join(often, "fingerprint").select("doc", "at", "whole"), "matched")
     first = matched.groupBy("whole").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("whole", "first")
@@ -66,7 +82,7 @@ def _without(text: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(bound), kept), F.lit(0))
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", alone: int | None = None) -> DataFrame:
     """All columns of ``docs``, the text without its repeated runs, and ``n_lines`` (all lines
     of the input, blank ones too) and ``n_removed``.
 
@@ -75,7 +91,7 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     searched nor changed. Blank lines break no run and stay. A column that has the name of an
     output column is replaced.
     """
-    gone = repeated_lines(docs, text).select(F.col("doc").alias("__qs_doc"), F.col("gone").alias("__qs_gone"))
+    gone = repeated_lines(docs, text, alone=alone).select(F.col("doc").alias("__qs_doc"), F.col("gone").alias("__qs_gone"))
     source = F.col(f"`{text}`")
     lines = F.when(source.isNull(), 0).otherwise(F.size(F.split(source, "\n", -1))).cast("long")
     joined = docs.join(gone, docs["doc_id"] == F.col("__qs_doc"), "left").drop("n_lines", "n_removed").withColumn("n_lines", lines)
@@ -86,9 +102,9 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumn(text, shortened).drop("__qs_doc", "__qs_gone")
 
 
-def strip_lines(docs: DataFrame) -> DataFrame:
+def strip_lines(docs: DataFrame, alone: int | None = None) -> DataFrame:
     """``docs`` with its own columns: ``text`` deduplicated, ``n_chars`` of what is left."""
-    out = dedup(docs)
+    out = dedup(docs, alone=alone)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

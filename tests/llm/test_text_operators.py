@@ -125,6 +125,16 @@ def test_line_dedup_edges(spark):
     assert op2_lines.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_single_lines(spark):
+    rng = random.Random(2)
+    passage, short = prose(rng, 60), prose(rng, 50)
+    docs = [(1, passage), (2, f"own a\n{passage}\nown b"), (3, passage), (4, f"own c\n{short}\nown d"), (5, f"own e\n{short}\nown f"), (6, f"{passage}\nown g\n{passage}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["text"] for r in op2_lines.dedup(df, alone=op2_lines.ALONE).collect()}
+    assert out == {**dict(docs), 2: "own a\nown b", 3: "", 6: "own g"}
+    assert {r["doc_id"]: r["text"] for r in op2_lines.dedup(df).collect()} == dict(docs)
+
+
 def test_line_dedup_is_native(spark, sf_dir):
     plan = op2_lines.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
