@@ -456,6 +456,31 @@ def top_categories(spark, d):
     return shaped.select("doc_id", F.posexplode("scores").alias("rank", "s")).select("doc_id", "s.category", "s.score", (F.col("rank") + 1).cast("bigint").alias("rank"))
 
 
+# The same of the ids divisible by 100 among all other rows
+
+_PAIRED_ALL = f"{VECTORS}, p AS (SELECT a.doc_id, b.category, b.doc_id AS nn, round(list_cosine_similarity(a.vec, b.vec), 12) AS s FROM v a, v b WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id)"
+
+
+def _nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    return neighbors.nearest_others(v.where("doc_id % 100 = 0"), v).select("doc_id", "category", *_rounded("score"), "nn_doc_id")
+
+
+@query(f"WITH {_PAIRED_ALL} SELECT doc_id, category, round(max(s), 6) AS score, arg_max(nn, (s, -nn)) AS nn_doc_id FROM p GROUP BY doc_id, category")
+def nearest_neighbors_all(spark, d):
+    return _nearest_all(spark, d)
+
+
+@query(
+    f"WITH {_PAIRED_ALL}, b AS (SELECT doc_id, category, round(max(s), 6) AS score FROM p GROUP BY doc_id, category),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS rank FROM b)"
+    " SELECT doc_id, category, score, rank FROM k WHERE rank <= 3"
+)
+def top_categories_all(spark, d):
+    shaped = categorize.shape(_nearest_all(spark, d).drop("nn_doc_id"), max_categories=3)
+    return shaped.select("doc_id", F.posexplode("scores").alias("rank", "s")).select("doc_id", "s.category", "s.score", (F.col("rank") + 1).cast("bigint").alias("rank"))
+
+
 _CENTERS = f"{VECTORS}, e AS (SELECT category, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v), m AS (SELECT category, i, avg(x) AS m FROM e GROUP BY category, i), c AS (SELECT category, list(m ORDER BY i) AS centroid FROM m GROUP BY category)"
 
 

@@ -295,6 +295,26 @@ def test_categorizer_guards(spark):
     assert neighbors.nearest(v, v).where("abs(score - 1) > 1e-9").isEmpty()
 
 
+def test_nearest_others_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    x[41] = x[7] = x[20]
+    kinds = [None if i == 33 else "abc"[i % 3] for i in range(60)]
+    kinds[10] = "own"  # a category of the query alone
+    v = spark.createDataFrame([(i, x[i].tolist(), kinds[i]) for i in range(60)], "doc_id long, vec array<double>, category string").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = {}
+    for a in range(0, 60, 10):
+        for b in range(60):
+            s = round(float(u[a] @ u[b]), 9)
+            if a != b and (s, -b) > expected.get((a, kinds[b]), (-2.0, 0)):
+                expected[a, kinds[b]] = s, -b
+    for size in (neighbors.BLOCK_VALUES, 8):
+        monkeypatch.setattr(neighbors, "BLOCK_VALUES", size)
+        rows = neighbors.nearest_others(v.where("doc_id % 10 = 0"), v).collect()
+        assert {(r["doc_id"], r["category"]): (round(r["score"], 9), -r["nn_doc_id"]) for r in rows} == expected and len(rows) == len(expected)
+
+
 # Threads and explanation
 
 
