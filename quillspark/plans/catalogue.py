@@ -253,6 +253,69 @@ def search_dense(spark, d):
     return search.dense_scores(F.array(*[F.lit(float(x)) for x in q]), v).select("doc_id", *_rounded("score"))
 
 
+# The same searches by every id divisible by 100, against all rows
+
+_QUERIES = f"qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS term FROM benchmark WHERE item_id % 100 = 0), q AS (SELECT query_id, term, count(*)::DOUBLE AS q FROM qt GROUP BY query_id, term)"
+_SCORED_ALL = (
+    f"WITH {_NNC}, {_QUERIES}, k AS (SELECT query_id, q.term, q FROM q JOIN df USING (term)), kn AS (SELECT query_id, sqrt(sum(q * q)) AS n FROM k GROUP BY query_id),"
+    " s AS (SELECT query_id, doc_id, sum(w * q) / any_value(kn.n) AS c FROM x JOIN k USING (term) JOIN kn USING (query_id) GROUP BY query_id, doc_id),"
+    " ids AS (SELECT DISTINCT item_id AS query_id FROM benchmark WHERE item_id % 100 = 0),"
+    " scored AS (SELECT query_id, doc_id, coalesce(c, 0) AS score FROM (SELECT query_id, doc_id FROM ids, documents) LEFT JOIN s USING (query_id, doc_id))"
+)
+
+
+def _text_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    model = features.fit(docs, WORDS, tf=tf)
+    items = table(spark, d, "benchmark").where("item_id % 100 = 0")
+    asked = model.transform(items.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "query_id")
+    return search.sparse_scores_each(asked, model.weigh(tf), docs, items.select(F.col("item_id").alias("query_id")))
+
+
+@query(f"{_SCORED_ALL} SELECT query_id, doc_id, round(score, 6) AS score FROM scored")
+def search_text_all(spark, d):
+    return _text_scores_all(spark, d).select("query_id", "doc_id", *_rounded("score"))
+
+
+@query(
+    f"{_SCORED_ALL} SELECT query_id, doc_id, round(score / (2 - score), 6) AS jaccard, round((score + 1) / 2, 6) AS cosine_norm, round((3 * (score / (2 - score)) + 1) / 4, 6) AS jaccard_norm, round(greatest(score, 0), 6) AS positive FROM scored"
+)
+def search_scales_all(spark, d):
+    names = {"jaccard": "jaccard", "cosine_norm": "cosine_norm", "jaccard_norm": "jaccard_norm", "cosine-positive": "positive"}
+    return _text_scores_all(spark, d).select("query_id", "doc_id", *[F.round(sim.from_cosine(F.col("score"), k), 6).alias(v) for k, v in names.items()])
+
+
+@query(
+    f"WITH {_NNC}, q AS (SELECT doc_id AS query_id, term, w AS q FROM x WHERE doc_id % 100 = 0), s AS (SELECT query_id, doc_id, sum(w * q) AS c FROM x JOIN q USING (term) GROUP BY query_id, doc_id)"
+    " SELECT query_id, doc_id, round(c, 6) AS score FROM s WHERE doc_id <> query_id AND c > 0.05"
+)
+def search_document_all(spark, d):
+    docs = _docs(spark, d)
+    tf = features.term_frequencies(docs, WORDS)
+    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    hits = search.sparse_hits(x.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), x)
+    return hits.where("doc_id <> query_id and cosine > 0.05").select("query_id", "doc_id", F.round("cosine", 6).alias("score"))
+
+
+@query(
+    f"{_SCORED_ALL}, r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS n FROM scored WHERE doc_id IN (SELECT doc_id FROM labels))"
+    " SELECT query_id, doc_id, score FROM r WHERE n > 50 AND n <= 75"
+)
+def search_subset_page_all(spark, d):
+    scores = _text_scores_all(spark, d).select("query_id", "doc_id", *_rounded("score"))
+    kept = scores.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return search.page_each(kept, batch_id=2, batch_size=25).select("query_id", "doc_id", "score")
+
+
+@query(
+    f"WITH {VECTORS} SELECT q.doc_id AS query_id, v.doc_id, round(list_cosine_similarity(v.vec, q.vec), 6) AS score FROM v, v q WHERE q.doc_id % 100 = 0"
+)
+def search_dense_all(spark, d):
+    v = _vectors(spark, d)
+    return search.dense_scores_each(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vec"), v).select("query_id", "doc_id", *_rounded("score"))
+
+
 @query(f"WITH {_NNC} SELECT term, round(sum(w) / (SELECT count(*) FROM documents WHERE lang = 'es'), 6) AS weight FROM x JOIN documents USING (doc_id) WHERE lang = 'es' GROUP BY term ORDER BY sum(w) DESC, term LIMIT 50")
 def top_terms(spark, d):
     docs = _docs(spark, d)

@@ -87,6 +87,32 @@ def test_document_query_equals_text_query(spark):
     assert set(labels(nothing, value="score").values()) == {0.0}
 
 
+def test_every_query_is_answered(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    tf = features.term_frequencies(docs)
+    x = features.fit(docs, tf=tf).weigh(tf)
+    ids = [r["doc_id"] for r in docs.collect()]
+    asked = spark.createDataFrame([(i,) for i in [*ids, 99]], "query_id long")
+    out = search.sparse_scores_each(x.withColumnRenamed("doc_id", "query_id"), x, docs, asked).collect()
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in out}
+    assert len(out) == len(got) == len(ids) * (len(ids) + 1) and {got[99, i] for i in ids} == {0.0}
+    for i in ids:
+        one = labels(search.sparse_scores(search.document_query(x, i), x, docs), value="score")
+        assert {k: got[i, k] for k in ids} == pytest.approx(one)
+    first = search.page_each(spark.createDataFrame(out), 0, 1).collect()
+    assert {r["query_id"]: r["doc_id"] for r in first} == {q: max(ids, key=lambda d, q=q: (got[q, d], -d)) for q in [*ids, 99]}
+
+    v = spark.createDataFrame([(i, [float(i % 3), i - 4.0]) for i in range(9)], "doc_id long, vec array<double>")
+    q = v.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "query_id")
+    for size in (search.BLOCK_VALUES, 4):
+        monkeypatch.setattr(search, "BLOCK_VALUES", size)
+        dense = search.dense_scores_each(q, v).collect()
+        assert len(dense) == 45
+        for k, vec in q.collect():
+            one = labels(search.dense_scores(F.array(*[F.lit(e) for e in vec]), v), value="score")
+            assert {r["doc_id"]: r["score"] for r in dense if r["query_id"] == k} == pytest.approx(one)
+
+
 # Metrics
 
 
