@@ -740,6 +740,42 @@ def simhash_clusters(spark, d):
     return duplicates.simhash_clusters(_simhash(spark, d), 1, 32)
 
 
+# The same with the operator's 64 bits, as signed integers
+
+
+def _long_hash() -> Column:
+    return F.conv(F.substring(F.md5("term"), 1, 16), 16, -10).cast("bigint")
+
+
+_VOTES_64 = " + ".join(f"(CASE WHEN sum(2 * ((h >> {b}) & 1)::BIGINT - 1) > 0 THEN {-(1 << b) if b == 63 else 1 << b}::HUGEINT ELSE 0 END)" for b in range(64))
+_SIMHASH_64 = f"{TOKENS}, h AS (SELECT DISTINCT doc_id, term, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h FROM tokens), sh AS (SELECT doc_id, ({_VOTES_64})::BIGINT AS simhash FROM h GROUP BY doc_id)"
+
+
+def _simhash_64(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.simhash(features.document_terms(_docs(spark, d), WORDS), _long_hash())
+
+
+@query(f"WITH {_SIMHASH_64} SELECT doc_id, simhash FROM sh")
+def simhash64(spark, d):
+    return _simhash_64(spark, d)
+
+
+@query(
+    f"WITH {_SIMHASH_64}, u AS (SELECT DISTINCT simhash AS v FROM sh) SELECT x.v AS a, y.v AS b, bit_count(xor(x.v, y.v))::INT AS distance FROM u x, u y WHERE x.v < y.v AND bit_count(xor(x.v, y.v)) <= 3"
+)
+def simhash64_pairs(spark, d):
+    return duplicates.hamming_pairs(_simhash_64(spark, d), 3)
+
+
+@query(
+    f"WITH RECURSIVE {_SIMHASH_64}, u AS (SELECT simhash AS v, min(doc_id) AS rep FROM sh GROUP BY simhash), e AS (SELECT x.rep AS a, y.rep AS b FROM u x, u y WHERE x.v <> y.v AND bit_count(xor(x.v, y.v)) <= 1),"
+    " reach(id, to_id) AS (SELECT rep, rep FROM u UNION SELECT r.id, e.b FROM reach r JOIN e ON r.to_id = e.a), lab AS (SELECT id, min(to_id) AS cluster_id FROM reach GROUP BY id)"
+    " SELECT sh.doc_id, cluster_id FROM sh JOIN u ON sh.simhash = u.v JOIN lab ON lab.id = u.rep"
+)
+def simhash64_clusters(spark, d):
+    return duplicates.simhash_clusters(_simhash_64(spark, d))
+
+
 @query(f"WITH {TOKENS}, s AS (SELECT doc_id, list(DISTINCT term ORDER BY term) AS w FROM tokens GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS cluster_id FROM s")
 def imatch(spark, d):
     return duplicates.exact_groups(duplicates.imatch(features.document_terms(_docs(spark, d), WORDS)), "h0")

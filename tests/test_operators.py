@@ -212,6 +212,20 @@ def test_simhash_and_imatch(spark):
         duplicates.imatch(terms, 1, 1.5)
 
 
+def test_registered_simhash_has_64_bits(spark, sf_dir):
+    from hashlib import md5
+
+    from quillspark.plans import catalogue
+
+    terms = features.document_terms(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20"), catalogue.WORDS)
+    words = {}
+    for r in terms.collect():
+        words.setdefault(r["doc_id"], set()).add(int(md5(r["term"].encode()).hexdigest()[:16], 16))
+    vote = {d: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for d, hs in words.items()}
+    got = {r["doc_id"]: r["simhash"] % 2**64 for r in catalogue.QUERIES["simhash64"](spark, sf_dir).where("doc_id < 20").collect()}
+    assert got == vote and max(got.values()) >= 2**63
+
+
 def test_hamming_pairs_are_complete(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**63), 2**63 - 1, 40)
