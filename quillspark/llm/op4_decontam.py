@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Each benchmark item gives the SimHash of its five-word shingles, weighted by how often they
-occur. Windows with as many words slide over every text. Fingerprints are cut into blocks;
+occur. Windows with as many words slide over every text; a text shorter than the item is one window. Fingerprints are cut into blocks;
 if two differ in at most ``RADIUS`` bits, some block differs in at most RADIUS // BLOCKS, so
 looking up all block values that near finds every item within the radius. Candidates are
 verified by the exact weighted Jaccard of their shingles.
@@ -100,11 +100,11 @@ class Benchmark:
                     seen[span] = h, np.concatenate([[0], np.cumsum(on)])
         best: dict[int, tuple[float, int, int]] = {}
         for x in self.indexes if seen else ():
-            if x.span not in seen or len(hashes) < x.size:
+            if x.span not in seen:
                 continue
             h, upto = seen[x.span]
-            m = x.per_window
-            starts = np.flatnonzero(upto[m:] - upto[:-m] >= threshold * m - 1e-9)
+            m = min(x.per_window, len(h))  # a text shorter than the item is its one window
+            starts = np.flatnonzero(upto[m:] - upto[:-m] >= threshold * x.per_window - 1e-9)
             run = max(1, CELLS // len(x.ids))
             for k in range(0, len(starts), run):
                 some = starts[k : k + run]
@@ -115,7 +115,7 @@ class Benchmark:
                         own, last = np.unique(h[start : start + m], return_counts=True), start
                     s = weighted_jaccard(own, x.sets[j])
                     if s >= threshold and s > best.get(x.ids[j], (0.0,))[0]:
-                        best[x.ids[j]] = s, start, x.size
+                        best[x.ids[j]] = s, start, min(x.size, len(hashes))
         return [(i, *best[i]) for i in sorted(best)]
 
 

@@ -199,6 +199,21 @@ def test_hamming_index_is_complete():
     assert set(zip(*(x.tolist() for x in index.near(prints)), strict=True)) == exact
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    words = prose(random.Random(4), 60, 10**6).split()
+    docs = [(1, words[:30] + words[31:]), (2, words[1:]), (3, words[:53]), (4, words[:45]), (5, words[:4]), (6, words)]
+    out = op4_decontam.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")).collect()
+    want = brute.grams(" ".join(words))
+    expected = {}
+    for d, w in docs:
+        have = brute.grams(" ".join(w))
+        low = sum((have & want).values())
+        s = low / (sum(have.values()) + sum(want.values()) - low)
+        if s >= op4_decontam.THRESHOLD:
+            expected[d] = pytest.approx(s), 0, len(w)
+    assert {r["doc_id"]: (r["similarity"], r["first_word"], r["n_words"]) for r in out} == expected and sorted(expected) == [1, 2, 3, 6]
+
+
 def test_decontamination_edges(spark):
     docs, none = edge_docs(spark), spark.createDataFrame([], "item_id long, text string")
     assert op4_decontam.contaminated(docs, none).count() == 0
