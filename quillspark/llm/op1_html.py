@@ -1,23 +1,31 @@
 """Main text of raw web pages.
 
 The standard library's parser streams tag and text events. They become lines, one per
-block of the page, each with its text, its number of tags and its share of link text.
-Parts that declare themselves as something else than the article (by element, role or
-class) never become lines. The text-to-tag ratio of the lines is smoothed with a Gaussian
-and clustered in two around a threshold; the heavy cluster selects the content region.
-The region is then completed to its element: all lines of the ``article`` (or ``main``)
-that holds most of it, or, without such an element, those of the innermost container
-around it.
+block of the page, each with its text, its number of tags and its share of link text. The
+text-to-tag ratio of the lines is smoothed with a Gaussian and clustered in two around a
+threshold: the heavy cluster is the content, and what it does not reach is left out.
+
+Around the heavy lines the content regions are completed with light ones, such as headings
+and short paragraphs: in an ``article`` that has a heavy line all of its lines, elsewhere
+those that stand beside heavy lines in the same container, or between them in parts of it,
+if they are not mostly links.
+
+Parts that the page declares to be something else by element or role (menus, headers,
+footers, asides, scripts, controls) never become lines; in the header of an article only
+headings do. Names of classes and ids are a weak feature: lines of a container named like
+an advert or a comment section are weighed down before the clustering and do not complete a
+region, and only if some line outside such containers is heavy by its own ratio or stands in
+an ``article`` or ``main``.
 
 White space inside a line becomes one space, lines are joined by one newline. Null,
 empty and mark-up-only pages give an empty text; repeated rows are done each for itself;
-other columns are not read.
+other columns are not read. Time and memory grow with the page, however deeply it nests.
 """
 
 from __future__ import annotations
 
-import os.path
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,9 +48,10 @@ CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd pre caption fig
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 OUTSIDE = frozenset(
-    "head title script style noscript template svg math canvas iframe object audio video map nav aside footer form button select"
+    "head title script style noscript template svg math canvas iframe object audio video map nav aside footer button select"
     " option datalist textarea input label menu dialog search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first closes open elements of the second, up to the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -53,7 +62,7 @@ IMPLIED = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status note".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar status note".split())
 #: Words that, first or last in the name of a class or id, mark what is not the article.
 NAMES = (
     r"ads?|ad(?:s?box|block|slot|unit|container|wrap(?:per)?|sense)|advert\w*|banners?|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|side(?:bar|nav|menu|column)s?|menus?"
@@ -67,31 +76,31 @@ HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class Line:
-    """Text, tags in it (its own included), characters in links, the article or main element
-    around it, and the numbers of the containers around it, outermost first."""
-
-    __slots__ = ("home", "link", "path", "tags", "text")
-
-    def __init__(self, text: str, tags: int, link: int, home: int, path: tuple[int, ...]):
-        self.text, self.tags, self.link, self.home, self.path = text, tags, link, home, path
+#: Names of blocks that hold no other blocks: only these words, by themselves.
+LEAF = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsored|cookie[-_](?:notice|banner)|newsletter)(?=\s|$)", re.I)
+#: What the ratio of a line in a marked container counts.
+WEIGHT = 1 / 50
 
 
 class PageLines(HTMLParser):
-    """Collects the lines of a page from its events. ``home`` of a line is the number of
-    the article (or main) element around it, 0 for none."""
+    """Collects the lines of a page from its events: parallel lists of text, tags (its own
+    included), characters in links and the container. Containers are numbered in the order of
+    their start tags, so the ones within a container follow it up to its ``last``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
-        self.homes = 0
-        self._stack: list[tuple[str, bool, int]] = []  # element, starts an outside part, home within
-        self._path: list[int] = []  # numbers of the open containers
-        self._containers = 0
-        self._outside = 0
-        self._home = 0
-        self._links = 0
-        self._text: list[str] = []
+        self.text: list[str] = []
+        self.tags: list[int] = []
+        self.link: list[int] = []
+        self.within: list[int] = []
+        self.marked: list[bool] = []
+        # containers; 0 is the page
+        self.parent, self.last, self.article, self.core, self.dull = [-1], [0], [0], [False], [False]
+        self._stack: list[tuple[str, bool, int, bool]] = []  # element, starts an outside part, container, is a marked leaf
+        self._open: Counter[str] = Counter()
+        self._at = 0
+        self._outside = self._headers = self._headings = self._links = self._leaves = 0
+        self._parts: list[str] = []
         self._link_chars = 0
         self._tags = 0
 
@@ -100,72 +109,93 @@ class PageLines(HTMLParser):
         return end + 1 if end >= 0 else -1
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._text).split()) if self._text else ""
+        text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
-            self.lines.append(Line(text, max(1, self._tags), self._link_chars, self._home, tuple(self._path)))
-        self._text, self._link_chars, self._tags = [], 0, 0
+            self.text.append(text)
+            self.tags.append(max(1, self._tags))
+            self.link.append(min(self._link_chars, len(text)))
+            self.within.append(self._at)
+            self.marked.append(self.dull[self._at] or self._leaves > 0)
+        self._parts, self._link_chars, self._tags = [], 0, 0
 
     def _pop(self, depth: int) -> None:
         while len(self._stack) > depth:
-            tag, outside, _ = self._stack.pop()
+            tag, outside, container, leaf = self._stack.pop()
+            self._open[tag] -= 1
             self._outside -= outside
+            self._leaves -= leaf
             self._links -= tag == "a"
-            if tag in CONTAINERS:
-                self._path.pop()
-            self._home = self._stack[-1][2] if self._stack else 0
-
-    def _is_outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in OUTSIDE:
+            self._headings -= tag in HEADINGS
+            self._headers -= tag == "header" and not outside
+            if container:
+                self.last[container] = len(self.parent) - 1
+                self._at = self.parent[container]
+
+    def _names(self, attrs: dict[str, str | None]) -> str:
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        return f"{names} {HUMP.sub('-', names)}"
+
+    def _is_outside(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag in OUTSIDE or (tag == "header" and not self.article[self._at]):
             return True
-        if tag == "header":
-            return not self._home
         if not attrs or tag in ("html", "body"):
             return False
-        a = dict(attrs)
-        names = f"{a.get('class') or ''} {a.get('id') or ''}"
-        names = f"{names} {HUMP.sub('-', names)}"
-        if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style") or ""):
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style") or ""):
             return True
-        if tag == "main":
+        return tag != "main" and (attrs.get("role") or "").lower() in ROLES
+
+    def _is_marked(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag == "form":
+            return True
+        if not attrs or tag in ("html", "body", "main"):
             return False
-        return (a.get("role") or "").lower() in ROLES or bool(MARKED.search(names)) or (not self._home and tag != "article" and bool(HEADER.search(names)))
+        names = self._names(attrs)
+        return bool(MARKED.search(names)) or (not self.article[self._at] and tag != "article" and bool(HEADER.search(names)))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._flush()
             if tag in IMPLIED:
                 closes, within = IMPLIED[tag]
-                for k in range(len(self._stack) - 1, -1, -1):
-                    if self._stack[k][0] in within:
-                        break
-                    if self._stack[k][0] in closes:
-                        self._pop(k)
-            elif tag == "body":
+                if any(self._open[x] for x in closes):
+                    for k in range(len(self._stack) - 1, -1, -1):
+                        if self._stack[k][0] in within:
+                            break
+                        if self._stack[k][0] in closes:
+                            self._pop(k)
+            elif tag == "body" and self._open["head"]:
                 self._pop(next((k for k, x in enumerate(self._stack) if x[0] == "head"), len(self._stack)))
-            for k in range(len(self._stack) - 1, -1, -1):  # an open paragraph ends where a block begins
+            for k in range(len(self._stack) - 1, -1, -1) if self._open["p"] else ():  # an open paragraph ends where a block begins
                 if self._stack[k][0] == "p":
                     self._pop(k)
                     break
                 if self._stack[k][0] in BLOCKS:
                     break
         elif tag in ("br", "img"):
-            self._text.append(" ")
+            self._parts.append(" ")
         self._tags += not self._outside
         if tag in VOID:
             return
-        outside = self._is_outside(tag, attrs)
-        home = self._home
-        if tag in ("article", "main") and not outside and not self._outside:
-            if tag == "article" or not home:
-                self.homes += 1
-                home = self.homes
-        self._stack.append((tag, outside, home))
-        if tag in CONTAINERS:
-            self._containers += 1
-            self._path.append(self._containers)
+        a = dict(attrs)
+        outside = self._is_outside(tag, a)
+        container, leaf = 0, False
+        if tag in CONTAINERS and not outside and not self._outside:
+            container = len(self.parent)
+            self.parent.append(self._at)
+            self.last.append(container)
+            self.article.append(container if tag == "article" else self.article[self._at])
+            self.core.append(self.core[self._at] or tag in ("article", "main"))
+            self.dull.append(self.dull[self._at] or self._is_marked(tag, a))
+            self._at = container
+        elif tag in BLOCKS and a:
+            leaf = bool(LEAF.search(self._names(a)))
+        self._stack.append((tag, outside, container, leaf))
+        self._open[tag] += 1
         self._outside += outside
-        self._home = home
+        self._leaves += leaf
         self._links += tag == "a"
+        self._headings += tag in HEADINGS
+        self._headers += tag == "header" and not outside
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -174,20 +204,21 @@ class PageLines(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         self._tags += not self._outside
-        for k in range(len(self._stack) - 1, -1, -1):
+        for k in range(len(self._stack) - 1, -1, -1) if self._open[tag] else ():
             if self._stack[k][0] == tag:
                 self._pop(k)
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self._outside:
-            self._text.append(data)
+        if not self._outside and (not self._headers or self._headings):
+            self._parts.append(data)
             if self._links:
                 self._link_chars += len(data)
 
     def close(self) -> None:
         super().close()
         self._flush()
+        self._pop(0)
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -215,40 +246,55 @@ def heavy(ratios: np.ndarray) -> np.ndarray:
     return ratios >= threshold
 
 
-def _completed(lines: list[Line], content: np.ndarray) -> list[Line]:
-    """The lines of the content region: from its first line to its last, and outside of that
-    those that stand in the same part of the innermost container around it, or directly in
-    that container, and are not mostly links."""
-    at = np.flatnonzero(content)
-    paths = [lines[i].path for i in at]
-    depth = len(os.path.commonprefix(paths))
-    parts = {p[: depth + 1] for p in paths} | {paths[0][:depth]}
-    return [x for i, x in enumerate(lines) if at[0] <= i <= at[-1] or (x.path[: depth + 1] in parts and 2 * x.link <= len(x.text))]
+def content(page: PageLines) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are heavy, and which are in marked containers, if that counts. Heavy are lines by their smoothed ratio, and in an ``article`` or ``main`` also by
+    their own, as smoothing weighs down the ends of short pages."""
+    sizes, link, tags = (np.array(x, dtype=float) for x in ([len(t) for t in page.text], page.link, page.tags))
+    marked = np.array(page.marked)
+    ratios = (sizes - link) / tags
+    value = np.log1p(smooth(ratios))
+    core, alone = np.array(page.core)[page.within], heavy(np.log1p(ratios))
+    marked &= ((alone | core) & ~marked).any()
+    value = np.where(marked, value + np.log(WEIGHT), value)
+    return heavy(value) | (alone & core & ~marked), marked
+
+
+def completed(page: PageLines, on: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """The heavy lines ``on`` and the light ones that complete their regions."""
+    n = len(page.parent)
+    within, article = np.array(page.within), np.array(page.article)
+    home = article[within]
+    chosen = on | (home > 0) & np.isin(home, home[on]) & ~marked
+    direct = np.zeros(n, bool)
+    direct[within[on]] = True
+    # the nearest container around each one that holds heavy lines itself, outside of articles
+    near, first, last = np.full(n, -1), np.full(n, len(on)), np.full(n, -1)
+    for c in range(n):
+        near[c] = c if direct[c] and not article[c] else near[page.parent[c]] if c else -1
+    places = np.flatnonzero(on)
+    np.minimum.at(first, within[places], places)
+    np.maximum.at(last, within[places], places)
+    for c in range(n - 1, 0, -1):
+        p = page.parent[c]
+        first[p], last[p] = min(first[p], first[c]), max(last[p], last[c])
+    links = 2 * np.array(page.link) > np.array([len(t) for t in page.text])
+    for i in np.flatnonzero(~chosen & ~marked & ~links & (home == 0)):
+        c = near[within[i]]
+        chosen[i] = c >= 0 and (within[i] == c or first[c] < i < last[c])
+    return chosen
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = PageLines()
+    page = PageLines()
     for i in range(0, len(html), FEED):
-        parser.feed(html[i : i + FEED])
-    parser.close()
-    lines = parser.lines
-    if not lines:
+        page.feed(html[i : i + FEED])
+    page.close()
+    if not page.text:
         return ""
-    sizes = np.array([len(x.text) for x in lines], dtype=float)
-    ratios = np.array([(len(x.text) - min(x.link, len(x.text))) / x.tags for x in lines])
-    content = heavy(np.log1p(smooth(ratios)))
-    mass: dict[int, float] = {}
-    for x, n, on in zip(lines, sizes, content, strict=True):
-        mass[x.home] = mass.get(x.home, 0.0) + n * on
-    home = max(mass, key=lambda h: (mass[h], -h))
-    if home:
-        chosen = [x for x in lines if x.home == home]
-    else:
-        chosen = _completed([x for x in lines if not x.home], content[[not x.home for x in lines]])
-    return "\n".join(x.text for x in chosen)
+    return "\n".join(page.text[i] for i in np.flatnonzero(completed(page, *content(page))))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
