@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small data."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -95,8 +96,6 @@ def repeated_bytes(docs, n=100):
 
 
 def base_counts(text):
-    import re
-
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, dup = set(), 0
@@ -111,51 +110,81 @@ def base_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
-def quality(docs):
-    """{doc_id: kept} of rows (doc_id, text, lang, source), one process, the same steps."""
-    rows = [(d, lang, source, base_counts(t)) for d, t, lang, source in docs]
-    failed = {d: c[0] < 50 or 100 * c[4] > 50 * c[0] for d, _, _, c in rows}
-    x = {}
-    for d, lang, source, (n, chars, sym, dup, rep) in rows:
-        if not failed[d]:
-            v = [np.log(n), min(chars / n, 64), np.log(1 + sym / n), rep / n, dup / (1 + dup + n / 20)]
-            x.setdefault(lang, {}).setdefault(source, []).append((d, np.floor(np.array(v) * q3.UNIT + 0.5) / q3.UNIT))
-    kept = {d: False for d in failed}
-    everything = [r for groups in x.values() for g in groups.values() for r in g]
-    for groups in x.values():
-        of_lang = [r for g in groups.values() for r in g]
-        for g in groups.values():
-            fit_on = everything if len(of_lang) < q3.MIN_ROWS else of_lang if len(g) < q3.MIN_ROWS else g
-            centre, precision, scale = _estimate(np.stack([v for _, v in fit_on]))
-            for d, v in g:
-                kept[d] = (v - centre) @ precision @ (v - centre) / scale <= q3.CUTOFF
-    return kept
-
-
-def _median(v):
-    v = np.sort(v)
-    return v[int(np.ceil(len(v) / 2)) - 1]
-
-
-def _estimate(m):
-    centre = np.array([_median(c) for c in m.T])
-    scatter = np.diag([(1.4826 * _median(np.abs(c - k))) ** 2 for c, k in zip(m.T, centre, strict=True)])
-    for _ in range(q3.STEPS):
-        bins = _bins(m, centre, scatter)
-        order = np.sort(bins)
-        last = order[int(np.ceil(q3.COVERAGE * len(m))) - 1]
-        near = m[bins <= last]
-        centre = near.mean(axis=0)
-        scatter = (near.T @ near) / len(near) - np.outer(centre, centre)
-    middle = np.percentile(_bins(m, centre, scatter), 50)
-    return centre, np.linalg.inv(_floored(scatter)), max(1.0, np.exp((middle + 0.5) / q3.BINS) / q3.MEDIAN)
-
-
-def _floored(scatter):
-    least = np.square(q3.FLOORS)
-    return scatter + np.diag(np.maximum(0, least - np.diag(scatter)) + q3.RIDGE * least)
-
-
-def _bins(m, centre, scatter):
-    d = np.einsum("ij,jk,ik->i", m - centre, np.linalg.inv(_floored(scatter)), m - centre)
-    return np.floor(np.log(np.maximum(d, 0) + 1e-9) * q3.BINS)
+def further_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    share = [text.count(c) / len(text) for c in set(text)]
+    return len(set(words)), sum(not c.isalnum() for w in words for c in w), -sum(p * np.log2(p) for p in share)
+
+
+def quality_vectors(docs):
+    """{doc_id: (language, source, vector)} of the rows that pass the base rules."""
+    out = {}
+    for d, t, lang, source in docs:
+        n, chars, _, _, rep = base_counts(t)
+        if n >= 50 and 100 * rep <= 50 * n:
+            distinct, marks, entropy = further_counts(t)
+            v = [np.log(n), np.log(chars / n), np.log(distinct), np.log((marks + 0.5) / (chars - marks + 0.5)), entropy]
+            out[d] = lang, source, tuple(np.floor(np.array(v) * q3.UNIT + 0.5) / q3.UNIT)
+    return out
+
+
+def mcd(rows, starts=30, seed=0):
+    """Minimum covariance determinant by many random starts and exact h-subsets: centre, scatter."""
+    m, rng, best = np.array(rows), np.random.default_rng(seed), None
+    h = q3.COVERAGE * len(m)
+    floor = q3.ROUNDING * np.eye(q3.P)
+    for k in range(starts):
+        part = m if k == 0 else m[rng.choice(len(m), min(len(m), q3.P + 1), replace=False)]
+        centre, scatter = np.median(part, 0) if k == 0 else part.mean(0), np.cov(part.T, bias=True).reshape(q3.P, q3.P) + floor
+        for _ in range(100):
+            order = np.argsort(squared(m, centre, scatter), kind="stable")
+            w = np.clip(h - np.arange(len(m)), 0, 1)
+            x = m[order]
+            c = (w[:, None] * x).sum(0) / w.sum()
+            s = (w[:, None] * (x - c)).T @ (x - c) / w.sum() + floor
+            if np.allclose(c, centre, atol=1e-12) and np.allclose(s, scatter, atol=1e-12):
+                break
+            centre, scatter = c, s
+        if best is None or np.linalg.slogdet(scatter)[1] < np.linalg.slogdet(best[1])[1]:
+            best = centre, scatter
+    return len(m), *best
+
+
+def squared(m, centre, scatter):
+    return np.einsum("ij,jk,ik->i", m - centre, np.linalg.inv(scatter), m - centre)
+
+
+def quality_distances(docs, fit=mcd):
+    """{doc_id: squared distance} of rows (doc_id, text, lang, source) that pass the base rules."""
+    rows = quality_vectors(docs)
+    groups = {}
+    for lang, source, v in sorted(set(rows.values()), key=str):  # equal vectors of a source count once
+        for g in ((), (lang,), (lang, source)):
+            groups.setdefault(g, []).append(v)
+    fitted = {g: fit(v) for g, v in groups.items()}
+    final, middles = {}, {}
+    for g in groups:
+        if len(g) == 2:
+            _, centre, scatter = fitted[()]
+            for n, c, s in (fitted[g[:1]], fitted[g]):
+                w = n / (n + q3.PRIOR)
+                mixed = w * s + (1 - w) * scatter
+                # in the coordinates where the base is the unit, by its symmetric root
+                value, vector = np.linalg.eigh(scatter)
+                root = vector * np.sqrt(value) @ vector.T
+                inner = np.linalg.inv(root) @ mixed @ np.linalg.inv(root)
+                value, vector = np.linalg.eigh((inner + inner.T) / 2)
+                scatter = root @ (vector * np.maximum(value, q3.TIGHT)) @ vector.T @ root
+                centre = w * c + (1 - w) * centre
+            final[g] = centre, scatter
+            d = squared(np.array(groups[g]), centre, scatter)
+            for part in (g, g[:1], ()):
+                middles.setdefault(part, []).extend(d)
+    out = {}
+    for d, (lang, source, v) in rows.items():
+        scale = None
+        for g in ((), (lang,), (lang, source)):
+            n, m = len(middles[g]), np.log(np.median(middles[g]))
+            scale = m if scale is None else (n * m + q3.PRIOR * scale) / (n + q3.PRIOR)
+        out[d] = squared(np.array([v]), *final[lang, source])[0] / (np.exp(scale) / q3.MEDIAN)
+    return out

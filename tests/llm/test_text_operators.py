@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import html as htmllib
+import math
 import random
 import re
 import zlib
@@ -77,21 +78,114 @@ def test_odd_pages(page):
 
 
 OTHER = ["ad", "ad-slot top", "adBox", "siteFooter", "cookieBanner", "main-nav", "commentlist", "reader-comments", "post_comments", "related-posts", "sideBar", "notice notice-info", "newsletter"]
+OWN = "<p>Some words of the article itself, with a good length too.</p><p>More words of the article, in a second line of it.</p>"
 
 
 @pytest.mark.parametrize("name", OTHER)
 def test_marked_parts_are_left_out(name):
     part = "<p>Other words that are many and long enough to look like an article, all of them in one line.</p>"
-    own = "<p>Some words of the article itself, with a good length too.</p><p>More words of the article, in a second line of it.</p>"
-    expected = op1_html.main_text(f"<body><div>{own}</div></body>")
+    expected = op1_html.main_text(f"<body><article>{OWN}</article></body>")
+    assert expected.count("\n") == 1
     for kind in ("class", "id"):
-        for page in (f"<body><div>{own}</div><div {kind}='{name}'>{part}</div></body>", f"<body><article>{own}<section {kind}='{name}'>{part}</section></article></body>"):
+        for page in (f"<body><article>{OWN}</article><div {kind}='{name}'>{part}</div></body>", f"<body><article>{OWN}<section {kind}='{name}'>{part}</section></article></body>"):
             assert op1_html.main_text(page) == expected
 
 
-@pytest.mark.parametrize("name", ["content", "has-sidebar", "with-ads", "header-image-post", "shadow", "commentary", "navy", "download", "thread"])
-def test_other_names_stay(name):
-    assert op1_html.main_text(f"<body><div class='{name}'><p>Some words of the article itself, with a good length.</p></div></body>").startswith("Some words")
+@pytest.mark.parametrize("name", ["content", "has-sidebar", "with-ads", "header-image-post", "shadow", "commentary", "navy", "download", "thread", *OTHER])
+def test_names_alone_lose_no_content(name):
+    page = f"<body><div class='{name}'><p>{'Some words of the article itself. ' * 9}</p><p>{'More of them here. ' * 9}</p></div><p>(c) 2020</p></body>"
+    assert op1_html.main_text(page).startswith("Some words of the article itself. Some") and "More of them" in op1_html.main_text(page)
+
+
+def test_parts_of_an_article():
+    page = f"<article><header><h1>Title</h1><p>by X, 5 min</p></header>{OWN}<p class='widget-price'>9.99 a piece</p>{OWN}</article><article><h2>Next</h2>{OWN}</article>"
+    own = ["Some words of the article itself, with a good length too.", "More words of the article, in a second line of it."]
+    assert op1_html.main_text(page).split("\n") == ["Title", *own, "9.99 a piece", *own, "Next", *own]
+    assert op1_html.main_text(f"<form><div class='main'>{OWN}</div><input></form>").split("\n") == own
+
+
+def test_the_clustering_decides(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    own = [op1_html.main_text(p) for p in pages]
+    monkeypatch.setattr(op1_html, "heavy", lambda r: np.ones(len(r), bool))
+    assert all(op1_html.main_text(p) != t for p, t in zip(pages, own, strict=True))
+
+
+def test_deep_nesting_is_linear():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert op1_html.main_text("<div>x" * 30_000).count("x") == 30_000
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
+
+
+def plain_lines(rng):
+    """A random page as a tree, and its lines as (text, characters in links, path of containers)."""
+    lines, html, n = [], [], [0]
+
+    def grow(path, depth):
+        for _ in range(rng.randint(1, 5)):
+            if depth < 3 and rng.random() < 0.4:
+                n[0] += 1
+                tag = "article" if not any(t == "article" for t, _ in path) and rng.random() < 0.2 else "div"
+                html.append(f"<{tag}>")
+                grow((*path, (tag, n[0])), depth + 1)
+                html.append(f"</{tag}>")
+            else:
+                text = " ".join("word" for _ in range(rng.choice([1, 2, 3, 30, 60])))
+                link = rng.random() < 0.3
+                html.append(f"<p><a href=x>{text}</a></p>" if link else f"<p>{text}</p>")
+                lines.append((text, len(text) if link else 0, path, 3 if link else 1))
+
+    grow((("page", 0),), 0)
+    return "".join(html), lines
+
+
+def plain_clusters(values):
+    low = sum(values) / len(values)
+    for _ in range(50):
+        high, rest = [v for v in values if v >= low], [v for v in values if v < low]
+        if not high or not rest:
+            return [True] * len(values)
+        middle = (sum(high) / len(high) + sum(rest) / len(rest)) / 2
+        if abs(middle - low) < 1e-9:
+            break
+        low = middle
+    return [v >= low for v in values]
+
+
+def plain_text(page_lines, tags):
+    ratios = [(len(t) - k) / g for (t, k, _, _), g in zip(page_lines, tags, strict=True)]
+    smoothed = []
+    for i in range(len(ratios)):
+        w = [(math.exp(-0.5 * ((i - j) / 1.5) ** 2), r) for j, r in enumerate(ratios) if abs(i - j) <= 5]
+        smoothed.append(sum(a * b for a, b in w) / sum(a for a, _ in w))
+    on, alone = plain_clusters([math.log1p(x) for x in smoothed]), plain_clusters([math.log1p(x) for x in ratios])
+    article = [next((n for t, n in path if t == "article"), None) for _, _, path, _ in page_lines]
+    on = [a or (b and h is not None) for a, b, h in zip(on, alone, article, strict=True)]
+    out = []
+    for i, (text, link, path, _) in enumerate(page_lines):
+        keep = on[i] or (article[i] is not None and any(o and h == article[i] for o, h in zip(on, article, strict=True)))
+        if not keep and article[i] is None and 2 * link <= len(text):
+            for depth in range(len(path), 0, -1):
+                if any(o and p == path[:depth] for o, (_, _, p, _) in zip(on, page_lines, strict=True)):
+                    inside = [j for j, (_, _, p, _) in enumerate(page_lines) if on[j] and p[:depth] == path[:depth]]
+                    keep = depth == len(path) or min(inside) < i < max(inside)
+                    break
+        if keep:
+            out.append(text)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_regions_against_brute_force(seed):
+    html, lines = plain_lines(random.Random(seed))
+    page = op1_html.PageLines()
+    page.feed(html)
+    page.close()
+    assert page.text == [t for t, _, _, _ in lines] and page.link == [k for _, k, _, _ in lines]
+    assert op1_html.main_text(html) == plain_text(lines, page.tags)
 
 
 def test_edge_pages(spark):
@@ -143,13 +237,68 @@ def test_line_dedup_is_native(spark, sf_dir):
 # 3
 
 
-def test_quality_against_brute_force(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
+def test_base_counts_of_documents(spark, sf_dir):
     out = {r["doc_id"]: r for r in op3_quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
-    for d, t, _, _ in docs:
+    for d, t, _, _ in docs_of(spark, sf_dir):
         r = out[d]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute.base_counts(t)
-    assert {d: r["kept"] for d, r in out.items()} == brute.quality(docs)
+        assert r["base_failed"] == (r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"]) and (not r["base_failed"] or not r["kept"])
+
+
+def test_quality_against_brute_force(spark):
+    """Two sources a language, of 26 to 320 documents: verdicts of a plain FAST-MCD with exact
+    subsets and many starts, but for distances close to the cutoff."""
+    docs = [(d, t, lang, "ab"[int(source[3:]) < 8]) for d, t, lang, source in docs_of(spark, "/root/testdata/sf0.01")]
+    out = {r["doc_id"]: r for r in op3_quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    exact = brute.quality_distances(docs)
+    ratio = [out[d]["distance"] / x for d, x in exact.items()]
+    assert abs(np.log(np.median(ratio))) < 0.05 and np.quantile(np.abs(np.log(ratio)), 0.9) < 0.25
+    far = {d: x for d, x in exact.items() if abs(np.log(x / op3_quality.CUTOFF)) > 0.35}
+    assert len(far) > 0.95 * len(exact) and all(out[d]["kept"] == (x <= op3_quality.CUTOFF) for d, x in far.items())
+    assert sum(not out[d]["kept"] for d in far) > 30
+
+
+def test_determinant_is_as_low_as_that_of_many_starts(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    mix = rng.normal(size=(op3_quality.P, op3_quality.P))
+    rows = np.round(np.concatenate([rng.normal(size=(200, op3_quality.P)) @ mix, rng.normal(8, 0.3, size=(40, op3_quality.P))]) * op3_quality.UNIT).astype(int)
+    df = spark.createDataFrame([("own", "lang", *map(int, r)) for r in rows], "own string, language string, " + ", ".join(f"{x} long" for x in op3_quality.XS))
+    found = {r["g"]: r for r in op3_quality.estimates(df, op3_quality.Scratch(spark, "test")).collect()}
+    _, centre, scatter = brute.mcd(rows / op3_quality.UNIT)
+    assert set(found) == {"own", "lang", "all"}
+    for r in found.values():
+        assert r["logdet"] < np.linalg.slogdet(scatter)[1] + 0.05 and r["n"] == len(rows)
+        assert np.allclose(r["centre"], centre, atol=0.15)
+
+
+def test_the_estimated_covariance_decides(spark):
+    """Texts of usual length and usual number of distinct words, but not together: only the
+    covariance tells. And a source that is mostly copies of one text rejects no others."""
+    rng = random.Random(6)
+
+    def text(n, vocabulary):
+        letters, dots, longest = "etaoinshrdlucmfwypvbgkjqxz"[: rng.randint(12, 26)], rng.uniform(0.05, 0.3), rng.randint(6, 11)
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, longest))) for _ in range(vocabulary)]
+        return " ".join(rng.choice(words) + ("." if rng.random() < dots else "") for _ in range(n))
+
+    rows = [(i, text(n := round(60 * 2 ** rng.uniform(0, 4)), round(n * rng.uniform(1, 3))), "en", f"s{i % 3}") for i in range(600)]
+    odd = [(1000 + i, text(900, 80), "en", "s0") for i in range(5)]
+    copies = [(2000 + i, rows[4][1], "en", "s1") for i in range(900)]
+    out = {r["doc_id"]: r for r in op3_quality.quality(spark.createDataFrame(rows + odd + copies, "doc_id long, text string, lang string, source string")).collect()}
+    vectors = brute.quality_vectors(rows + odd)
+    m = np.array([vectors[d][2][:3] for d, *_ in rows])
+    alone = lambda v: (np.abs(v - np.median(m, 0)) / m.std(0)).max()
+    assert all(alone(np.array(vectors[d][2][:3])) < 2.6 and not out[d]["kept"] for d, *_ in odd)
+    assert sum(not out[d]["kept"] for d, *_ in rows) <= 6 and all(out[d]["kept"] for d, *_ in copies)
+
+
+def test_mixing_is_continuous():
+    rng = np.random.default_rng(1)
+    base, own = (np.cov(rng.normal(size=(5, 40))) for _ in range(2))
+    zero = np.zeros(5)
+    near = [op3_quality.mixed(n, zero + 1, own, zero, base) for n in (0, 1e-6, 1e9)]
+    assert np.allclose(near[0][1], base) and np.allclose(near[1][1], near[0][1], atol=1e-5) and np.allclose(near[2][0], 1)
+    assert np.allclose(op3_quality.mixed(1e9, zero, 0.01 * base, zero, base)[1], op3_quality.TIGHT * base)
 
 
 def test_quality_edges(spark):
