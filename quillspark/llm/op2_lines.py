@@ -1,16 +1,20 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-The lines with a character other than white space are a sequence per document. From every
-``RUN`` lines in a row the least line hash is selected, so any two equal runs of that length
-select the same line: its hash is their fingerprint. Fingerprints that occur once are
-dropped; the others are joined with the runs around them, which extends a match to both
-sides line by line. A line goes if it lies in a run of ``RUN`` lines or more that also
-occurs earlier (smaller doc_id, or same document, earlier line). With ``alone``, a line of
-more words than that is a run by itself, so one-line passages and one-line documents are
-searched too.
-
-Counts and first places are aggregated before the shuffle; the joins meet one row per
-fingerprint, so a fingerprint of a third of all documents can be split by skew handling.
+The lines with a character other than white space are a sequence per document. Of every
+window of two neighbouring lines the one with the lesser hash is selected, once however many
+windows share it: its hash is a fingerprint, and two equal pairs of lines select the same
+line of the pair. A line of over ``ALONE`` words is a window by itself, so one-line passages
+and one-line documents are searched too.
+
+The places of a fingerprint are joined with the first place that has the same fingerprint
+and the same line before it, or after it, or that is such a long line: the match is extended
+to that side. As every pair of neighbours holds a selected line, longer matches are extended
+by the next selected line, and no line of a repeated run of two lines or more is missed.
+What is matched by an earlier place (smaller doc_id, or same document, earlier line) goes.
+
+First places are aggregated before the shuffle and written, one row per fingerprint and
+neighbour, so a fingerprint of a third of all documents can be split by skew handling. The
+texts are not sorted: what goes from a document meets its text in a hash table.
 """
 
 from __future__ import annotations
@@ -20,53 +24,53 @@ from pyspark.sql import functions as F
 
 from quillspark.plans.scratch import Scratch
 
-RUN = 2
 #: A line of more words is a passage by itself.
 ALONE = 50
 
 
-def _runs(docs: DataFrame, text: str, alone: int | None = None) -> DataFrame:
-    """Every run of RUN lines, and every line of over ``alone`` words: doc, the places of its
-    lines, its fingerprint and its hash."""
+def fingerprints(docs: DataFrame, text: str, alone: int = ALONE) -> DataFrame:
+    """The selected lines: doc, the number ``i`` of the line in the sequence, its hash, its place
+    in the text and those of its neighbours. ``before`` and ``after`` are the hashes of the
+    neighbours with which it is selected, null if not; ``long`` tells a line that is a window by itself."""
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    long = lambda x: [] if alone is None else [((F.length(x) > 2 * alone) & (F.regexp_count(x, F.lit(r"\S+")) > alone)).alias("long")]
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), x.rlike(r"[^ \t\r\f\x0B]").alias("full"), *long(x)))
-    names = ["at", "h"] if alone is None else ["at", "h", "long"]
-    kept = F.transform(F.filter(numbered, lambda x: x["full"]), lambda x: F.struct(*[x[n].alias(n) for n in names]))
-    sequence = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), kept.alias("lines")).where(F.size("lines") >= (RUN if alone is None else 1))
-    starts = F.sequence(F.lit(0), F.size("lines") - RUN)
-    if alone is not None:  # a document of fewer lines has no start
-        starts = F.when(F.size("lines") >= RUN, starts).otherwise(F.array().cast("array<int>"))
-
-    def run(i: Column) -> Column:
-        part = [F.get("lines", i + k) for k in range(RUN)]
-        hashes = [p["h"] for p in part]
+    long = lambda x: (F.length(x) > 2 * alone) & (F.regexp_count(x, F.lit(r"\S+")) > alone)
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), long(x).alias("long"), x.rlike(r"[^ \t\r\f\x0B]").alias("full")))
+    kept = F.transform(F.filter(numbered, lambda x: x["full"]), lambda x: F.struct(*[x[n].alias(n) for n in ("at", "h", "long")]))
+    sequence = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), kept.alias("lines")).where(F.size("lines") > 0)
+
+    def place(x: Column, i: Column) -> Column:
+        left, right = F.get("lines", i - 1), F.get("lines", i + 1)
         return F.struct(
-            F.array(*[p["at"] for p in part]).alias("at"),
-            (F.least(*hashes) if RUN > 1 else hashes[0]).alias("fingerprint"),
-            F.xxhash64(*hashes, F.lit(RUN)).alias("whole"),
+            i.alias("i"),
+            x["h"].alias("h"),
+            left["at"].alias("at_before"),
+            x["at"].alias("at"),
+            right["at"].alias("at_after"),
+            F.when(x["h"] < left["h"], left["h"]).alias("before"),
+            F.when(x["h"] <= right["h"], right["h"]).alias("after"),
+            x["long"].alias("long"),
         )
 
-    def single(x: Column) -> Column:
-        whole = F.xxhash64(x["h"], F.lit(1))
-        return F.struct(F.array(x["at"]).alias("at"), whole.alias("fingerprint"), whole.alias("whole"))
-
-    found = F.transform(starts, run)
-    if alone is not None:
-        found = F.concat(found, F.transform(F.filter("lines", lambda x: x["long"]), single))
-    return sequence.select("doc", F.explode(found).alias("r")).select("doc", "r.at", "r.fingerprint", "r.whole")
+    selected = F.filter(F.transform("lines", place), lambda p: p["before"].isNotNull() | p["after"].isNotNull() | p["long"])
+    return sequence.select("doc", F.explode(selected).alias("p")).select("doc", "p.*")
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, alone: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", scratch: Scratch | None = None, alone: int = ALONE) -> DataFrame:
     """``doc`` and ``gone``, the ascending places of its lines that go, where there are any."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    runs = scratch.save(_runs(docs, text, alone), "runs")
-    often = scratch.save(runs.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "fingerprints")
-    matched = scratch.save(runs.join(often, "fingerprint").select("doc", "at", "whole"), "matched")
-    first = matched.groupBy("whole").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("whole", "first")
+    places = scratch.save(fingerprints(docs, text, alone), "fingerprints")
+    side = lambda name, neighbour, *at: F.when(neighbour, F.struct(F.lit(name).alias("side"), F.coalesce(F.col(name) if name != "long" else F.lit(0), F.lit(0)).alias("neighbour"), F.array(*at).alias("lines")))
+    sides = F.array(
+        side("before", F.col("before").isNotNull(), "at_before", "at"),
+        side("after", F.col("after").isNotNull(), "at", "at_after"),
+        side("long", F.col("long"), "at"),
+    )
+    matches = places.select("doc", "i", "h", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("m")).select("doc", "i", "h", "m.side", "m.neighbour", "m.lines")
+    key = ["h", "side", "neighbour"]
+    first = matches.groupBy(*key).agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first")
     first = scratch.save(first, "first")
-    later = matched.join(first, "whole").where(F.struct("doc", "at") > F.col("first"))
-    return later.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("gone"))  # at most the document's lines
+    later = matches.join(first, key).where(F.struct("doc", "i") > F.col("first"))
+    return later.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))  # at most the document's lines
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -82,7 +86,7 @@ def _without(text: Column, gone: Column) -> Column:
     return F.get(F.transform(F.array(bound), kept), F.lit(0))
 
 
-def dedup(docs: DataFrame, text: str = "text", alone: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", alone: int = ALONE) -> DataFrame:
     """All columns of ``docs``, the text without its repeated runs, and ``n_lines`` (all lines
     of the input, blank ones too) and ``n_removed``.
 
@@ -91,7 +95,7 @@ def dedup(docs: DataFrame, text: str = "text", alone: int | None = None) -> Data
     searched nor changed. Blank lines break no run and stay. A column that has the name of an
     output column is replaced.
     """
-    gone = repeated_lines(docs, text, alone=alone).select(F.col("doc").alias("__qs_doc"), F.col("gone").alias("__qs_gone"))
+    gone = repeated_lines(docs, text, alone=alone).select(F.col("doc").alias("__qs_doc"), F.col("gone").alias("__qs_gone")).hint("shuffle_hash")
     source = F.col(f"`{text}`")
     lines = F.when(source.isNull(), 0).otherwise(F.size(F.split(source, "\n", -1))).cast("long")
     joined = docs.join(gone, docs["doc_id"] == F.col("__qs_doc"), "left").drop("n_lines", "n_removed").withColumn("n_lines", lines)
@@ -102,9 +106,9 @@ def dedup(docs: DataFrame, text: str = "text", alone: int | None = None) -> Data
     return counted.withColumn(text, shortened).drop("__qs_doc", "__qs_gone")
 
 
-def strip_lines(docs: DataFrame, alone: int | None = None) -> DataFrame:
+def strip_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns: ``text`` deduplicated, ``n_chars`` of what is left."""
-    out = dedup(docs, alone=alone)
+    out = dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,11 +21,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op2_line_dedup``, and a long line is a run by itself."""
-    return op2_lines.dedup(table(spark, sf_dir, "documents"), alone=op2_lines.ALONE).select("doc_id", "n_lines", "n_removed", "text")
-
-
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.quality(table(spark, sf_dir, "documents"))
 
@@ -64,7 +59,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_html_extraction,
         op2_line_dedup,
-        op2_passage_dedup,
         op3_quality_rules,
         op4_decontamination,
         op5_near_dedup,
@@ -77,24 +71,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES = {
-    "op2_line_dedup": """
-WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM parts),
-numbered AS (
-  SELECT doc_id, place, line, lead(line) OVER w AS line2, lead(place) OVER w AS place2
-  FROM lines WHERE regexp_matches(line, '[^ \\t\\r\\f\\x0B]') WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
-ranked AS (
-  SELECT doc_id, place, place2, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, place) AS nth
-  FROM numbered WHERE line2 IS NOT NULL),
-gone AS (
-  SELECT doc_id, place FROM ranked WHERE nth > 1
-  UNION SELECT doc_id, place2 FROM ranked WHERE nth > 1),
-told AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_removed,
-         coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id)
-SELECT doc_id, n_lines, n_removed, text FROM told""",
-    "op2_passage_dedup": r"""
+    "op2_line_dedup": r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM parts),
 numbered AS (

@@ -65,17 +65,18 @@ def contaminated(docs, items, threshold=0.8):
     return out
 
 
-def line_dedup(docs, run=2):
+def line_dedup(docs, run=2, alone=50):
     """{doc_id: text} for rows with distinct ids."""
     first, spans = {}, {}
     for d, t in sorted((d, t) for d, t in docs if t is not None):
         full = [i for i, x in enumerate(t.split("\n")) if x.strip(" \t\r\f\v")]
         lines = t.split("\n")
         spans[d] = set()
-        for k in range(len(full) - run + 1):
-            key = tuple(lines[i] for i in full[k : k + run])
-            if first.setdefault(key, (d, k)) != (d, k):
-                spans[d] |= set(full[k : k + run])
+        for n in (run, 1):
+            for k in range(len(full) - n + 1):
+                key = tuple(lines[i] for i in full[k : k + n])
+                if (n == run or len(key[0].split()) > alone) and first.setdefault(key, (d, k)) != (d, k):
+                    spans[d] |= set(full[k : k + n])
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in spans[d]) for d, t in docs}
 
 
