@@ -14,22 +14,21 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, a: st
     links count once. Labels are written as a table each round, so lineage stays short.
 
     Neighbours' labels are reduced to a minimum before they are shuffled, so a hub costs
-    one row per task; each round halves the distance to the least node.
+    one row per task; each round also jumps to the label of the label, which about halves the
+    distance to the least node. Without links there is no round.
     """
     scratch = scratch or Scratch(edges.sparkSession, "components")
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = scratch.save(links.union(links.select("v", "u")).distinct(), "links")
-    labels = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        joined = labels.join(near, labels["node"] == near["u"], "left")
-        closer = scratch.save(joined.select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "closer")
-        jump = closer.select(F.col("node").alias("j"), F.col("label").alias("jump"))
-        jumped = closer.join(jump, closer["label"] == jump["j"], "left").select("node", "old", F.least("label", "jump").alias("label"))
-        fresh = scratch.save(jumped, "labels")
+    both = scratch.save(links.union(links.select("v", "u")).distinct(), "links", narrow=True)
+    labels = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", narrow=True)
+    moved = not labels.isEmpty()
+    while moved:
+        near = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
+        jump = labels.select(F.col("node").alias("j"), F.col("label").alias("jump"))
+        closer = labels.join(near, labels["node"] == near["n"], "left").join(jump, labels["label"] == jump["j"], "left")
+        fresh = scratch.save(closer.select("node", F.col("label").alias("old"), F.least("label", "m", "jump").alias("label")), "labels", narrow=True)
         moved = not fresh.where("old <> label").isEmpty()
-        scratch.drop(labels, closer)
+        scratch.drop(labels)
         labels = fresh
-        if not moved:
-            scratch.drop(both)
-            return labels.select("node", "label")
+    scratch.drop(both)
+    return labels.select("node", "label")

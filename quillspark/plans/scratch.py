@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -21,9 +22,12 @@ _LIVE: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where the setting is unset (tests)."""
+    """The cluster's shared folder. Where the setting is unset, as in tests, a temporary one if
+    driver and executors are one process; an error on a cluster."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {_KEY} to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set(_KEY, root)
         spark.sparkContext.setCheckpointDir(root)
@@ -39,9 +43,14 @@ class Scratch:
     """Tables of one operator call, in a folder of their own.
 
     ``save`` writes and rereads a table, ``drop`` deletes one that is no longer read.
-    What a returned lazy DataFrame still reads stays until the session ends.
+    What a returned lazy DataFrame still reads stays until the session ends. A ``narrow``
+    table (ids, hashes, numbers) that comes from a shuffle gets a few files a core, not one
+    for each shuffle partition: starting, committing and reading so many would cost more than
+    the rows in them.
     """
 
+    FILES_PER_CORE = 2
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
@@ -52,8 +61,10 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         path = self.path(name)
+        if narrow:
+            df = df.coalesce(self.FILES_PER_CORE * self.spark.sparkContext.defaultParallelism)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
