@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Each benchmark item gives the SimHash of its five-word shingles, weighted by how often they
-occur. Windows with as many words slide over every text; a text shorter than the item is one window. Fingerprints are cut into blocks;
-if two differ in at most ``RADIUS`` bits, some block differs in at most RADIUS // BLOCKS, so
-looking up all block values that near finds every item within the radius. Candidates are
-verified by the exact weighted Jaccard of their shingles.
+occur. Windows with as many words slide over every text, and prefix sums of the bits of its
+shingles give the fingerprint of each; a text shorter than the item is one window.
+Fingerprints are cut into blocks: if two differ in at most ``RADIUS`` bits, some block differs
+in at most RADIUS // BLOCKS. The multi-index holds for each value of a block the items that
+near to it, so four look-ups find every item within the radius. These candidates, and no
+others, are verified by the exact weighted Jaccard of their shingles.
 
-Windows that cannot pass are skipped without loss: the common weight of a pair at the
-threshold is at least threshold times the item's weight, and a running count of positions
-with a benchmark shingle bounds it from above.
+A window without any shingle of the benchmark has similarity 0 to all items, so no fingerprint
+is made for it.
 
 The items go to the workers in slices of bounded text, one pass over the texts per slice.
 """
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspark.llm.batches import bounded
 from quillspark.llm.shingles import SIZE, weighted_jaccard, window_hashes, word_hashes, words_of
@@ -33,93 +35,148 @@ BLOCKS = 4
 RADIUS = 19
 SLICE_CHARS = 16_000_000
 SLICE_ITEMS = 20_000
-CELLS = 1 << 20
+#: Words of a text that are fingerprinted at a time.
+STRETCH = 1 << 15
+#: Bytes of the index's look-up rows, and cells of the windows x items matrix at a time.
+ROWS_BYTES, CELLS = 32_000_000, 1 << 23
 
 
-def simhash(windows: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each row of shingle hashes; a repeated shingle counts repeatedly."""
-    bits = np.unpackbits(windows.view(np.uint8).reshape(*windows.shape, 8), axis=-1)
-    votes = 2 * bits.sum(axis=1, dtype=np.int64) > windows.shape[1]
-    return np.packbits(votes, axis=-1).view(np.uint64).ravel()
+def bit_sums(shingles: np.ndarray) -> np.ndarray:
+    """(n + 1, 64) prefix sums of the bits of the hashes."""
+    out = np.zeros((len(shingles) + 1, 64), np.int32)
+    np.cumsum(np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int32, out=out[1:])
+    return out
+
+
+def simhash(votes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit SimHash from rows of bit sums over n shingles; a repeated shingle counts repeatedly."""
+    return np.packbits(2 * votes > n, axis=-1).view(np.uint64).ravel()
 
 
 class Index:
-    """Items of one size in words: fingerprints by blocks, and shingles with weights."""
-
-    def __init__(self, size: int, items: list[tuple[int, np.ndarray]]):
-        self.size = size
-        self.ids = [i for i, _ in items]
-        self.span = min(SIZE, size)
-        self.per_window = size - self.span + 1
-        self.sets = [np.unique(h, return_counts=True) for _, h in items]
-        self.prints = np.concatenate([simhash(h[None, :]) for _, h in items])
-        blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
-        #: Per block: its distinct values, and which of them each item has.
-        self.values, self.which = zip(*(np.unique(blocks[:, k], return_inverse=True) for k in range(BLOCKS)), strict=True)
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (fingerprint, item) within the radius, through the blocks."""
-        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
-        found = np.zeros((len(prints), len(self.ids)), bool)
-        for k in range(BLOCKS):
-            close = np.bitwise_count(parts[:, k, None] ^ self.values[k][None, :]) <= RADIUS // BLOCKS
-            found |= close[:, self.which[k]]
-        i, j = np.nonzero(found)
-        within = np.bitwise_count(prints[i] ^ self.prints[j]) <= RADIUS
-        return i[within], j[within]
+    """Multi-index of fingerprints. For a value of a block, the row with a bit for each item
+    whose block is near is made at its first look-up and kept, in bounded memory."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.blocks = np.ascontiguousarray(prints.view(np.uint16).reshape(-1, BLOCKS).T)
+        self.width = -(-len(prints) // 8)
+        self.room = max(64, ROWS_BYTES // max(1, self.width))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot = np.full((BLOCKS, 1 << 16), -1, np.int32)
+        self.rows = np.zeros((min(self.room, 1 << 10), self.width), np.uint8)
+        self.used = 0
+
+    def look_up(self, block: int, values: np.ndarray) -> np.ndarray:
+        """A row for each value: the items within RADIUS // BLOCKS bits of it in the block."""
+        every = np.unique(values)
+        if self.used + len(every) > self.room:
+            self._forget()
+        new = every[self.slot[block, every] < 0]
+        if self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(new), len(self.rows)), self.width), np.uint8)])
+        step = max(1, CELLS // max(1, len(self.prints)))
+        for k in range(0, len(new), step):
+            some = new[k : k + step]
+            near = np.bitwise_count(some[:, None] ^ self.blocks[block][None, :]) <= RADIUS // BLOCKS
+            self.rows[self.used : self.used + len(some)] = np.packbits(near, axis=1)
+            self.slot[block, some] = np.arange(self.used, self.used + len(some))
+            self.used += len(some)
+        return self.rows[self.slot[block, values]]
+
+    def near(self, prints: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (fingerprint, item) within the radius; ``among`` has for each fingerprint a row
+        with a bit for each item that counts."""
+        ws, js = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, min(self.room // 2, CELLS // max(1, 8 * self.width)))
+        for k in range(0, len(prints), step):
+            some = prints[k : k + step]
+            parts = some.view(np.uint16).reshape(-1, BLOCKS)
+            found = self.look_up(0, parts[:, 0])
+            for block in range(1, BLOCKS):
+                found = found | self.look_up(block, parts[:, block])
+            w, j = np.nonzero(np.unpackbits(found & among[k : k + step], axis=1, count=len(self.prints)))
+            within = np.bitwise_count(some[w] ^ self.prints[j]) <= RADIUS
+            ws.append(w[within] + k)
+            js.append(j[within])
+        return np.concatenate(ws), np.concatenate(js)
 
 
 class Benchmark:
-    """A slice of the benchmark, by item size."""
+    """A slice of the benchmark: fingerprints, shingles with weights, and sizes."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    def __init__(self, items: list[tuple[object, str]], skip: bool = True):
+        self.skip = skip
+        self.items: list[tuple[object, int]] = []
+        self.sets, prints = [], []
         for i, text in items:
-            h = word_hashes(words_of(text))
-            if len(h):
-                by_size.setdefault(len(h), []).append((i, window_hashes(h)))
-        self.indexes = [Index(n, by_size[n]) for n in sorted(by_size)]
-        #: All shingles of the slice, by their length in words (shorter for short items).
-        self.known = {
-            span: np.unique(np.concatenate([h for x in self.indexes if x.span == span for h, _ in x.sets])) for span in {x.span for x in self.indexes}
-        }
-
-    def hits(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
+            words = word_hashes(words_of(text))
+            if len(words):
+                h = window_hashes(words)
+                self.items.append((i, len(words)))
+                self.sets.append(np.unique(h, return_counts=True))
+                prints.append(simhash(bit_sums(h)[-1:], len(h)))
+        self.index = Index(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
+        sizes = np.array([n for _, n in self.items], np.int64)
+        #: Per size in words: the items of that size, as bits.
+        self.of_size = {int(n): np.packbits(sizes == n) for n in np.unique(sizes)}
+        #: By length of the shingles (shorter for short items): sizes, and all shingles.
+        self.spans: dict[int, tuple[list[int], np.ndarray]] = {}
+        for span in {min(SIZE, n) for n in self.of_size}:
+            known = [h for (h, _), n in zip(self.sets, sizes, strict=True) if min(SIZE, n) == span]
+            self.spans[span] = [n for n in self.of_size if min(SIZE, n) == span], np.unique(np.concatenate(known))
+
+    def _windows(self, h: np.ndarray, sizes: list[int], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Start, shingles and size of the item of windows over the shingles ``h``, with their
+        fingerprints, a stretch of the text at a time."""
+        span = min(SIZE, sizes[0])
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        on = known[at] == h if self.skip else np.ones(len(h), bool)
+        upto = np.concatenate([[0], np.cumsum(on)])
+        longest = min(len(h), max(sizes) - span + 1)
+        for a in range(0, len(h), STRETCH):
+            here = np.flatnonzero(on[a : a + STRETCH + longest - 1])
+            if not len(here):
+                continue
+            low, high = a + max(0, int(here[0]) - longest + 1), a + int(here[-1]) + 1
+            sums = bit_sums(h[low : high + longest - 1])
+            starts, lengths, of, prints = [], [], [], []
+            for n in sizes:
+                m = min(n - span + 1, len(h))  # a text shorter than the item is its one window
+                s = np.arange(low, max(low, min(high, a + STRETCH, len(h) - m + 1)))
+                s = s[upto[s + m] > upto[s]]
+                starts.append(s)
+                lengths.append(np.full(len(s), m))
+                of.append(np.full(len(s), n))
+                prints.append(simhash(sums[s - low + m] - sums[s - low], m))
+            yield np.stack([np.concatenate(x) for x in (starts, lengths, of)]), np.concatenate(prints)
+
+    def hits(self, text: str | None, threshold: float) -> list[tuple[object, float, int, int]]:
         """Per item that the text holds: id, best similarity, first word and number of words
         of the first such window."""
         hashes = word_hashes(words_of(text))
-        if not len(hashes):
-            return []
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for span, known in self.known.items():
-            if len(hashes) >= span:
-                h = window_hashes(hashes, span)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                on = known[at] == h
-                if on.any():
-                    seen[span] = h, np.concatenate([[0], np.cumsum(on)])
         best: dict[int, tuple[float, int, int]] = {}
-        for x in self.indexes if seen else ():
-            if x.span not in seen:
+        for span, (sizes, known) in self.spans.items():
+            if len(hashes) < span:
                 continue
-            h, upto = seen[x.span]
-            m = min(x.per_window, len(h))  # a text shorter than the item is its one window
-            starts = np.flatnonzero(upto[m:] - upto[:-m] >= threshold * x.per_window - 1e-9)
-            run = max(1, CELLS // len(x.ids))
-            for k in range(0, len(starts), run):
-                some = starts[k : k + run]
-                own, last = None, -1
-                for w, j in zip(*(z.tolist() for z in x.near(simhash(h[some[:, None] + np.arange(m)]))), strict=True):
-                    start = int(some[w])
-                    if start != last:
-                        own, last = np.unique(h[start : start + m], return_counts=True), start
-                    s = weighted_jaccard(own, x.sets[j])
-                    if s >= threshold and s > best.get(x.ids[j], (0.0,))[0]:
-                        best[x.ids[j]] = s, start, min(x.size, len(hashes))
-        return [(i, *best[i]) for i in sorted(best)]
-
-
-def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
+            h = window_hashes(hashes, span)
+            for (start, length, size), prints in self._windows(h, sizes, known):
+                among = np.stack([self.of_size[n] for n in sizes])[np.searchsorted(sizes, size)] if len(size) else np.zeros((0, self.index.width), np.uint8)
+                w, j = self.index.near(prints, among)
+                own, last = None, None
+                for k, item in zip(w.tolist(), j.tolist(), strict=True):
+                    at, m = int(start[k]), int(length[k])
+                    if (at, m) != last:
+                        own, last = np.unique(h[at : at + m], return_counts=True), (at, m)
+                    s = weighted_jaccard(own, self.sets[item])
+                    if s >= threshold and s > best.get(item, (0.0,))[0]:
+                        best[item] = s, at, min(int(size[k]), len(hashes))
+        return [(self.items[j][0], *best[j]) for j in sorted(best)]
+
+
+def _slices(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """The items in slices of bounded size, cut by a hash of the item."""
     items = benchmark.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{text}`").alias("text")).where("item_id is not null and text is not null").distinct()
     chars, count = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
@@ -134,18 +191,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", thre
 
     Null and empty texts hold nothing, null, empty and wordless items are in nothing; items of
     fewer than five words are matched as one shingle; equal items are each reported; repeated
-    document rows repeat their rows; no items, no rows. Other columns are not read.
+    document rows repeat their rows; no items, no rows. Ids may be of any type. Other columns
+    are not read.
     """
     base = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
-    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, item_id bigint, similarity double, first_word bigint, n_words bigint"
+    item_type = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, similarity double, first_word bigint, n_words bigint"
 
-    def scan(items: list[tuple[int, str]]) -> DataFrame:
+    def scan(items: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Benchmark(items)
             for b in bounded(batches):
                 found = [(d, *hit) for d, t in zip(b.column("doc_id"), b.column("text").to_pylist(), strict=True) for hit in index.hits(t, threshold)]
                 if found:
-                    kinds = [b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                    kinds = [b.schema.field("doc_id").type, to_arrow_type(item_type), pa.float64(), pa.int64(), pa.int64()]
                     rows = [[x[k].as_py() if k == 0 else x[k] for x in found] for k in range(5)]
                     yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 

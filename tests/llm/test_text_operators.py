@@ -355,12 +355,56 @@ def test_decontamination_against_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): (r["similarity"], r["first_word"]) for r in out} == {k: (pytest.approx(v[0]), v[1]) for k, v in expected.items()} and expected
 
 
-def test_hamming_index_is_complete():
+def test_hamming_index_is_complete(monkeypatch):
     rng = np.random.default_rng(0)
-    index = op4_decontam.Index(9, [(i, rng.integers(0, 2**63, 5).astype(np.uint64)) for i in range(50)])
-    prints = np.concatenate([index.prints ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for n in (0, 5, 12, 19, 20, 24)])
-    exact = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(index.prints) if int(p ^ q).bit_count() <= op4_decontam.RADIUS}
-    assert set(zip(*(x.tolist() for x in index.near(prints)), strict=True)) == exact
+    items = rng.integers(0, 2**63, 50).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 50).astype(np.uint64)
+    prints = np.concatenate([items ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for n in (0, 5, 12, 19, 20, 24)])
+    exact = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(items) if int(p ^ q).bit_count() <= op4_decontam.RADIUS}
+    among = np.full((len(prints), 7), 255, np.uint8)
+    for bytes_, cells in ((op4_decontam.ROWS_BYTES, op4_decontam.CELLS), (7 * 64, 600)):  # the second forgets rows all the time
+        monkeypatch.setattr(op4_decontam, "ROWS_BYTES", bytes_)
+        monkeypatch.setattr(op4_decontam, "CELLS", cells)
+        assert set(zip(*(x.tolist() for x in op4_decontam.Index(items).near(prints, among)), strict=True)) == exact
+    odd = np.broadcast_to(np.packbits(np.arange(50) % 2 == 1), (len(prints), 7))
+    assert set(zip(*(x.tolist() for x in op4_decontam.Index(items).near(prints, odd)), strict=True)) == {(i, j) for i, j in exact if j % 2}
+
+
+def test_radius_holds_the_threshold():
+    """Of windows just above the threshold, the radius loses less than one in a hundred."""
+    rng, inside, total = np.random.default_rng(1), 0, 0
+    for _ in range(6000):
+        n = int(rng.integers(11, 80))
+        own = rng.integers(0, 2**63, n).astype(np.uint64)
+        other = own.copy()
+        changed = rng.choice(n, int(rng.integers(1, 2 + n // 8)), replace=False)
+        other[changed] = rng.integers(0, 2**63, len(changed)).astype(np.uint64)
+        same = n - len(changed)
+        if 0.8 <= same / (2 * n - same) < 0.84:
+            a, b = (op4_decontam.simhash(op4_decontam.bit_sums(x)[-1:], n)[0] for x in (own, other))
+            inside, total = inside + (int(a ^ b).bit_count() <= op4_decontam.RADIUS), total + 1
+    assert total > 500 and inside / total > 0.99
+
+
+def test_simhash_chooses_the_candidates(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [(f"item {i}", prose(rng, 30, 10**6)) for i in range(40)]
+    texts = [" ".join([prose(rng, 50, 10**6), " ".join(t.split()[:28]), prose(rng, 50, 10**6)]) for _, t in items]
+    every, few = (op4_decontam.Benchmark(items, skip) for skip in (False, True))
+    found = [every.hits(t, 0.8) for t in texts]
+    assert found == [few.hits(t, 0.8) for t in texts] and sum(map(len, found)) >= 39
+    monkeypatch.setattr(op4_decontam.Index, "near", lambda self, prints, among: (np.zeros(0, int), np.zeros(0, int)))
+    assert not any(few.hits(t, 0.8) for t in texts)
+
+
+def test_decontamination_of_long_texts_and_other_ids(spark, monkeypatch):
+    monkeypatch.setattr(op4_decontam, "STRETCH", 64)
+    rng = random.Random(11)
+    items = [(f"i{k}", prose(rng, n, 10**6), k) for k, n in enumerate((12, 70, 40))]
+    text = " ".join(x for _, t, _ in items for x in (prose(rng, 90, 10**6), t)) + " " + prose(rng, 70, 10**6)
+    assert [h[:3] for h in op4_decontam.Benchmark([i[:2] for i in items]).hits(text, 0.8)] == [("i0", 1.0, 90), ("i1", 1.0, 192), ("i2", 1.0, 352)]
+    docs = spark.createDataFrame([("d1", text, "x"), (None, text, None), ("d2", None, "y")], "doc_id string, text string, item_id string")
+    out = op4_decontam.contaminated(docs, spark.createDataFrame(items, "item_id string, text string, doc_id long")).collect()
+    assert sorted((r["doc_id"] or "", r["item_id"]) for r in out) == [(d, f"i{k}") for d in ("", "d1") for k in range(3)]
 
 
 def test_decontamination_of_texts_shorter_than_the_item(spark):
