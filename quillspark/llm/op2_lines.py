@@ -68,7 +68,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", scratch: Scratch | None
     matches = places.select("doc", "i", "h", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("m")).select("doc", "i", "h", "m.side", "m.neighbour", "m.lines")
     key = ["h", "side", "neighbour"]
     first = matches.groupBy(*key).agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*key, "first")
-    first = scratch.save(first, "first")
+    first = scratch.save(first, "first", narrow=True)
     later = matches.join(first, key).where(F.struct("doc", "i") > F.col("first"))
     return later.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("gone"))  # at most the document's lines
 
