@@ -202,11 +202,11 @@ def _starts(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     rolled up, so the rows are read once."""
     levels = F.explode(F.array("own", "language", F.lit(ALL))).alias("g")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("v")) for i, x in enumerate(XS)])).alias("e")
-    values = scratch.save(vectors.select("own", "language", each).groupBy("own", "language", "e.i", "e.v").agg(F.count("*").alias("n")), "values")
+    values = scratch.save(vectors.select("own", "language", each).groupBy("own", "language", "e.i", "e.v").agg(F.count("*").alias("n")), "values", narrow=True)
     medians = values.select(levels, "i", "v", "n").groupBy("g", "i", "v").agg(F.sum("n").alias("n")).groupBy("g").applyInPandas(_median_start, _ESTIMATE)
     draws = [f"r{k}" for k in range(RANDOM_STARTS * (P + 1))]
     one = [F.min(F.struct(F.xxhash64(*XS, F.lit(k)).alias("h"), *XS)).alias(d) for k, d in enumerate(draws)]
-    drawn = scratch.save(vectors.groupBy("own", "language").agg(*one), "draws").select(levels, *draws).groupBy("g").agg(*[F.min(d).alias(d) for d in draws])
+    drawn = scratch.save(vectors.groupBy("own", "language").agg(*one), "draws", narrow=True).select(levels, *draws).groupBy("g").agg(*[F.min(d).alias(d) for d in draws])
     return medians.unionByName(drawn.mapInPandas(_random_starts, _ESTIMATE))
 
 
@@ -219,14 +219,15 @@ def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     def step(params: DataFrame, name: str) -> DataFrame:
         # one small row per group and start; whether they are broadcast is left to their size
         binned = fanned.join(params.select("g", "start", "centre", "precision", "logdet"), "g").withColumn("bin", _bin())
-        return scratch.save(binned.groupBy("g", "start", "bin").agg(*sums).groupBy("g", "start").applyInPandas(_concentrate, _ESTIMATE), name)
+        return scratch.save(binned.groupBy("g", "start", "bin").agg(*sums).groupBy("g", "start").applyInPandas(_concentrate, _ESTIMATE), name, narrow=True)
 
     names = [n.split()[0] for n in _ESTIMATE.split(", ")]
-    params = scratch.save(_starts(vectors, scratch), "starts")
+    params = scratch.save(_starts(vectors, scratch), "starts", narrow=True)
     for k in range(FIRST_STEPS):
-        params = step(params, f"first{k}")
+        before, params = params, step(params, f"first{k}")
+        scratch.drop(before)
     best = params.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("p")).select("p.*")
-    params = scratch.save(best, "best")
+    params = scratch.save(best, "best", narrow=True)
     done = []
     for k in range(MOST_STEPS):
         moved = step(params, f"step{k}")
@@ -285,13 +286,13 @@ def judged(stats: DataFrame, scratch: Scratch) -> DataFrame:
     written table: it is read twice."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     base = stats.withColumn("base_failed", failed)
-    vectors = scratch.save(base.where("not base_failed").select(_group("source", "lang", "source").alias("own"), _group("language", "lang").alias("language"), *_vector()).distinct(), "vectors")
-    found = scratch.save(estimates(vectors, scratch), "estimates")
+    vectors = scratch.save(base.where("not base_failed").select(_group("source", "lang", "source").alias("own"), _group("language", "lang").alias("language"), *_vector()).distinct(), "vectors", narrow=True)
+    found = scratch.save(estimates(vectors, scratch), "estimates", narrow=True)
     at = lambda k: found.select(F.col("g").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "centre", "scatter")])
     groups = vectors.select("own", "language").distinct().withColumn("all", F.lit(ALL))
     nested = groups.join(at("o"), F.col("own") == F.col("go")).join(at("l"), F.col("language") == F.col("gl")).join(at("a"), F.col("all") == F.col("ga"))
-    params = scratch.save(nested.mapInPandas(_mix, "own string, language string, centre array<double>, precision array<double>"), "mixed")
-    final = scratch.save(_scaled(vectors, params), "final")
+    params = scratch.save(nested.mapInPandas(_mix, "own string, language string, centre array<double>, precision array<double>"), "mixed", narrow=True)
+    final = scratch.save(_scaled(vectors, params), "final", narrow=True)
     scored = base.select("*", _group("source", "lang", "source").alias("own"), *_vector()).join(final, "own", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     return scored.select(*[F.col(c) for c in stats.columns], "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"))
 
