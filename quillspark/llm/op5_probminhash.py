@@ -190,30 +190,33 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     """Per document: ``doc_id`` and ``class_id``, the least doc_id of its class.
 
     Null texts are classes of their own; texts without words (also empty ones) only join
-    equal texts. Rows with the same doc_id are one document and link all that any of them
-    is like. Rows without doc_id give none. Other columns are not read.
+    equal texts. Rows with the same doc_id are one document: it joins the classes of all its
+    texts, and its least text is the one compared for near copies. Rows without doc_id give
+    none. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.save(sign(docs, text), "signed")
     firsts = scratch.save(
         signed.groupBy("text_key").agg(F.min(F.struct("doc_id", "bands")).alias("f"), F.count("*").alias("n")).select("text_key", F.col("f.doc_id").alias("rep"), F.col("f.bands").alias("bands"), "n"),
         "texts",
+        narrow=True,
     )
     copies = signed.select("doc_id", "text_key").join(firsts.where("n > 1").select("text_key", "rep"), "text_key").where("doc_id <> rep").select("doc_id", "rep").distinct()
     banded = firsts.select(F.col("rep").alias("doc"), F.explode("bands").alias("key"))
-    led = scratch.save(banded.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    members = scratch.save(banded.join(led, "key"), "members")
+    led = scratch.save(banded.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets", narrow=True)
+    members = scratch.save(banded.join(led, "key"), "members", narrow=True)
     near = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").where("text is not null")
     texts = scratch.save(near.groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
-    tested = scratch.save(members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    tested = scratch.save(members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs", narrow=True)
     links = scratch.save(verify(tested, texts, threshold), "links")
     done = members.select("key", F.col("leader").alias("doc")).distinct()
     every = members.select("key", "doc")
     labels = connected_components(links, scratch)
     rest = every.join(done, ["key", "doc"], "left_anti").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("part"))
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(rest, "rest", narrow=True)
     split = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("doc", "part")).alias("f")).where("low < high")
-    apart = scratch.save(rest.join(split.select("key", F.col("f.part").alias("main")), "key"), "apart")
+    split = scratch.save(split, "split", narrow=True)  # written, so that a hot bucket can be split where they meet
+    apart = scratch.save(rest.join(split.select("key", F.col("f.part").alias("main")), "key"), "apart", narrow=True)
     more = scratch.save(link_blocks(apart, texts, threshold), "links")
     links = links.union(more)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
