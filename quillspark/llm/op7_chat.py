@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN = ("<|", "|>\n", "\n<|end|>\n")
-NULL = "\x00null"
 
 
 def render(role: Column, text: Column) -> Column:
@@ -27,10 +26,11 @@ def render(role: Column, text: Column) -> Column:
 
 def collapse(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``n_turns`` and ``n_copies`` (equal conversations) of the maximal ones."""
-    role, text = F.coalesce("role", F.lit(NULL)), F.coalesce("text", F.lit(NULL))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     placed = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order))
-    marked = placed.select("conv_id", "place", "turn", "role", "text", F.xxhash64("place", role, text).alias("x"), F.xxhash64(text, F.lit(31), role, "place").alias("y"))
+    # the hash passes over nulls, so that a field is null is hashed with it
+    said = [F.col("role"), F.isnull("role"), F.col("text"), F.isnull("text")]
+    marked = placed.select("conv_id", "place", "turn", "role", "text", F.xxhash64("place", *said).alias("x"), F.xxhash64(*reversed(said), F.lit(31), "place").alias("y"))
     rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hashed = marked.select(
         "conv_id", "place", F.bit_xor("x").over(rolling).alias("hx"), F.bit_xor("y").over(rolling).alias("hy"), F.lead("place").over(order).isNull().alias("is_last")
