@@ -468,6 +468,24 @@ def test_estimate_and_exact_similarity():
     assert abs((s[0] == s[1]).mean() - exact) < 0.12
 
 
+def test_recall_of_linked_pairs(spark):
+    """At a larger table, all pairs at the threshold or above by an inverted index are in one class."""
+    docs = [(d, t) for d, t, _, _ in docs_of(spark, "/root/testdata/sf0.01")]
+    out = {r["doc_id"]: r["class_id"] for r in op5_probminhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    grams = {d: brute.grams(t) for d, t in docs}
+    where = {}
+    for d, g in grams.items():
+        for x in g:
+            where.setdefault(x, []).append(d)
+    pairs = {(a, b) for at in where.values() if len(at) < 60 for a in at for b in at if a < b}
+    near = {(a, b) for a, b in pairs if len(grams[a].keys() & grams[b].keys()) > 0.3 * min(len(grams[a]), len(grams[b])) and brute.probability_jaccard(grams[a], grams[b]) >= op5_probminhash.THRESHOLD}
+    assert len(near) > 80 and all(out[a] == out[b] for a, b in near)
+    linked = {}
+    for a, b in near:
+        linked.setdefault(out[a], set()).update((a, b))
+    assert all(len(c) == 1 or linked.get(k) == c for k, c in {k: {d for d in out if out[d] == k} for k in set(out.values())}.items() if len(c) > 1 and min(len(grams[d]) for d in c))
+
+
 def test_near_dedup_edges(spark):
     docs = edge_docs(spark)
     out = {r["doc_id"]: r["class_id"] for r in op5_probminhash.classes(docs).collect()}
@@ -509,6 +527,14 @@ def brute_offsets(enc, text):
     return out
 
 
+def test_every_low_code_point_alone_and_among_others(encoding):
+    """The own pattern for texts below U+0250 splits as the public one does."""
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    texts = [f"{left}{chr(c)}{right}" for c in range(bpe.FAST_BELOW) for left, right in (("", ""), ("a", "b"), (" ", " "), ("1", "'s"), ("  ", "x"), (".", "\n"))]
+    ids, at = codec.encode(texts)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [encoding.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_query(spark, sf_dir, encoding):
     out = {r["doc_id"]: tuple(r)[1:] for r in queries.op6_bpe_codec(spark, sf_dir).collect()}
     for d, t, _, _ in docs_of(spark, sf_dir):
@@ -543,6 +569,18 @@ def test_chats(spark):
     assert op7_chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_null_turns_differ_from_all_texts(spark):
+    rows = [(1, 0, "user", None), (2, 0, "user", "\x00null"), (3, 0, "user", ""), (4, 0, None, "user"), (5, 0, "user", "null"), (6, 0, None, None), (7, 0, "user", None)]
+    out = {r["conv_id"]: r["n_copies"] for r in op7_chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
+def test_chats_with_long_texts(spark):
+    rows = [(c, k, "user", "word " * 300_000 + str(k)) for c in (1, 2) for k in range(3)]
+    out = op7_chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in out] == [(1, 3, 2)] and len(out[0]["text"]) > 4_500_000
+
+
 def test_chats_sql_with_snapshots(spark):
     rng = random.Random(5)
     rows = []
