@@ -15,6 +15,10 @@ prefix is known where the text is, so a rank needs no look-up.
   each goes on to rank 2: the hash of each single string, ``LENGTH`` bytes, past the
   threshold. Spark sorts (rank 2, position); all but the first are repeats.
 
+Strings count as equal if a hash of 64 bits and an independent one of 32 agree, which for 10**12
+different strings fails with a probability of about 10**-5; bytes are not compared again.
+``prefix_doubling`` is the plain form without hashes, for tables whose positions all fit.
+
 Before each shuffle a task settles what repeats within its own batch, so a passage that
 stands in a third of all documents costs a row per batch. Runs of equal ranks are read as
 a stream; no group is collected.
@@ -29,45 +33,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillspark.llm.batches import bounded
 from quillspark.llm.shingles import mix
+from quillspark.operators.running import numbered
 from quillspark.plans.scratch import Scratch
 
 LENGTH, GRAM = 100, 32
 PIECE = 4_000_000
 BATCH_BYTES = 3_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Base of the second, independent hash.
+_CHECK_BASE = 0xD1342543DE82EF95
 _HIGH = np.uint64(0xFFFFFFFF00000000)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _values(base: int) -> np.ndarray:
+    """A value for each byte."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 22)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, dtype=np.uint64)
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size, out = max(n, 1 << 22), []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            a = np.full(size, factor, dtype=np.uint64)
             a[0] = 1
             with np.errstate(over="ignore"):
-                _POWERS[name] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+                out.append(np.cumprod(a, dtype=np.uint64))
+        _POWERS[base] = out[0], out[1]
+    return _POWERS[base]
 
 
 class Hashes:
     """Hashes of any substrings of a byte array, from prefix sums."""
 
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _powers(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, base: int = _BASE):
+        up, self.down = _powers(base, len(raw) + 1)
         with np.errstate(over="ignore"):
             self.prefix = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_VALUES[raw] * up[: len(raw)], dtype=np.uint64, out=self.prefix[1:])
+            np.cumsum(_values(base)[raw] * up[: len(raw)], dtype=np.uint64, out=self.prefix[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.prefix[end] - self.prefix[begin]) * self.down[begin])
 
+    def checks(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """32 bits of the hashes."""
+        return (self.of(begin, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def grams(self, size: int) -> np.ndarray:
         n = len(self.prefix) - size
         with np.errstate(over="ignore"):
@@ -85,8 +102,8 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 def places(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places of the texts that lie in ``raw`` one after the other, up to ``ends``: number of
     the text, place, first and last start of the strings it stands for (all within raw),
-    rank 0 and rank 1."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    rank 0, rank 1 and the check."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int32))
     if len(raw) < LENGTH:
         return none
     h = Hashes(raw)
@@ -110,7 +127,8 @@ def places(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         context = h.of(first, last + LENGTH) * np.uint64(_BASE) + ((place - first) * 256 + last - first).astype(np.uint64)
     rank1 = mix(context)
     rank1[rank1 == 0] = 1
-    return np.searchsorted(ends, place, "right"), place, first, last, grams[place], rank1
+    rank0, check = grams[place], Hashes(raw, _CHECK_BASE).checks(first, last + LENGTH)
+    return np.searchsorted(ends, place, "right"), place, first, last, rank0, rank1, check
 
 
 def _pieces(docs: list[int], texts: list[str | None]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
@@ -142,7 +160,7 @@ def _later(order: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
 
 
 #: ``spot`` holds a place and, in a byte each, how far before it its first and last string start.
-_RANKED = "rank0 bigint, rank1 bigint, doc bigint, spot bigint"
+_RANKED = "rank0 bigint, rank1 bigint, check int, doc bigint, spot bigint"
 _RANGES = "doc bigint, lo bigint, hi bigint, open boolean"
 
 
@@ -157,19 +175,19 @@ def rank(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", BATCH_BYTES):
             for ids, offsets, raw, ends in _pieces(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                text, place, lo, hi, rank0, rank1 = places(raw, ends)
+                text, place, lo, hi, rank0, rank1, check = places(raw, ends)
                 if not len(text):
                     continue
                 shift = (np.array(offsets) - np.concatenate([[0], ends[:-1]]))[text]
                 doc, place, lo, hi = np.array(ids, np.int64)[text], place + shift, lo + shift, hi + shift
-                order = np.lexsort((place, doc, rank1, rank0))
-                later = _later(order, rank0, rank1)
+                order = np.lexsort((place, doc, check, rank1, rank0))
+                later = _later(order, rank0, rank1, check)
                 head = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
                 later &= (doc[order] != doc[order[head]]) | (place[order] != place[order[head]])
                 known = order[later]
                 rank1[known] = 0
                 rank0[known] = mix(doc[known].astype(np.uint64))
-                yield _table(_RANKED, rank0.view(np.int64), rank1.view(np.int64), doc, place << 16 | (place - lo) << 8 | (place - hi))
+                yield _table(_RANKED, rank0.view(np.int64), rank1.view(np.int64), check, doc, place << 16 | (place - lo) << 8 | (place - hi))
 
     return docs.mapInArrow(run, _RANKED)
 
@@ -180,24 +198,24 @@ def settle(ranked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the first place of the current rank 0 while it has one rank 1: (doc, lo, hi)
-        last = None  # rank0, rank1, doc, place of the head of the current pair
+        last = None  # rank0, rank1, check, doc, place of the head of the current ranks
         for b in batches:
-            rank0, rank1, doc, spot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            rank0, rank1, check, doc, spot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             place = spot >> 16
-            c = [rank0, rank1, doc, place, place - (spot >> 8 & 255), place - (spot & 255)]
+            c = [rank0, rank1, check, doc, place, place - (spot >> 8 & 255), place - (spot & 255)]
             known = c[1] == 0
             if known.any():
-                yield _table(_RANGES, c[2][known], c[4][known], c[5][known], np.zeros(int(known.sum()), bool))
+                yield _table(_RANGES, c[3][known], c[5][known], c[6][known], np.zeros(int(known.sum()), bool))
                 c = [x[~known] for x in c]
-            rank0, rank1, doc, place, lo, hi = c
+            rank0, rank1, check, doc, place, lo, hi = c
             n = len(doc)
             if not n:
                 continue
-            before = (last[0], last[1]) if last else (None, None)
-            new0 = np.concatenate([[rank0[0] != before[0]], rank0[1:] != rank0[:-1]])
-            new1 = new0 | np.concatenate([[rank1[0] != before[1]], rank1[1:] != rank1[:-1]])
+            before = last[:3] if last else (None, None, None)
+            fresh = [np.concatenate([[x[0] != y], x[1:] != x[:-1]]) for x, y in zip((rank0, rank1, check), before, strict=True)]
+            new0, new1 = fresh[0], fresh[0] | fresh[1] | fresh[2]
             head = np.maximum.accumulate(np.where(new1, np.arange(n), -1))
-            head_doc, head_place = np.where(head >= 0, doc[head], last[2] if last else 0), np.where(head >= 0, place[head], last[3] if last else 0)
+            head_doc, head_place = np.where(head >= 0, doc[head], last[3] if last else 0), np.where(head >= 0, place[head], last[4] if last else 0)
             repeat = ~new1 & ((doc != head_doc) | (place != head_place))
             second = new1 & ~new0
             run0 = np.maximum.accumulate(np.where(new0, np.arange(n), -1))
@@ -222,9 +240,9 @@ def settle(ranked: DataFrame) -> DataFrame:
             )
             if run0[-1] >= 0:
                 held = None if run0[-1] in firsts else (doc[run0[-1]], lo[run0[-1]], hi[run0[-1]])
-            last = (rank0[-1], rank1[-1], head_doc[-1], head_place[-1])
+            last = (rank0[-1], rank1[-1], check[-1], head_doc[-1], head_place[-1])
 
-    return ranked.repartition("rank0").sortWithinPartitions("rank0", "rank1", "doc", "spot").mapInArrow(run, _RANGES)
+    return ranked.repartition("rank0").sortWithinPartitions("rank0", "rank1", "check", "doc", "spot").mapInArrow(run, _RANGES)
 
 
 def strings(docs: DataFrame, opened: DataFrame) -> DataFrame:
@@ -232,12 +250,12 @@ def strings(docs: DataFrame, opened: DataFrame) -> DataFrame:
     Strings settled within the batch come as ranges, from ``start`` on ``more`` further ones,
     with a rank2 that only spreads them, and ``more`` counted from -1 down."""
     ranges = opened.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "rank2 bigint, doc bigint, start bigint, more int"
+    schema = "rank2 bigint, check int, doc bigint, start bigint, more int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in bounded(iter([whole]), "text", BATCH_BYTES):
-                docs_, starts_, ranks_ = [], [], []
+                docs_, starts_, ranks_, checks_ = [], [], [], []
                 for doc, text, ranges in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("ranges"), strict=True):
                     lo, hi = (ranges.values.field(k).to_numpy() for k in ("lo", "hi"))
                     sizes = hi - lo + 1
@@ -246,15 +264,16 @@ def strings(docs: DataFrame, opened: DataFrame) -> DataFrame:
                     for k in range(0, len(raw), PIECE):
                         here = start[(start >= k) & (start < k + PIECE)]
                         if len(here):
-                            h = Hashes(raw[k : k + PIECE + LENGTH - 1])
+                            part = raw[k : k + PIECE + LENGTH - 1]
                             starts_.append(here)
-                            ranks_.append(h.of(here - k, here - k + LENGTH))
+                            ranks_.append(Hashes(part).of(here - k, here - k + LENGTH))
+                            checks_.append(Hashes(part, _CHECK_BASE).checks(here - k, here - k + LENGTH))
                             docs_.append(np.full(len(here), doc, np.int64))
                 if not docs_:
                     continue
-                doc, start, rank2 = np.concatenate(docs_), np.concatenate(starts_), np.concatenate(ranks_)
-                order = np.lexsort((start, doc, rank2))
-                later = _later(order, rank2)
+                doc, start, rank2, check = (np.concatenate(x) for x in (docs_, starts_, ranks_, checks_))
+                order = np.lexsort((start, doc, check, rank2))
+                later = _later(order, rank2, check)
                 head = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
                 known = np.zeros(len(doc), bool)
                 known[order[later & ((doc[order] != doc[order[head]]) | (start[order] != start[order[head]]))]] = True
@@ -262,6 +281,7 @@ def strings(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 yield _table(
                     schema,
                     np.concatenate([rank2[~known], mix(d.astype(np.uint64))]).view(np.int64),
+                    np.concatenate([check[~known], np.zeros(len(d), np.int32)]),
                     np.concatenate([doc[~known], d]),
                     np.concatenate([start[~known], lo]),
                     np.concatenate([np.zeros(int((~known).sum()), np.int32), (-1 - (hi - lo)).astype(np.int32)]),
@@ -286,22 +306,56 @@ def settle_strings(ranked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            rank2, doc, start, more = (b.column(k).to_numpy(zero_copy_only=False) for k in ("rank2", "doc", "start", "more"))
+            rank2, check, doc, start, more = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             known = more < 0
             if known.any():
                 yield _table(schema, doc[known], start[known], start[known] - 1 - more[known].astype(np.int64))
-                rank2, doc, start = rank2[~known], doc[~known], start[~known]
+                rank2, check, doc, start = (x[~known] for x in (rank2, check, doc, start))
             n = len(doc)
             if not n:
                 continue
-            new = np.concatenate([[last is None or rank2[0] != last[0]], rank2[1:] != rank2[:-1]])
+            new = np.concatenate([[last is None or (rank2[0], check[0]) != last[:2]], (rank2[1:] != rank2[:-1]) | (check[1:] != check[:-1])])
             head = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            head_doc, head_start = np.where(head >= 0, doc[head], last[1] if last else 0), np.where(head >= 0, start[head], last[2] if last else 0)
+            head_doc, head_start = np.where(head >= 0, doc[head], last[2] if last else 0), np.where(head >= 0, start[head], last[3] if last else 0)
             repeat = ~new & ((doc != head_doc) | (start != head_start))
             yield _table(schema, doc[repeat], start[repeat], start[repeat])
-            last = (rank2[-1], head_doc[-1], head_start[-1])
+            last = (rank2[-1], check[-1], head_doc[-1], head_start[-1])
+
+    return ranked.repartition("rank2").sortWithinPartitions("rank2", "check", "doc", "start").mapInArrow(run, schema)
 
-    return ranked.repartition("rank2").sortWithinPartitions("rank2", "doc", "start").mapInArrow(run, schema)
+
+def prefix_doubling(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The strings of ``LENGTH`` bytes that start earlier too, as ranges, by distributed prefix
+    doubling: every position has the rank of its first 8 bytes; Spark sorts the pairs of the
+    ranks at a position and 8, 16 and 32 bytes on, and last those 36 on, and numbers them anew.
+    A position whose pair is unique drops out, and with it those that reach it.
+
+    No hashes, so exact; but each round sorts and writes all positions that still repeat.
+    """
+    schema = "doc bigint, at bigint, rank bigint"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, "text", BATCH_BYTES):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                for k in range(0, max(0, len(raw) - 7), PIECE):
+                    part = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw[k : k + PIECE + 7], 8))
+                    yield _table(schema, np.full(len(part), doc, np.int64), np.arange(k, k + len(part)), part.view(np.int64).ravel())
+
+    ranks, length = scratch.save(docs.distinct().mapInArrow(first, schema), "ranks"), 8
+    while length < LENGTH:
+        step = min(length, LENGTH - length)
+        ahead = ranks.select("doc", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
+        pairs = ranks.join(ahead, ["doc", "at"])
+        counted = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select("rank", "next")
+        fresh = scratch.save(numbered(counted, ["rank", "next"], name="fresh"), "pairs")
+        again = scratch.save(pairs.join(fresh, ["rank", "next"]).select("doc", "at", F.col("fresh").alias("rank")), "ranks")
+        scratch.drop(ranks, fresh)
+        scratch.free()
+        ranks, length = again, length + step
+    heads = scratch.save(ranks.groupBy("rank").agg(F.min(F.struct("doc", "at")).alias("head")), "heads")
+    later = ranks.join(heads, "rank").where(F.struct("doc", "at") > F.col("head"))
+    return later.select("doc", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
 def strip(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
@@ -317,23 +371,32 @@ def strip(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def dedup(docs: DataFrame, text: str = "text", with_kept: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", with_kept: bool = False, doubling: bool = False) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and the
-    remaining bytes as ``kept`` if asked.
+    remaining bytes as ``kept`` if asked. ``doubling`` takes the plain form.
 
-    Null texts count as empty. Texts under ``LENGTH`` bytes are never touched. Rows of one
+    Ids that are no integers are numbered in ascending order first. Null texts count as empty.
+    Texts under ``LENGTH`` bytes are never touched. Rows of one
     doc_id count as one document (repeats between them at the same place are none); rows
     without doc_id are neither searched nor touched. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        ids = scratch.save(numbered(docs.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), ["id"], name="no"), "ids")
+        found = dedup(docs.join(ids, docs["doc_id"] == ids["id"], "left").select(F.col("no").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", with_kept, doubling)
+        return found.join(ids, found["doc_id"] == ids["no"], "left").select(F.col("id").alias("doc_id"), *[c for c in found.columns if c != "doc_id"])
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     named = base.where("doc_id is not null")
 
-    settled = scratch.save(settle(rank(named)), "ranges")
-    scratch.free()
-    single = scratch.save(settle_strings(strings(named, settled.where("open"))), "strings")
+    if doubling:
+        found = scratch.save(prefix_doubling(named, scratch), "strings")
+    else:
+        settled = scratch.save(settle(rank(named)), "ranges")
+        scratch.free()
+        single = scratch.save(settle_strings(strings(named, settled.where("open"))), "strings")
+        found = settled.where("not open").select("doc", "lo", "hi").union(single)
     scratch.free()
-    ranges = settled.where("not open").select("doc", "lo", "hi").union(single).groupBy(F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = found.groupBy(F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = base.join(ranges, F.col("doc_id") == F.col("r_doc"), "left").select("doc_id", "text", "ranges")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
 

@@ -46,6 +46,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_suffix.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op8_suffix_dedup``, by plain prefix doubling over all positions."""
+    return op8_suffix.dedup(table(spark, sf_dir, "documents"), doubling=True)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_license.scan(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
         op6_bpe_codec,
         op7_chat_format,
         op8_suffix_dedup,
+        op8_prefix_doubling,
         op9_license_scan,
         op10_token_store,
     )
