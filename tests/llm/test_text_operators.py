@@ -782,6 +782,16 @@ def test_token_store_edges(spark, tmp_path):
     assert empty[2] == empty[3] == 1
     special = np.frombuffer({r["doc_id"]: r["ids"] for r in rows}[8], "<u4").tolist()
     assert special[:-1] == Tokenizer.from_file(JSON).encode(docs.where("doc_id = 8").first()["text"], add_special_tokens=False).ids
+    files = sorted((tmp_path / "d" / "shards").glob("part-*"))
+    assert [f for f in files if f.stat().st_size] and all(f.read_bytes()[:4] == op10_dac.MAGIC for f in files if f.stat().st_size)
+    every = [x for r in rows for x in np.frombuffer(r["ids"], "<u4").tolist()]
+    for i in (0, 1, len(every) // 2, len(every) - 1, *random.Random(0).sample(range(len(every)), 4)):
+        assert op10_dac.token(spark, f"file://{tmp_path}/d", i) == every[i]
+    with pytest.raises(IndexError):
+        op10_dac.token(spark, f"file://{tmp_path}/d", len(every))
+    named = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, None)], "doc_id string, text string")
+    assert sorted((r["start"], r["doc_id"]) for r in op10_dac.store_and_index(named, JSON).collect())[0] == (0, None)
+    assert [r["doc_id"] for r in op10_dac.store_and_index(named, JSON).orderBy("start").collect()] == [None, "a", "b"]
     op10_dac.write(docs.limit(0), f"file://{tmp_path}/e", JSON)
     assert op10_dac.read(spark, f"file://{tmp_path}/e").count() == 0
     with pytest.raises(ValueError):
