@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Runs of two or more letters, marks, digits or underscores.
-TOKEN = r"[\p{L}\p{M}\p{N}_]{2,}"
+#: Runs of two or more letters, digits or underscores. Combining marks end a word.
+TOKEN = r"[\p{L}\p{N}_]{2,}"
 HEADER_NAMES = ("To", "From", "Date", "Cc", "Sent")
 
 

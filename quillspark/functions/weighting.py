@@ -54,10 +54,15 @@ def parse_scheme(scheme: str) -> tuple[str, str, str, bool]:
     return tf, idf, norm, bool(pivot)
 
 
-def raw_weights(tf: DataFrame, df: DataFrame, n_docs: Column | int, scheme: str) -> DataFrame:
+def raw_weights(tf: DataFrame, df: DataFrame | None, n_docs: Column | int, scheme: str) -> DataFrame:
     """``doc_id``, ``term``, ``w`` before normalization. ``tf`` has doc_id, term, tf; ``df``
-    has term, df, and terms it lacks are dropped."""
+    has term, df, and terms it lacks are dropped. A scheme without document frequencies
+    goes without ``df`` and keeps all terms."""
     t, i, _, _ = parse_scheme(scheme)
+    if df is None:
+        if i != "n":
+            raise ValueError(f"{scheme} needs document frequencies")
+        return tf.select("doc_id", "term", TF[t](F.col("tf")).alias("w"))
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     joined = tf.join(df.select("term", "df"), "term")
     return joined.select("doc_id", "term", (TF[t](F.col("tf")) * IDF[i](F.col("df"), n)).alias("w"))

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_FEATURES = 200_000
+#: Leaf features that may reach the driver, and bytes of their vectors.
+MAX_FEATURES, MAX_BYTES = 200_000, 512_000_000
 
 
 @dataclass
@@ -121,26 +122,44 @@ def fit_tree(vectors: np.ndarray, ids: list[int] | None = None, threshold: float
 
 
 def agglomerate(centers: np.ndarray, sizes: np.ndarray, n_clusters: int) -> np.ndarray:
-    """Ward linkage of leaf centroids down to ``n_clusters``; labels in order of first leaf."""
+    """Ward linkage of leaf centroids down to ``n_clusters``; labels in order of first leaf.
+
+    Nearest-neighbour chains: each cluster points to its nearest one, and a pair that points at
+    each other merges. One row of distances at a time, so the memory grows with the leaves. The
+    merges of the whole tree are then done in the order of their cost.
+    """
     n = len(centers)
-    parts = {i: [i] for i in range(n)}
-    c, s = {i: centers[i] for i in range(n)}, {i: float(sizes[i]) for i in range(n)}
-    while len(parts) > max(1, n_clusters):
-        keys = list(parts)
-        m = np.stack([c[k] for k in keys])
-        w = np.array([s[k] for k in keys])
-        sq = np.einsum("ij,ij->i", m, m)
-        cost = np.maximum(sq[:, None] + sq[None, :] - 2 * m @ m.T, 0) * (w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
-        cost[np.tril_indices(len(keys))] = np.inf
-        i, j = (keys[x] for x in np.unravel_index(np.argmin(cost), cost.shape))
-        c[i] = (c[i] * s[i] + c[j] * s[j]) / (s[i] + s[j])
-        s[i] += s[j]
-        parts[i] += parts[j]
-        del parts[j], c[j], s[j]
-    labels = np.zeros(n, int)
-    for k, members in enumerate(sorted(parts.values(), key=min)):
-        labels[members] = k
-    return labels
+    c, s, on = np.array(centers, float), np.array(sizes, float), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(on))]
+        while True:
+            tip = chain[-1]
+            cost = np.square(c - c[tip]).sum(axis=1) * (s * s[tip] / (s + s[tip]))
+            cost[~on] = np.inf
+            cost[tip] = np.inf
+            k = int(np.argmin(cost))
+            if len(chain) > 1 and cost[chain[-2]] <= cost[k]:
+                k = chain[-2]
+                break
+            chain.append(k)
+        del chain[-2:]
+        a, b = min(tip, k), max(tip, k)
+        merges.append((float(cost[k]), a, b))
+        c[a], s[a], on[b] = (c[a] * s[a] + c[b] * s[b]) / (s[a] + s[b]), s[a] + s[b], False
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - max(1, n_clusters)]:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
 def leaf_features(vectors: DataFrame, threshold: float, branching: int = 50, vector: str = "vec") -> DataFrame:
@@ -162,8 +181,9 @@ def fit_distributed(vectors: DataFrame, threshold: float = 0.5, branching: int =
     """``cluster_id``, ``centroid``, ``size`` of the leaves, or of ``n_clusters`` Ward clusters
     of them."""
     features = leaf_features(vectors, threshold, branching, vector).persist()
-    if features.count() > MAX_FEATURES:
-        raise ValueError(f"over {MAX_FEATURES} leaf features: raise the threshold")
+    n, width = features.agg(F.count("*"), F.max(F.size("ls"))).first()
+    if n > MAX_FEATURES or n * 8 * (width or 0) > MAX_BYTES:
+        raise ValueError(f"{n} leaf features of {width} values: raise the threshold")
     tree = Tree(threshold, branching)
     rows = sorted(((tuple(r["ls"]), r["n"], r["ss"]) for r in features.collect()), key=lambda r: (-r[1], r[0]))
     features.unpersist()
@@ -227,7 +247,8 @@ def hierarchy(vectors: DataFrame, threshold: float = 0.5, branching: int = 50, v
     tree = Tree(threshold, branching)
     for r in centers.orderBy("cluster_id").collect():  # at most MAX_FEATURES
         x = np.array(r["centroid"])
-        tree.insert(Feature(1.0, x, float(x @ x), ids=[r["cluster_id"]]))
+        n = float(r["size"])  # a feature weighs as many documents as it condenses
+        tree.insert(Feature(n, n * x, n * float(x @ x), ids=[r["cluster_id"]]))
     rows = tree_rows(tree)
     deepest = {leaf: r["cluster_id"] for r in rows for leaf in r["doc_ids"]}  # rows go down the tree
     leaves = spark.createDataFrame(list(deepest.items()), "leaf int, node int")
@@ -241,6 +262,19 @@ def hierarchy(vectors: DataFrame, threshold: float = 0.5, branching: int = 50, v
     return spark.createDataFrame(nodes, "cluster_id int, parent_id int, depth int, children array<int>, cluster_size bigint"), members
 
 
+def node_members(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """``doc_id``, ``cluster_id`` of every node above a document, its deepest one included."""
+    parent = {r["cluster_id"]: r["parent_id"] for r in nodes.select("cluster_id", "parent_id").collect()}  # at most twice MAX_FEATURES
+    rows = []
+    for node in parent:
+        above = node
+        while above is not None:
+            rows.append((node, above))
+            above = parent[above]
+    paths = nodes.sparkSession.createDataFrame(rows, "deepest int, cluster_id int")
+    return members.withColumnRenamed("cluster_id", "deepest").join(paths, "deepest").select("doc_id", "cluster_id")
+
+
 def limit_depth(rows: DataFrame, depth: int) -> DataFrame:
     """Nodes up to a depth; those at it have no children."""
     return rows.where(F.col("depth") <= depth).withColumn("children", F.when(F.col("depth") < depth, F.col("children")).otherwise(F.array().cast("array<int>")))

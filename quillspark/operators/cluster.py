@@ -30,16 +30,18 @@ def reject_hashed(use_hashing: bool) -> None:
         raise NotImplementedError("hashed features have no terms to cluster by")
 
 
-def kmeans(vectors: DataFrame, n_clusters: int = 150, seed: int = 0, vector: str = "vec", bisecting: bool = False) -> DataFrame:
-    """``doc_id``, ``cluster_id``."""
+def kmeans(vectors: DataFrame, n_clusters: int = 150, seed: int = 0, vector: str = "vec", bisecting: bool = False, use_hashing: bool = False) -> DataFrame:
+    """``doc_id``, ``cluster_id``. ``use_hashing`` tells that the vectors stem from hashed features."""
+    reject_hashed(use_hashing)
     kind = BisectingKMeans if bisecting else KMeans
     data = vectors.select("doc_id", array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = kind(k=n_clusters, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(data)
     return model.transform(data).select("doc_id", "cluster_id")
 
 
-def birch_clusters(vectors: DataFrame, min_similarity: float = 0.5, branching: int = 50, n_clusters: int = 0, vector: str = "vec") -> tuple[DataFrame, DataFrame]:
+def birch_clusters(vectors: DataFrame, min_similarity: float = 0.5, branching: int = 50, n_clusters: int = 0, vector: str = "vec", use_hashing: bool = False) -> tuple[DataFrame, DataFrame]:
     """(``doc_id``, ``cluster_id``) and the centers; the radius follows from a cosine."""
+    reject_hashed(use_hashing)
     centers = birch.fit_distributed(vectors, sim.euclidean_from_cosine(min_similarity), branching, n_clusters, vector)
     return nearest_centroid(vectors, centers, vector, "cluster_id").select("doc_id", "cluster_id"), centers
 
@@ -98,14 +100,21 @@ def dbscan(vectors: DataFrame, min_similarity: float = 0.9, min_samples: int = 1
     core points are clusters; another point joins the least core point in reach.
     """
     scratch = Scratch(vectors.sparkSession, "dbscan")
-    pairs = scratch.save(within(vectors, sim.euclidean_from_cosine(min_similarity), vector), "pairs")
+    # equal vectors are one point that counts as often as it occurs, so copies make no pairs
+    rows = vectors.select("doc_id", F.col(vector).cast("array<double>").alias("vec")).withColumn("h", F.sha2(F.to_json("vec"), 256))
+    points = scratch.save(rows.groupBy("h").agg(F.min("doc_id").alias("point"), F.count("*").alias("n"), F.min_by("vec", "doc_id").alias("vec")), "points")
+    of_point = scratch.save(rows.select("doc_id", "h").join(points.select("h", "point"), "h").select("doc_id", "point"), "members", narrow=True)
+    pairs = scratch.save(within(points.select(F.col("point").alias("doc_id"), "vec"), sim.euclidean_from_cosine(min_similarity)), "pairs")
     both = pairs.union(pairs.select("b", "a"))
-    core = scratch.save(vectors.select("doc_id").join(both.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("n")), "doc_id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("doc_id"), "core")
-    is_core = lambda c: core.select(F.col("doc_id").alias(c))
-    labels = connected_components(pairs.join(is_core("a"), "a", "left_semi").join(is_core("b"), "b", "left_semi"), scratch)
-    core_label = core.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("label", "doc_id").alias("cluster_id"))
-    border = both.join(core_label.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min_by("cluster_id", "b").alias("joined"))
-    return vectors.select("doc_id").join(core_label, "doc_id", "left").join(border, "doc_id", "left").select("doc_id", F.coalesce("cluster_id", "joined", F.lit(-1)).alias("cluster_id"))
+    weight = points.select(F.col("point").alias("b"), "n")
+    around = both.join(weight, "b").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("others"))
+    core = scratch.save(points.select("point", "n").join(around, "point", "left").where(F.coalesce("others", F.lit(0)) + F.col("n") >= min_samples).select("point"), "core", narrow=True)
+    is_core = lambda c: core.select(F.col("point").alias(c))
+    links = connected_components(pairs.join(is_core("a"), "a", "left_semi").join(is_core("b"), "b", "left_semi"), scratch)
+    core_label = scratch.save(core.join(links, F.col("point") == F.col("node"), "left").select("point", F.coalesce("label", "point").alias("cluster_id")), "labels", narrow=True)
+    border = both.join(core_label.withColumnRenamed("point", "b"), "b").groupBy(F.col("a").alias("point")).agg(F.min_by("cluster_id", "b").alias("joined"))
+    found = points.select("point").join(core_label, "point", "left").join(border, "point", "left").select("point", F.coalesce("cluster_id", "joined", F.lit(-1)).alias("cluster_id"))
+    return of_point.join(scratch.save(found, "found", narrow=True), "point").select("doc_id", "cluster_id")
 
 
 def similarities(vectors: DataFrame, clusters: DataFrame, vector: str = "vec") -> DataFrame:
@@ -161,12 +170,26 @@ def ranked_terms(weights: DataFrame, n: int, group: str = "cluster_id") -> DataF
     return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def labels(centers: DataFrame, n: int = 10) -> DataFrame:
+def labels(centers: DataFrame, n: int = 10, use_hashing: bool = False) -> DataFrame:
     """``cluster_id``, ``cluster_label``: the leading words of each sparse centroid."""
+    reject_hashed(use_hashing)
     top = ranked_terms(centers, MAX_LABEL_TERMS).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("t"))
     return top.select("cluster_id", F.array_join(_top_words(F.col("t.term"), F.lit(n)), " ").alias("cluster_label"))
 
 
+def _cut(tree: Sequence[dict], min_similarity: float) -> list[dict]:
+    """The highest nodes of a tree that are more similar than asked, or leaves."""
+    by_id = {r["cluster_id"]: r for r in tree}
+    cut, todo = [], [tree[0]["cluster_id"]] if tree else []
+    while todo:
+        r = by_id[todo.pop()]
+        if r["cluster_similarity"] > min_similarity or not r["children"]:
+            cut.append(r)
+        else:
+            todo += reversed(r["children"])
+    return cut
+
+
 def optimal_sampling(tree: Sequence[dict], min_similarity: float, min_coverage: float) -> list[dict]:
     """One document for each of the largest groups that are similar enough.
 
@@ -176,16 +199,8 @@ def optimal_sampling(tree: Sequence[dict], min_similarity: float, min_coverage:
     """
     if not 0 <= min_coverage <= 1:
         raise ValueError("min_coverage lies in [0, 1]")
-    by_id = {r["cluster_id"]: r for r in tree}
-    cut, todo = [], [tree[0]["cluster_id"]] if tree else []
-    while todo:
-        r = by_id[todo.pop(0)]
-        if r["cluster_similarity"] > min_similarity or not r["children"]:
-            cut.append(r)
-        else:
-            todo = [*r["children"], *todo]
     out, covered = [], 0
-    for r in sorted(cut, key=lambda r: -r["cluster_size"]):
+    for r in sorted(_cut(tree, min_similarity), key=lambda r: -r["cluster_size"]):
         best = int(np.argmax(r["similarities"]))
         out.append({"cluster_id": r["cluster_id"], "doc_id": r["doc_ids"][best], "similarity": r["similarities"][best], "cluster_size": r["cluster_size"]})
         covered += r["cluster_size"]
@@ -203,6 +218,32 @@ def sample_clusters(members: DataFrame, min_coverage: float) -> DataFrame:
     return summed.where(F.col("upto") - F.col("cluster_size") <= F.col("total") * min_coverage).select("cluster_id", "doc_id", "cluster_size")
 
 
+def cluster_documents(members: DataFrame, index: DataFrame) -> DataFrame:
+    """The documents of each cluster: rows of ``similarities`` with their columns of the index. A
+    document that the index lacks, or holds twice, is an error."""
+    n, found, distinct = members.select("doc_id").join(index.select("doc_id", F.lit(1).alias("one")), "doc_id", "left").agg(F.count("*"), F.count("one"), F.count_distinct("doc_id")).first()
+    if not n == found == distinct:
+        raise ValueError(f"of {n} cluster members {found} are in the index, and {distinct} are distinct")
+    return members.join(index, "doc_id")
+
+
+def node_similarities(vectors: DataFrame, nodes: DataFrame, members: DataFrame, vector: str = "vec") -> tuple[DataFrame, DataFrame]:
+    """Of a hierarchy: ``nodes`` with ``cluster_similarity``, and the ``similarity`` of each document
+    to the centroid of every node above it."""
+    each = similarities(vectors, birch.node_members(nodes, members), vector)
+    per = each.groupBy("cluster_id").agg(F.first("cluster_similarity").alias("cluster_similarity"))
+    return nodes.join(per, "cluster_id"), each.select("doc_id", "cluster_id", "similarity")
+
+
+def sample_hierarchy(nodes: DataFrame, members: DataFrame, min_similarity: float, min_coverage: float) -> DataFrame:
+    """``optimal_sampling`` of a distributed hierarchy, for the results of ``node_similarities``:
+    ``cluster_id``, ``doc_id``, ``cluster_size``. Only the nodes reach the driver."""
+    rows = [r.asDict() for r in nodes.select("cluster_id", "children", "cluster_size", "cluster_similarity").orderBy("cluster_id").collect()]
+    cut = _cut(rows, min_similarity)
+    chosen = nodes.sparkSession.createDataFrame([(r["cluster_id"],) for r in cut], "cluster_id int")
+    return sample_clusters(members.join(chosen, "cluster_id", "left_semi"), min_coverage)
+
+
 def ward(vectors: np.ndarray, n_clusters: int) -> np.ndarray:
     """Ward clusters of data that fits one process."""
     return birch.agglomerate(np.asarray(vectors, float), np.ones(len(vectors)), n_clusters)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +27,29 @@ def simhash(terms: DataFrame, hashed: Column | None = None, bits: int = BITS) ->
     return rows.groupBy("doc_id").agg(*votes).select("doc_id", value.alias("simhash"))
 
 
+def _tables(distance: int) -> tuple[int, list[tuple[int, ...]]]:
+    """The number of blocks, and the sets of them that must agree, one look-up table each: of n blocks any n - distance, so
+    that whichever ``distance`` blocks the differing bits lie in, a table spares them."""
+    n = max(distance + 1, min(2 * distance, 6), 3 if distance == 1 else 1)
+    return n, list(combinations(range(n), n - distance))
+
+
 def hamming_pairs(hashes: DataFrame, distance: int = 1, bits: int = BITS, scratch: Scratch | None = None) -> DataFrame:
     """``a``, ``b``, ``distance`` of distinct hash values within the distance, a < b.
 
-    Values are cut into distance + 1 bands; by the pigeonhole principle a pair shares one.
-    Documents with equal values are one value here: expand by the hash.
+    Values are cut into blocks, and for each set of blocks that must agree they meet by those:
+    for 3 of 64 bits six blocks, twenty tables and keys of 32 bits, so that few values meet by
+    chance in any table. Documents with equal values are one value here: expand by the hash.
     """
     if not 0 <= distance < bits:
         raise ValueError(f"distance lies in [0, {bits})")
-    n = distance + 1
+    n, tables = _tables(distance)
     cuts = [bits * k // n for k in range(n + 1)]
-    mask = lambda w: -1 if w == 64 else (1 << w) - 1
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("v", cuts[k]).bitwiseAND(F.lit(mask(cuts[k + 1] - cuts[k]))).alias("x")) for k in range(n)])
-    banded = hashes.select(F.col("simhash").alias("v")).distinct().select("v", F.explode(bands).alias("band")).select("v", "band.k", "band.x")
-    left, right = banded.withColumnRenamed("v", "a"), banded.withColumnRenamed("v", "b")
+    of = lambda chosen: sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen)
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("v").bitwiseAND(F.lit(signed(of(chosen))).cast("long")).alias("x")) for k, chosen in enumerate(tables)])
+    dealt = hashes.select(F.col("simhash").alias("v")).distinct().select("v", F.explode(keys).alias("key")).select("v", "key.k", "key.x")
+    left, right = dealt.withColumnRenamed("v", "a"), dealt.withColumnRenamed("v", "b")
     d = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return left.join(right, ["k", "x"]).where("a < b").select("a", "b", d.cast("int").alias("distance")).where(F.col("distance") <= distance).distinct()
 
@@ -63,17 +73,35 @@ def exact_groups(hashes: DataFrame, column: str = "simhash") -> DataFrame:
     return hashes.join(least, column).select("doc_id", "cluster_id")
 
 
+#: Hex digits of a term's md5 that decide on a lexicon, and lexicons by one md5.
+DIGITS, PER_HASH = 3, 10
+
+
+def in_lexicon(term_hash: Column, j: int, ratio: float) -> Column:
+    """Whether a term is in the random lexicon j (from 1), by three digits of its hash."""
+    at = 1 + DIGITS * ((j - 1) % PER_HASH)
+    return F.substring(term_hash, at, DIGITS) < F.lit(f"{round(16**DIGITS * ratio):0{DIGITS}x}")
+
+
 def imatch(terms: DataFrame, n_rand_lexicons: int = 1, rand_lexicon_ratio: float = 0.7) -> DataFrame:
     """``doc_id`` and ``h0``, ``h1``...: fingerprints of the ordered distinct terms under the
-    whole lexicon and under random ones, which keep a term by its hash with the lexicon's
-    number, so they are reproducible."""
+    whole lexicon and under random ones, which keep a term by digits of its md5, so they are
+    reproducible by any engine."""
     if n_rand_lexicons < 1 or not 0 < rand_lexicon_ratio < 1:
         raise ValueError("at least one lexicon, and a ratio within (0, 1)")
     words = terms.select("doc_id", "term").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("w"))
     hashes = [F.xxhash64(F.col("w")).alias("h0")]
-    for j in range(1, n_rand_lexicons):
-        kept = F.filter("w", lambda t, j=j: F.pmod(F.xxhash64(t, F.lit(j)), F.lit(1_000_000)) < int(1_000_000 * rand_lexicon_ratio))
-        hashes.append(F.xxhash64(kept, F.lit(j)).alias(f"h{j}"))
+    rounds = -(-(n_rand_lexicons - 1) // PER_HASH)
+    if rounds:
+        salted = lambda t, r: F.md5(F.concat(F.lit(f"{r}:"), t) if r else t)
+        words = words.select("doc_id", F.transform("w", lambda t: F.struct(t.alias("t"), *[salted(t, r).alias(f"m{r}") for r in range(rounds)])).alias("w"))
+        hashes = [F.xxhash64(F.col("w.t")).alias("h0")]
+
+    def within(j: int) -> Column:
+        kept = F.filter("w", lambda x: in_lexicon(x[f"m{(j - 1) // PER_HASH}"], j, rand_lexicon_ratio))
+        return F.xxhash64(F.transform(kept, lambda x: x["t"]), F.lit(j)).alias(f"h{j}")
+
+    hashes += [within(j) for j in range(1, n_rand_lexicons)]
     return words.select("doc_id", *hashes)
 
 
@@ -82,11 +110,11 @@ def merged_clusters(columns: DataFrame, names: Sequence[str], id_col: str = "doc
     directly or through others."""
     scratch = Scratch(columns.sparkSession, "merge")
     rows = scratch.save(columns.select(F.col(id_col).alias("doc_id"), *names), "columns")
-    links = None
-    for n in names:
-        least = rows.groupBy(n).agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1")
-        part = rows.join(least, n).select("a", F.col("doc_id").alias("b")).where("a <> b")
-        links = part if links is None else links.union(part)
+    # one long table of (column, value), and the least document of each value that is shared; it is
+    # written, so that a very common value can be split where it is joined
+    values = rows.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(n).cast("string").alias("x")) for k, n in enumerate(names)])).alias("e")).select("doc_id", "e.k", "e.x").where("x is not null")
+    least = scratch.save(values.groupBy("k", "x").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "least", narrow=True)
+    links = values.join(least, ["k", "x"]).select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
     labels = connected_components(links, scratch)
     return rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("label", "doc_id").alias("cluster_id"))
 
@@ -113,3 +141,12 @@ def single_pass_merge(rows: Iterable[Sequence[int]]) -> list[int]:
 def duplicate_groups(clusters: DataFrame) -> DataFrame:
     """Clusters of more than one document, with ``n_docs``."""
     return with_group_size(clusters, "cluster_id", "n_docs").where("n_docs > 1")
+
+
+def duplicate_documents(clusters: DataFrame, vectors: DataFrame, vector: str = "vec") -> DataFrame:
+    """The answer to a search for duplicates: a row per document of a group of more than one, with
+    ``cluster_id``, ``cluster_size``, its ``similarity`` to the group's centroid and the mean of
+    these, ``cluster_similarity``. Documents without a vector are left out."""
+    from quillspark.operators.cluster import similarities
+
+    return similarities(vectors, duplicate_groups(clusters).select("doc_id", "cluster_id"), vector).where("cluster_size > 1")

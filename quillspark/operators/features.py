@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.functions import weighting as wt
 from quillspark.functions.stopwords import ENGLISH
 from quillspark.operators.running import numbered
+from quillspark.plans.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,25 @@ def document_terms(docs: DataFrame, params: FeatureParams, text: str = "text") -
     terms = tx.analyze(tx.preprocess(F.col(text), params.preprocess), params.analyzer, params.ngram_range, params.stop)
     rows = docs.select("doc_id", F.explode(terms).alias("term"))
     if params.use_hashing:
-        rows = rows.select("doc_id", F.pmod(F.hash("term"), F.lit(params.n_features or 100001)).cast("string").alias("term"))
+        rows = rows.select("doc_id", bucket(F.col("term"), params.n_features or 100001).cast("string").alias("term"))
     return rows
 
 
+def bucket(term: Column, n: int) -> Column:
+    """Bucket of a term from 0 to n - 1: 60 bits of its md5 modulo n, which any engine can state."""
+    return F.pmod(F.conv(F.substring(F.md5(term), 1, 15), 16, 10).cast("long"), F.lit(n))
+
+
+def by_document(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id`` and the text, dealt by document. The text is several times smaller than the rows
+    of its terms, so it is the text that travels; what is then grouped by document, by document
+    and term, or windowed by document needs no further exchange."""
+    return docs.select("doc_id", text).repartition("doc_id")
+
+
 def term_frequencies(docs: DataFrame, params: FeatureParams | None = None, text: str = "text") -> DataFrame:
-    """``doc_id``, ``term``, ``tf``."""
-    return document_terms(docs, params or FeatureParams(), text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """``doc_id``, ``term``, ``tf``, dealt by document."""
+    return document_terms(by_document(docs, text), params or FeatureParams(), text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -104,18 +117,42 @@ class FeatureModel:
 
 
 def fit(docs: DataFrame, params: FeatureParams | None = None, text: str = "text", tf: DataFrame | None = None) -> FeatureModel:
-    """Freezes vocabulary and document frequencies over ``docs``."""
+    """Freezes vocabulary and document frequencies over ``docs``. The vocabulary is written, so
+    its size is known where it is joined and a small one needs no exchange of the terms."""
     params = params or FeatureParams()
     tf = tf if tf is not None else term_frequencies(docs, params, text)
     n_docs = docs.count()
     df = document_frequencies(tf)
     vocab = df if params.use_hashing else vocabulary(df, n_docs, params.min_df, params.max_df, params.n_features)
+    vocab = Scratch(docs.sparkSession, "vocabulary").save(vocab, "terms", narrow=True)
     model = FeatureModel(params, vocab, n_docs)
     if wt.parse_scheme(params.weighting)[3]:
         model = replace(model, pivot=wt.pivot_of(wt.raw_weights(tf, vocab, n_docs, params.weighting), n_docs, params.weighting))
     return model
 
 
+def fit_transform(docs: DataFrame, params: FeatureParams | None = None, text: str = "text") -> tuple[FeatureModel, DataFrame]:
+    """The model and the weights of the documents it is fitted on. Without document frequencies
+    in the weighting and bounds on the vocabulary, the weights need no look-up."""
+    params = params or FeatureParams()
+    tf = term_frequencies(docs, params, text)
+    model = fit(docs, params, text, tf)
+    every = params.min_df in (0, 1) and params.max_df == 1.0 and params.n_features is None
+    if wt.parse_scheme(params.weighting)[1] != "n" or not (every or params.use_hashing):
+        return model, model.weigh(tf)
+    raw = wt.raw_weights(tf, None, model.n_docs, params.weighting)
+    return model, wt.normalized(raw, params.weighting, params.norm_alpha, model.pivot)
+
+
+def weights(docs: DataFrame, params: FeatureParams | None = None, text: str = "text") -> DataFrame:
+    """Weights of documents as ``fit_transform`` gives them; nothing is fitted where none is needed."""
+    params = params or FeatureParams()
+    scheme = wt.parse_scheme(params.weighting)
+    if scheme[1] == "n" and not scheme[3] and params.min_df in (0, 1) and params.max_df == 1.0 and (params.n_features is None or params.use_hashing):
+        return wt.normalized(wt.raw_weights(term_frequencies(docs, params, text), None, 0, params.weighting), params.weighting)
+    return fit_transform(docs, params, text)[1]
+
+
 def top_terms(weights: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """Most weighted terms of a set of documents: ``term``, ``weight`` (mean over the set)."""
     size = chosen.select("doc_id").distinct().count()

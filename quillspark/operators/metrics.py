@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,22 +116,43 @@ def v_measure(rows: DataFrame, a: str = "y_true", b: str = "y_pred") -> DataFram
     return m.select(h.alias("homogeneity"), c.alias("completeness"), F.when(h + c > 0, 2 * h * c / (h + c)).otherwise(0.0).alias("v_measure"))
 
 
-def adjusted_mutual_information(rows: DataFrame, a: str = "y_true", b: str = "y_pred") -> float:
-    """With the greater entropy as the normalizer. The expected value needs only how often
-    each cluster size occurs, which is what reaches the driver."""
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    """ln x!, by Stirling's series from 32 on."""
+    z = np.maximum(x, 1).astype(float) + 1
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    small = np.array([math.lgamma(k + 1) for k in range(32)])
+    return np.where(x < 32, small[np.clip(x, 0, 31).astype(int)], series)
+
+
+def _expected_part(n: int, x: int, y: int) -> float:
+    """Expected part of two clusters of x and y of n rows in the mutual information."""
+    low, most = max(1, x + y - n), min(x, y)
+    whole = _log_factorial(np.array([x, y, n - x, n - y])).sum() - _log_factorial(np.array([n]))[0]
+    out = 0.0
+    for start in range(low, most + 1, 1 << 20):
+        k = np.arange(start, min(most + 1, start + (1 << 20)))
+        log_p = whole - _log_factorial(k) - _log_factorial(x - k) - _log_factorial(y - k) - _log_factorial(n - x - y + k)
+        out += float(np.sum(k / n * np.log(n * k / (x * y)) * np.exp(log_p)))
+    return out
+
+
+def adjusted_mutual_information(rows: DataFrame, a: str = "y_true", b: str = "y_pred") -> DataFrame:
+    """One row ``ami``, with the greater entropy as the normalizer; 1 if both are trivial. The
+    expected value depends on the sizes of clusters only: their distinct pairs, few against the
+    rows as the sizes add up to their number, are dealt to the tasks."""
     c = contingency(rows, a, b)
-    sizes = [[(r[0], r[1]) for r in c.groupBy(x).agg(F.sum("n").alias("m")).groupBy("m").agg(F.count("*")).collect()] for x in ("a", "b")]
-    n = sum(m * k for m, k in sizes[0])
-    mi, ha, hb = mutual_information(rows, a, b).first()
-    lg = math.lgamma
-    expected = 0.0
-    for x, times_x in sizes[0]:
-        for y, times_y in sizes[1]:
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                log_p = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
-                expected += times_x * times_y * k / n * math.log(n * k / (x * y)) * math.exp(log_p)
-    top = max(ha, hb)
-    return 1.0 if abs(top - expected) < 1e-15 else (mi - expected) / (top - expected)
+    sizes = lambda x, m, t: c.groupBy(x).agg(F.sum("n").alias(m)).groupBy(m).agg(F.count("*").alias(t))
+    total = c.agg(F.sum("n").alias("total"))  # one row
+    pairs = sizes("a", "x", "tx").crossJoin(sizes("b", "y", "ty")).join(total)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"e": [tx * ty * _expected_part(n, x, y) for x, tx, y, ty, n in pdf[["x", "tx", "y", "ty", "total"]].itertuples(index=False)]})
+
+    expected = pairs.mapInPandas(run, "e double").agg(F.sum("e").alias("e"))
+    m = mutual_information(rows, a, b).join(expected)
+    top = F.greatest("ha", "hb") - F.col("e")
+    return m.select(F.when(F.abs(top) < 1e-15, 1.0).otherwise((F.col("mi") - F.col("e")) / top).alias("ami"))
 
 
 def ratio_duplicates(rows: DataFrame, a: str = "x", b: str = "y") -> DataFrame:

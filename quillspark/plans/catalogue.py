@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity as sim
@@ -131,7 +131,7 @@ def char_word_ngrams(spark, d):
     return features.document_terms(_docs(spark, d), params).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {TOKENS} SELECT doc_id, (('0x' || substr(md5(term), 1, 15))::BIGINT % 4096)::VARCHAR AS term, count(*) AS tf FROM tokens GROUP BY ALL")
 def hashed_frequencies(spark, d):
     return features.term_frequencies(_docs(spark, d), features.FeatureParams(use_hashing=True, n_features=4096))
 
@@ -180,10 +180,11 @@ def smart(scheme: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs = _docs(spark, d)
         params = features.FeatureParams(weighting=scheme)
+        if scheme[1] != "p":
+            return features.weights(docs, params).select("doc_id", "term", *_rounded("weight"))
         tf = features.term_frequencies(docs, params)
         model = features.fit(docs, params, tf=tf)
-        if scheme[1] == "p":  # a term of all documents weighs minus infinity
-            model.vocab = model.vocab.where(F.col("df") < model.n_docs)
+        model.vocab = model.vocab.where(F.col("df") < model.n_docs)  # a term of all documents weighs minus infinity
         return model.weigh(tf).select("doc_id", "term", *_rounded("weight"))
 
     return run
@@ -195,7 +196,7 @@ for _s in SCHEMES:
 
 # Search
 
-_NNC = f"{DF}, x AS (SELECT doc_id, term, tf::DOUBLE / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM tf)"
+_NNC = f"{DF}, x AS MATERIALIZED (SELECT doc_id, term, tf::DOUBLE / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM tf)"
 _QUERY_0 = f"q AS (SELECT term, count(*)::DOUBLE AS q FROM (SELECT unnest(regexp_extract_all(lower(text), '{tx.TOKEN}')) AS term FROM benchmark WHERE item_id = 0) GROUP BY term)"
 _SCORED = (
     f"WITH {_NNC}, {_QUERY_0}, k AS (SELECT q.term, q FROM q JOIN df USING (term)), s AS (SELECT doc_id, sum(w * q) / (SELECT sqrt(sum(q * q)) FROM k) AS c FROM x JOIN k USING (term) GROUP BY doc_id),"
@@ -205,10 +206,9 @@ _SCORED = (
 
 def _text_scores(spark: SparkSession, d: str, scale: str = "cosine") -> DataFrame:
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    model = features.fit(docs, WORDS, tf=tf)
+    model, x = features.fit_transform(docs, WORDS)
     asked = model.transform(table(spark, d, "benchmark").where("item_id = 0").select(F.col("item_id").alias("doc_id"), "text"))
-    return search.sparse_scores(asked.select("term", "weight"), model.weigh(tf), docs, scale)
+    return search.sparse_scores(asked.select("term", "weight"), x, docs, scale)
 
 
 @query(f"{_SCORED} SELECT doc_id, round(score, 6) AS score FROM scored")
@@ -231,8 +231,7 @@ def search_scales(spark, d):
 )
 def search_document(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     scores = search.sparse_scores(search.document_query(x, 7), x, docs)
     return search.shape(scores, min_score=0.05, exclude=7).select("doc_id", *_rounded("score"))
 
@@ -266,11 +265,10 @@ _SCORED_ALL = (
 
 def _text_scores_all(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    model = features.fit(docs, WORDS, tf=tf)
+    model, x = features.fit_transform(docs, WORDS)
     items = table(spark, d, "benchmark").where("item_id % 100 = 0")
     asked = model.transform(items.select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "query_id")
-    return search.sparse_scores_each(asked, model.weigh(tf), docs, items.select(F.col("item_id").alias("query_id")))
+    return search.sparse_scores_each(asked, x, docs, items.select(F.col("item_id").alias("query_id")))
 
 
 @query(f"{_SCORED_ALL} SELECT query_id, doc_id, round(score, 6) AS score FROM scored")
@@ -292,8 +290,7 @@ def search_scales_all(spark, d):
 )
 def search_document_all(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     hits = search.sparse_hits(x.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), x)
     return hits.where("doc_id <> query_id and cosine > 0.05").select("query_id", "doc_id", F.round("cosine", 6).alias("score"))
 
@@ -319,8 +316,7 @@ def search_dense_all(spark, d):
 @query(f"WITH {_NNC} SELECT term, round(sum(w) / (SELECT count(*) FROM documents WHERE lang = 'es'), 6) AS weight FROM x JOIN documents USING (doc_id) WHERE lang = 'es' GROUP BY term ORDER BY sum(w) DESC, term LIMIT 50")
 def top_terms(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     return features.top_terms(x, docs.where("lang = 'es'"), 50).select("term", *_rounded("weight"))
 
 
@@ -461,6 +457,17 @@ def metric_v_measure(spark, d):
     return metrics.v_measure(_docs(spark, d), "lang", "source").select(*_rounded("homogeneity", "completeness", "v_measure"))
 
 
+@query(
+    f"WITH {_GROUPED}, t AS (SELECT sum(n) AS t FROM c), a AS (SELECT sum(n)::BIGINT AS x FROM c GROUP BY a), b AS (SELECT sum(n)::BIGINT AS y FROM c GROUP BY b),"
+    " p AS (SELECT x, y, t::BIGINT AS n, unnest(range(greatest(1, x + y - t::BIGINT), least(x, y) + 1)) AS k FROM a, b, t),"
+    " ex AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS e FROM (SELECT x::DOUBLE AS x, y::DOUBLE AS y, n::DOUBLE AS n, k::DOUBLE AS k FROM p)),"
+    " ha AS (SELECT -sum(x / t * ln(x / t)) AS h FROM a, t), hb AS (SELECT -sum(y / t * ln(y / t)) AS h FROM b, t), hab AS (SELECT -sum(n / t * ln(n / t)) AS h FROM c, t)"
+    " SELECT round((ha.h + hb.h - hab.h - e) / (greatest(ha.h, hb.h) - e), 6) AS ami FROM ha, hb, hab, ex"
+)
+def metric_adjusted_mutual_information(spark, d):
+    return metrics.adjusted_mutual_information(_docs(spark, d), "lang", "source").select(*_rounded("ami"))
+
+
 @query(
     f"WITH {_GROUPED}, t AS (SELECT sum(n) AS t FROM c), ha AS (SELECT -sum(m / t * ln(m / t)) AS h FROM (SELECT sum(n) AS m FROM c GROUP BY a), t),"
     " hb AS (SELECT -sum(m / t * ln(m / t)) AS h FROM (SELECT sum(n) AS m FROM c GROUP BY b), t), hab AS (SELECT -sum(n / t * ln(n / t)) AS h FROM c, t)"
@@ -572,8 +579,7 @@ def center_distances(spark, d):
 )
 def cluster_similarity_sparse(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     s = cluster.sparse_similarities(x, docs.select("doc_id", F.col("lang").alias("cluster_id")))
     return s.select("doc_id", "cluster_id", *_rounded("similarity", "cluster_similarity"), "cluster_size")
 
@@ -605,17 +611,28 @@ def cluster_sampling(spark, d):
 )
 def cluster_terms(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     centers = cluster.sparse_centroids(x, docs.select("doc_id", F.col("lang").alias("cluster_id"))).withColumn("weight", F.round("weight", 9))
     return cluster.ranked_terms(centers, 20).select("cluster_id", "term", *_rounded("weight"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    f"WITH {_SIMILAR}, {_INDEX}, z AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS cluster_size FROM s)"
+    " SELECT cluster_id, internal_id, file_path, document_id, round(similarity, 6) AS similarity, cluster_size FROM z JOIN idx ON idx.document_id = 3 * z.doc_id + 1"
+)
+def cluster_documents(spark, d):
+    """Clusters with their documents, as the index knows them."""
+    v = _vectors(spark, d)
+    members = cluster.similarities(v, v.select("doc_id", F.col("category").alias("cluster_id")))
+    known = _index(spark, d).withColumn("doc_id", F.expr("(document_id - 1) div 3"))
+    members = members.join(known.select("doc_id"), "doc_id", "left_semi")  # the tables hold vectors of other ids too
+    return cluster.cluster_documents(members, known).select("cluster_id", "internal_id", "file_path", "document_id", *_rounded("similarity"), "cluster_size")
+
+
 @query()
 def cluster_labels(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     return cluster.labels(cluster.sparse_centroids(x, docs.select("doc_id", F.col("lang").alias("cluster_id"))), 10)
 
 
@@ -675,8 +692,7 @@ def lsi_appended(spark, d):
 @query()
 def lsi_vectors(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, VECTOR_TERMS)
-    x = features.fit(docs, VECTOR_TERMS, tf=tf).weigh(tf).persist()
+    x = features.weights(docs, VECTOR_TERMS).persist()
     return lsi.fit(x, docs.count(), 20).transform(x)
 
 
@@ -692,8 +708,7 @@ def categorize_logistic(spark, d):
 )
 def sensitivity(spark, d):
     docs = _docs(spark, d)
-    tf = features.term_frequencies(docs, WORDS)
-    x = features.fit(docs, WORDS, tf=tf).weigh(tf)
+    x = features.weights(docs, WORDS)
     signed = F.when(F.col("toxic") == 1, F.col("weight")).otherwise(-F.col("weight"))
     c = x.join(table(spark, d, "labels"), "doc_id").groupBy("term").agg(F.sum(signed).alias("coefficient"))
     return categorize.sensitivity(x, c).select("doc_id", "term", *_rounded("contribution"))
@@ -707,16 +722,16 @@ def highlighted(spark, d):
 # Near-duplicates
 
 
-def _short_hash() -> Column:
-    return F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
+def _term_hash() -> Column:
+    return F.conv(F.substring(F.md5("term"), 1, 16), 16, -10).cast("bigint")
 
 
-_VOTES = " + ".join(f"(CASE WHEN sum(2 * ((h >> {b}) & 1) - 1) > 0 THEN {1 << b} ELSE 0 END)" for b in range(32))
-_SIMHASH = f"{TOKENS}, h AS (SELECT DISTINCT doc_id, term, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM tokens), sh AS (SELECT doc_id, ({_VOTES})::BIGINT AS simhash FROM h GROUP BY doc_id)"
+_VOTES = " + ".join(f"(CASE WHEN sum(2 * ((h >> {b}) & 1)::BIGINT - 1) > 0 THEN {-(1 << b) if b == 63 else 1 << b}::HUGEINT ELSE 0 END)" for b in range(64))
+_SIMHASH = f"{TOKENS}, h AS (SELECT DISTINCT doc_id, term, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h FROM tokens), sh AS (SELECT doc_id, ({_VOTES})::BIGINT AS simhash FROM h GROUP BY doc_id)"
 
 
 def _simhash(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.simhash(features.document_terms(_docs(spark, d), WORDS), _short_hash(), 32)
+    return duplicates.simhash(features.document_terms(features.by_document(_docs(spark, d)), WORDS), _term_hash())
 
 
 @query(f"WITH {_SIMHASH} SELECT doc_id, simhash FROM sh")
@@ -728,7 +743,7 @@ def simhash(spark, d):
     f"WITH {_SIMHASH}, u AS (SELECT DISTINCT simhash AS v FROM sh) SELECT x.v AS a, y.v AS b, bit_count(xor(x.v, y.v))::INT AS distance FROM u x, u y WHERE x.v < y.v AND bit_count(xor(x.v, y.v)) <= 3"
 )
 def simhash_pairs(spark, d):
-    return duplicates.hamming_pairs(_simhash(spark, d), 3, 32)
+    return duplicates.hamming_pairs(_simhash(spark, d), 3)
 
 
 @query(
@@ -737,53 +752,28 @@ def simhash_pairs(spark, d):
     " SELECT sh.doc_id, cluster_id FROM sh JOIN u ON sh.simhash = u.v JOIN lab ON lab.id = u.rep"
 )
 def simhash_clusters(spark, d):
-    return duplicates.simhash_clusters(_simhash(spark, d), 1, 32)
-
-
-# The same with the operator's 64 bits, as signed integers
-
-
-def _long_hash() -> Column:
-    return F.conv(F.substring(F.md5("term"), 1, 16), 16, -10).cast("bigint")
-
-
-_VOTES_64 = " + ".join(f"(CASE WHEN sum(2 * ((h >> {b}) & 1)::BIGINT - 1) > 0 THEN {-(1 << b) if b == 63 else 1 << b}::HUGEINT ELSE 0 END)" for b in range(64))
-_SIMHASH_64 = f"{TOKENS}, h AS (SELECT DISTINCT doc_id, term, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h FROM tokens), sh AS (SELECT doc_id, ({_VOTES_64})::BIGINT AS simhash FROM h GROUP BY doc_id)"
-
-
-def _simhash_64(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.simhash(features.document_terms(_docs(spark, d), WORDS), _long_hash())
+    return duplicates.simhash_clusters(_simhash(spark, d))
 
 
-@query(f"WITH {_SIMHASH_64} SELECT doc_id, simhash FROM sh")
-def simhash64(spark, d):
-    return _simhash_64(spark, d)
+@query(f"WITH {TOKENS}, s AS (SELECT doc_id, list(DISTINCT term ORDER BY term) AS w FROM tokens GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS cluster_id FROM s")
+def imatch(spark, d):
+    return duplicates.exact_groups(duplicates.imatch(features.document_terms(features.by_document(_docs(spark, d)), WORDS)), "h0")
 
 
-@query(
-    f"WITH {_SIMHASH_64}, u AS (SELECT DISTINCT simhash AS v FROM sh) SELECT x.v AS a, y.v AS b, bit_count(xor(x.v, y.v))::INT AS distance FROM u x, u y WHERE x.v < y.v AND bit_count(xor(x.v, y.v)) <= 3"
+_LEXICONS = " UNION ALL ".join(
+    f"SELECT doc_id, {j} AS j, " + ("w" if j == 0 else f"list_filter(w, lambda t: substr(md5(t), {3 * j - 2}, 3) < 'e66')") + " AS w FROM s" for j in range(10)
 )
-def simhash64_pairs(spark, d):
-    return duplicates.hamming_pairs(_simhash_64(spark, d), 3)
 
 
 @query(
-    f"WITH RECURSIVE {_SIMHASH_64}, u AS (SELECT simhash AS v, min(doc_id) AS rep FROM sh GROUP BY simhash), e AS (SELECT x.rep AS a, y.rep AS b FROM u x, u y WHERE x.v <> y.v AND bit_count(xor(x.v, y.v)) <= 1),"
-    " reach(id, to_id) AS (SELECT rep, rep FROM u UNION SELECT r.id, e.b FROM reach r JOIN e ON r.to_id = e.a), lab AS (SELECT id, min(to_id) AS cluster_id FROM reach GROUP BY id)"
-    " SELECT sh.doc_id, cluster_id FROM sh JOIN u ON sh.simhash = u.v JOIN lab ON lab.id = u.rep"
+    f"WITH RECURSIVE {TOKENS}, s AS MATERIALIZED (SELECT doc_id, list(DISTINCT term ORDER BY term) AS w FROM tokens GROUP BY doc_id), k AS MATERIALIZED ({_LEXICONS}),"
+    " e AS MATERIALIZED (SELECT DISTINCT doc_id AS a, least_id AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY j, w) AS least_id FROM k) WHERE doc_id <> least_id),"
+    " f AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),"
+    " reach(id, to_id) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, f.b FROM reach r JOIN f ON r.to_id = f.a)"
+    " SELECT id AS doc_id, min(to_id) AS cluster_id FROM reach GROUP BY id"
 )
-def simhash64_clusters(spark, d):
-    return duplicates.simhash_clusters(_simhash_64(spark, d))
-
-
-@query(f"WITH {TOKENS}, s AS (SELECT doc_id, list(DISTINCT term ORDER BY term) AS w FROM tokens GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS cluster_id FROM s")
-def imatch(spark, d):
-    return duplicates.exact_groups(duplicates.imatch(features.document_terms(_docs(spark, d), WORDS)), "h0")
-
-
-@query()
 def imatch_lexicons(spark, d):
-    hashes = duplicates.imatch(features.document_terms(_docs(spark, d), WORDS), 10, 0.9)
+    hashes = duplicates.imatch(features.document_terms(features.by_document(_docs(spark, d)), WORDS), 10, 0.9)
     return duplicates.merged_clusters(hashes, [f"h{j}" for j in range(10)])
 
 
@@ -795,6 +785,19 @@ def exact_duplicates(spark, d):
     return duplicates.duplicate_groups(groups)
 
 
+@query(
+    f"WITH {VECTORS}, g AS (SELECT doc_id, min(doc_id) OVER w AS category, count(*) OVER w AS n, vec FROM (SELECT v.doc_id, d.text, v.vec FROM v JOIN documents d USING (doc_id)) WINDOW w AS (PARTITION BY lang_key))".replace("lang_key", "length(text) // 400")
+    + ", e AS (SELECT category, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM g WHERE n > 1), m AS (SELECT category, i, avg(x) AS m FROM e GROUP BY category, i), c AS (SELECT category, list(m ORDER BY i) AS centroid FROM m GROUP BY category)"
+    " SELECT doc_id, category AS cluster_id, n AS cluster_size, round(list_cosine_similarity(vec, centroid), 6) AS similarity, round(avg(list_cosine_similarity(vec, centroid)) OVER (PARTITION BY category), 6) AS cluster_similarity FROM g JOIN c USING (category)"
+)
+def duplicate_documents(spark, d):
+    """The answer to a search for duplicates; here texts of about one length stand for them."""
+    v = _vectors(spark, d)
+    docs = _docs(spark, d).join(v.select("doc_id"), "doc_id", "left_semi")
+    groups = duplicates.exact_groups(docs.select("doc_id", F.floor(F.length("text") / 400).alias("simhash")))
+    return duplicates.duplicate_documents(groups, v).select("doc_id", "cluster_id", "cluster_size", *_rounded("similarity", "cluster_similarity"))
+
+
 @query(
     "WITH RECURSIVE r AS (SELECT c_custkey AS id, c_nationkey * 1000 + (c_custkey % 37) AS x, c_custkey // 5 AS y FROM customer),"
     " e AS (SELECT a, b FROM (SELECT id AS a, min(id) OVER (PARTITION BY x) AS b FROM r UNION SELECT id, min(id) OVER (PARTITION BY y) FROM r)), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"
@@ -825,9 +828,3 @@ def email_threads(spark, d):
         F.substring("text", 1, 20).alias("subject"),
     )
     return threads.threads(threads.parents(messages))
-
-
-@query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS chars_so_far FROM conversations")
-def cumulative_coverage(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("chars_so_far"))

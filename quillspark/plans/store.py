@@ -92,6 +92,14 @@ class Store:
     def read(self, step: Step, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{step.path}/_{table}")
 
+    def rename(self, step: Step, table: str, to: str) -> None:
+        """A table under another name, in place of the one that had it."""
+        fs, new = self._fs(f"{step.path}/_{to}")
+        _, old = self._fs(f"{step.path}/_{table}")
+        fs.delete(new, True)
+        if not fs.rename(old, new):
+            raise OSError(f"{table} cannot be renamed")
+
     def finished(self, step: Step, table: str) -> bool:
         """Whether a table has been written to its end."""
         fs, p = self._fs(f"{step.path}/_{table}/_SUCCESS")
