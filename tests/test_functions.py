@@ -1,3 +1,6 @@
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +57,7 @@ def test_scales(spark):
         sim.from_cosine(F.lit(1.0), "other")
 
 
+# The textbook example of the projection tests, with a short and an empty text.
 DOCS = [(0, "Shipment of gold damaged in aa fire."), (1, "Delivery of silver arrived in aa silver truck."), (2, "Shipment of gold arrived in aa truck."), (3, "short sentence"), (4, "")]
 
 
@@ -90,6 +94,42 @@ def test_weights_of_small_corpus(spark, tf, scheme):
         assert all(x >= 0 for d in w.values() for x in d.values())
 
 
+def test_every_scheme_against_plain_version(spark, tf):
+    """All 210 in one query: the letters' expressions, norms and pivots, against plain Python."""
+    df = features.document_frequencies(tf)
+    n = 5
+    at = lambda *letters: "_".join({"L": "mean"}.get(x, x) for x in letters)  # noqa: E731  column names know no case
+    raw = tf.join(df, "term").select("doc_id", "term", "tf", "df", *[(wt.TF[t](F.col("tf")) * wt.IDF[i](F.col("df"), F.lit(n))).alias(at(t, i)) for t in wt.TF for i in wt.IDF])
+    norms = raw.select("*", *[wt.NORM[k](F.col(at(t, i))).alias(at(t, i, k)) for t in wt.TF for i in wt.IDF for k in wt.NORM])
+    rows = norms.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    plain_tf = {"n": lambda x, d: x, "l": lambda x, d: 1 + math.log(x), "d": lambda x, d: 1 + math.log(1 + math.log(x)), "a": lambda x, d: 0.5 + 0.5 * x / max(d), "b": lambda x, d: 1, "L": lambda x, d: (1 + math.log(x)) / (1 + math.log(sum(d) / len(d)))}
+    plain_idf = {"n": lambda f: 1, "t": lambda f: math.log(n / f) + 1, "s": lambda f: math.log((n + 1) / (f + 1)) + 1, "p": lambda f: math.log((n - f) / f), "d": lambda f: math.log((n + 1 - f) / (f + 1))}
+    plain_norm = {"c": lambda w: math.sqrt(sum(x * x for x in w)), "l": lambda w: sum(abs(x) for x in w), "u": len}
+    for s in ALL:
+        t, i, k, _ = wt.parse_scheme(s)
+        for doc in by.values():
+            counts = [r["tf"] for r in doc]
+            w = [plain_tf[t](r["tf"], counts) * plain_idf[i](r["df"]) for r in doc]
+            assert [r[at(t, i)] for r in doc] == pytest.approx(w), s
+            assert k == "n" or doc[0][at(t, i, k)] == pytest.approx(plain_norm[k](w)), s
+
+
+def test_weights_need_no_fit_without_frequencies(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    for params in (features.FeatureParams(), features.FeatureParams(weighting="ltc"), features.FeatureParams(min_df=2), features.FeatureParams(weighting="lncp"), features.FeatureParams(use_hashing=True, n_features=7)):
+        own = {(r[0], r[1]): r[2] for r in features.weights(docs, params).collect()}
+        assert own == pytest.approx({(r[0], r[1]): r[2] for r in features.fit(docs, params).transform(docs).collect()})
+
+
+def test_words_are_those_of_plain_python(spark):
+    texts = ["Don't stop x yy_z 3 42", "naïve Straße ПРИВЕТ мир 日本語 テスト", "cafe\u0301 हिन्दी १२", "a b c", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tx.tokens(F.col("t"))).collect()]
+    assert got == [re.findall(r"\b\w\w+\b", t.lower()) for t in texts]
+
+
 def test_pivot_with_alpha_one_is_plain(spark, tf):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     plain = features.fit(docs, features.FeatureParams(weighting="nnc"), tf=tf).weigh(tf)

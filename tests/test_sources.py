@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import features
+from quillspark.operators import categorize, features, lsi
+from quillspark.plans import models
 from quillspark.plans.store import ModelNotFound, StopWords, Store
 from quillspark.sources import email, files
 from quillspark.streaming.ingest import weigh_stream
@@ -90,3 +91,45 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     weigh_stream(stream, model, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), f"{tmp_path}/cp").awaitTermination()
     got = {(r["doc_id"], r["term"]): r["weight"] for r in spark.read.parquet(out).collect()}
     assert got == pytest.approx({(r["doc_id"], r["term"]): r["weight"] for r in model.transform(docs.where("doc_id >= 100")).collect()})
+
+
+def test_models_come_back(spark, sf_dir, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    old = docs.where("doc_id < 150")
+    params = features.FeatureParams(weighting="ltcp", min_df=2, n_features=300, stop_words=("der", "die"), ngram_range=(1, 2))
+    model, x = features.fit_transform(old, params)
+    step = models.save_features(store, model, id="mails")
+    models.features_table(store, step, x)
+    again = models.load_features(store, store.find("mails"))
+    assert again.params == params and (again.n_docs, again.pivot) == (150, model.pivot)
+    rows = lambda df: {tuple(r)[:2]: r[2] for r in df.collect()}
+    assert rows(again.transform(docs)) == pytest.approx(rows(model.transform(docs)))
+    space = lsi.fit(x, 150, 6)
+    child = models.save_lsi(store, space, step)
+    vec = lambda m, w: {r["doc_id"]: r["vec"] for r in m.transform(w).collect()}
+    vectors = space.transform(x)
+    store.write(child, "vectors", vectors)
+    kept, back = vec(space, x), vec(models.load_lsi(store, store.find(child.id)), x)
+    assert kept.keys() == back.keys() and all(kept[d] == pytest.approx(back[d]) for d in kept)
+    named = vectors.join(docs.select("doc_id", docs["lang"].alias("category")), "doc_id")
+    for method in ("LogisticRegression", "NearestCentroid"):
+        fitted = categorize.train(named, method)
+        saved = models.save_categorizer(store, fitted, child)
+        found = models.load_categorizer(store, saved)
+        assert found.categories == fitted.categories and rows(found.predict(named)) == pytest.approx(rows(fitted.predict(named)))
+
+    # more documents: weighted and projected by the frozen models, categorizers are stale
+    more = docs.where("doc_id >= 150")
+    models.append_documents(store, step, more)
+    assert rows(store.read(step, "features")) == pytest.approx(rows(x.unionByName(model.transform(more))))
+    assert {r["doc_id"] for r in store.read(child, "vectors").collect()} == {r["doc_id"] for r in store.read(step, "features").select("doc_id").distinct().collect()}
+    assert not store.children(child)
+    with pytest.raises(ValueError):
+        models.append_documents(store, step, more)
+    # and fewer
+    models.save_categorizer(store, fitted, child)
+    models.remove_documents(store, step, docs.where("doc_id % 2 = 0").select("doc_id"))
+    for table, of in (("features", step), ("vectors", child)):
+        assert not store.read(of, table).isEmpty() and store.read(of, table).where("doc_id % 2 = 0").isEmpty()
+    assert not store.children(child)
