@@ -14,6 +14,7 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +91,18 @@ class Scratch:
         _LIVE.pop(self.base, None)
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Deletes the tables of all operators that were called within, for callers that write what
+    they return before they leave."""
+    before = set(_LIVE)
+    try:
+        yield
+    finally:
+        for base in set(_LIVE) - before:
+            remove_path(_LIVE.pop(base), base)
+
+
 @atexit.register
 def _clear_all() -> None:
     for base, spark in list(_LIVE.items()):
