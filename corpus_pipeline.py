@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import op2_lines, op3_quality, op4_decontam, op5_probminhash, op6_bpe
-from quillspark.plans.scratch import Scratch
+from quillspark.plans.scratch import Scratch, released
 from quillspark.plans.tables import table
 
 
@@ -48,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again. What a stage has
+    written for itself, and the table before it, goes when its result is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with released():
+            docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(before)
     return docs
