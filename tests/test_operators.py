@@ -374,6 +374,18 @@ def test_categorizers_separate_blobs(spark, method):
     assert best == {i: "a" if i < 30 else "b" for i in range(60)}
 
 
+def test_sensitivity_of_a_fitted_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("lang").alias("category"))
+    x = features.weights(docs, features.FeatureParams(min_df=2, n_features=200)).cache()
+    space = lsi.fit(x, docs.count(), 6)
+    model = categorize.train(space.transform(x).join(docs.select("doc_id", "category"), "doc_id"), "LogisticRegression")
+    parts = categorize.sensitivity(x, categorize.term_coefficients(model, space, "en"))
+    got = {r["doc_id"]: r["s"] for r in parts.groupBy("doc_id").agg(F.sum("contribution").alias("s")).collect()}
+    c = dict(model.model)["en"].coefficients.toArray()
+    raw = {r["doc_id"]: float(np.dot(c, r["vec"])) for r in space.transform(x, normalize=False).collect()}
+    assert got == pytest.approx(raw, abs=1e-9) and len(got) > 150
+
+
 def test_categorizer_guards(spark):
     v = vectors(spark, POINTS).withColumn("category", F.lit("a"))
     with pytest.raises(NotImplementedError):
