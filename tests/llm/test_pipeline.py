@@ -7,6 +7,7 @@ import tiktoken
 import corpus_pipeline
 from quillspark.llm import op3_quality
 from tests.llm import brute
+from tests.llm.test_text_operators import edge_docs
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):
@@ -37,3 +38,16 @@ def test_stages_keep_the_columns(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_with_nulls_clashing_columns_and_empty_tables(spark, sf_dir):
+    docs = edge_docs(spark)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    rows = kept.collect()
+    assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()} and 5 in {r["doc_id"] for r in rows}
+    out = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+    assert out.count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
