@@ -38,7 +38,7 @@ from quillspark.plans.scratch import Scratch
 
 CHUNK = 8
 BLOCK = 512
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
 MAGIC = b"DAC2"
 HEAD = 24
 #: Bytes of (compressed) input a task, where that makes more tasks than the session's setting.
@@ -124,7 +124,7 @@ class Dac:
         return out
 
 
-def _documents(keys: pa.Array, sizes: list[int]) -> bytes:
+def _documents(keys: pa.Array, sizes: np.ndarray) -> bytes:
     table = pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64())], ["doc_id", "n_ids"])
     out = io.BytesIO()
     with pa.ipc.new_stream(out, table.schema) as stream:
@@ -143,26 +143,28 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, text: str =
     most = SHARD_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, keys, sizes, size = codec(path), [], [], [], 0
+        own, held, keys, counts, size = codec(path), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, keys, sizes, size
-            payload = dac_encode(np.concatenate(held), _documents(pa.concat_arrays(keys), sizes))
-            held, keys, sizes, size = [], [], [], 0
+            nonlocal held, keys, counts, size
+            payload = dac_encode(np.concatenate(held), _documents(pa.concat_arrays(keys), np.concatenate(counts)))
+            held, keys, counts, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], ["payload"])
 
         for b in bounded(batches):
             ids, at = own.encode(b.column("text").to_pylist())
-            column, first = b.column("doc_id"), 0
-            for k, (i, j) in enumerate(zip(at, at[1:], strict=False)):
-                held += [ids[i:j], np.array([end_id], np.uint32)]
-                sizes.append(int(j - i) + 1)
-                size += sizes[-1]
+            ids, sizes = np.insert(ids, at[1:], end_id), np.diff(at) + 1
+            ends, first = np.cumsum(sizes), 0
+            while first < len(sizes):
+                begin = int(ends[first] - sizes[first])
+                last = min(int(np.searchsorted(ends, begin + most - size)), len(sizes) - 1)  # the document that fills the shard
+                held.append(ids[begin : ends[last]])
+                keys.append(b.column("doc_id").slice(first, last + 1 - first))
+                counts.append(sizes[first : last + 1])
+                size += int(ends[last]) - begin
+                first = last + 1
                 if size >= most:
-                    keys.append(column.slice(first, k + 1 - first))
-                    first = k + 1
                     yield flush()
-            keys.append(column.slice(first))
         if size:
             yield flush()
 
