@@ -225,6 +225,9 @@ class Index:
             own = self.words[t]
             while len(group):  # a short template may stand there several times within the band
                 low, high = int(diagonal[group].min()), int(diagonal[group].max())
+                region = left[max(0, low - BAND - 1) : high + BAND + len(own) + 1]
+                if np.isin(own, region).sum() < coverage * len(own):  # no alignment can match words that are not there
+                    break
                 matched, begin, stop = align(own, left, (low + high) // 2, BAND + (high - low + 1) // 2)
                 if matched < coverage * len(own):
                     break
