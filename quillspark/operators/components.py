@@ -22,13 +22,15 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, a: st
     scratch = scratch or Scratch(edges.sparkSession, "components")
     down = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNull().alias("x"), F.col(b).isNull().alias("y"))
     down = scratch.save(down.where("not x and not y").select("u", "v").distinct(), "down", narrow=True)
+    if down.isEmpty():
+        return down.select(F.col("u").alias("node"), F.col("v").alias("label"))
     least = scratch.save(down.groupBy("u").agg(F.min("v").alias("m")), "least", narrow=True)
     # written, so that a node with very many links can be split where they are joined
     star = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     both = scratch.save(star.union(star.select("v", "u")).distinct(), "links", narrow=True)
     scratch.drop(down, least)
     labels = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", narrow=True)
-    moved = not labels.isEmpty()
+    moved = True
     while moved:
         near = both.join(labels, both["v"] == labels["node"]).groupBy(F.col("u").alias("n")).agg(F.min("label").alias("m"))
         closer = labels.join(near, labels["node"] == near["n"], "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
