@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import op1_html, op2_lines, op3_quality, op4_decontam, op5_probminhash, op6_bpe, op7_chat, op8_suffix, op9_license, op10_dac
+from quillspark.llm import op1_html, op2_lines, op3_quality, op4_decontam, op5_probminhash, op6_bpe, op7_chat, op8_suffix, op9_license, op10_dac, op11_wand, op12_merkle, op13_counts
 from quillspark.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_dac.store_and_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op11_wand.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, query_id="item_id")
+    return found.withColumnRenamed("query_id", "item_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -73,6 +86,9 @@ QUERIES: dict[str, Query] = {
         op8_prefix_doubling,
         op9_license_scan,
         op10_token_store,
+        op11_lexical_search,
+        op12_merkle_manifest,
+        op13_token_counts,
     )
 }
 
@@ -147,4 +163,17 @@ grouped AS (
 prefixes AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM grouped))
 SELECT conv_id, n_turns, n_copies, text FROM grouped WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.turns = grouped.turns)""",
 }
+ORACLES["op11_lexical_search"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+lengths AS (SELECT doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM lengths),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY doc_id, term),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM asked GROUP BY item_id, term),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, totals),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // l))) AS x FROM tf JOIN w USING (term) JOIN lengths USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, sum(times * x)::BIGINT AS score FROM impact JOIN q USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
 ORACLES["op8_prefix_doubling"] = ORACLES["op8_suffix_dedup"]
