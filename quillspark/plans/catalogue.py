@@ -18,7 +18,7 @@ from quillspark.functions import text as tx
 from quillspark.functions import weighting as wt
 from quillspark.functions.stopwords import ENGLISH
 from quillspark.operators import birch as birch_nodes
-from quillspark.operators import categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads
+from quillspark.operators import categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads, topk
 from quillspark.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,6 +313,38 @@ def search_dense_all(spark, d):
     return search.dense_scores_each(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vec"), v).select("query_id", "doc_id", *_rounded("score"))
 
 
+# The 100 best of the same queries, from an index ordered by impact
+
+_BEST = "r AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits) SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 100"
+
+
+@query(f"{_SCORED_ALL}, hits AS (SELECT query_id, doc_id, c AS score FROM s), {_BEST}")
+def search_text_top(spark, d):
+    asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("doc_id"), "text")
+    asked = features.term_frequencies(asked, WORDS).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("weight"))
+    found = topk.search(asked, topk.build(features.weights(_docs(spark, d), WORDS)), 100)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", *_rounded("score"))
+
+
+_DOCUMENTS_ALL = f"WITH {_NNC}, q AS (SELECT doc_id AS query_id, term, w AS q FROM x WHERE doc_id % 100 = 0), s AS (SELECT query_id, doc_id, sum(w * q) AS c FROM x JOIN q USING (term) GROUP BY query_id, doc_id)"
+
+
+@query(f"{_DOCUMENTS_ALL}, hits AS (SELECT query_id, doc_id, c AS score FROM s WHERE doc_id <> query_id), {_BEST}")
+def search_document_top(spark, d):
+    index = topk.build(features.weights(_docs(spark, d), WORDS))
+    asked = index.postings.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("impact").alias("weight"))
+    found = topk.search(asked, index, 100, others_only=True)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", *_rounded("score"))
+
+
+@query(f"{_SCORED_ALL}, hits AS (SELECT query_id, doc_id, c AS score FROM s WHERE round(c, 9) > 0.02 AND doc_id IN (SELECT doc_id FROM labels)), {_BEST}")
+def search_subset_top(spark, d):
+    asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("doc_id"), "text")
+    asked = features.term_frequencies(asked, WORDS).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("weight"))
+    found = topk.search(asked, topk.build(features.weights(_docs(spark, d), WORDS)), 100, min_score=0.02, subset=table(spark, d, "labels"))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", *_rounded("score"))
+
+
 @query(f"WITH {_NNC} SELECT term, round(sum(w) / (SELECT count(*) FROM documents WHERE lang = 'es'), 6) AS weight FROM x JOIN documents USING (doc_id) WHERE lang = 'es' GROUP BY term ORDER BY sum(w) DESC, term LIMIT 50")
 def top_terms(spark, d):
     docs = _docs(spark, d)
