@@ -1,8 +1,4 @@
-"""Nearest neighbours and centroids per class, over dense vectors.
-
-Training vectors go to the tasks in bounded blocks; each task multiplies its rows with a
-block and keeps the best of each class, and the blocks' winners meet in one aggregation.
-"""
+"""Nearest neighbours and centroids per class, over dense vectors."""
 
 from __future__ import annotations
 
@@ -14,88 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import similarity as sim
+from quillspark.operators import nearest as by_blocks
 
 BLOCK_VALUES = 4_000_000
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
 def nearest(docs: DataFrame, train: DataFrame, vector: str = "vec") -> DataFrame:
     """Per document and category: ``doc_id``, ``category``, ``score`` (best cosine) and
     ``nn_doc_id``, the least id of the best. ``train`` has doc_id, category and the vector."""
-    n, width = train.agg(F.count("*"), F.max(F.size(vector))).first()
-    blocks = max(1, -(-(n * (width or 1)) // BLOCK_VALUES))
-    schema = "doc_id bigint, category string, score double, nn_doc_id bigint"
-
-    def scored(k: int) -> DataFrame:
-        rows = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k) if blocks > 1 else train
-        block = rows.select("doc_id", F.col("category").cast("string").alias("category"), F.col(vector).alias("v")).orderBy("category", "doc_id").toPandas()  # at most about BLOCK_VALUES numbers
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            groups = [(c, g["doc_id"].to_numpy(), _unit(np.stack([np.asarray(v, float) for v in g["v"]]))) for c, g in block.groupby("category")]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = _unit(np.stack([np.asarray(v, float) for v in pdf["v"]]))
-                for c, ids, y in groups:
-                    s = np.round(x @ y.T, 12)
-                    best = s.argmax(axis=1)
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"], "category": c, "score": s[np.arange(len(s)), best], "nn_doc_id": ids[best]})
-
-        return docs.select("doc_id", F.col(vector).alias("v")).mapInPandas(run, schema)
-
-    out = scored(0)
-    for k in range(1, blocks):
-        out = out.union(scored(k))
-    if blocks == 1:
-        return out
-    best = F.max_by(F.col("nn_doc_id"), F.struct(F.col("score"), -F.col("nn_doc_id"))).alias("nn_doc_id")
-    return out.groupBy("doc_id", "category").agg(F.max("score").alias("score"), best).select("doc_id", "category", "score", "nn_doc_id")
+    return by_blocks.nearest(docs, train, vector)
 
 
 def nearest_others(queries: DataFrame, rows: DataFrame, vector: str = "vec") -> DataFrame:
-    """The same of each query among all ``rows`` but those with its doc_id, for fewer queries
-    than rows: the queries travel in blocks, and each task keeps their best of its rows."""
-    n, width = queries.agg(F.count("*"), F.max(F.size(vector))).first()
-    blocks = max(1, -(-(n * (width or 1)) // BLOCK_VALUES))
-    schema = "doc_id bigint, category string, score double, nn_doc_id bigint"
-
-    def scored(k: int) -> DataFrame:
-        part = queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k) if blocks > 1 else queries
-        block = part.select("doc_id", F.col(vector).alias("v")).toPandas()  # at most about BLOCK_VALUES numbers
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if not len(block):
-                return
-            own, q = block["doc_id"].to_numpy(), _unit(np.stack([np.asarray(v, float) for v in block["v"]]))
-            step, at = max(1, BLOCK_VALUES // len(own)), np.arange(len(own))
-            best: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-            for pdf in batches:
-                for c, g in pdf.groupby("category", dropna=False):
-                    score, who = best.setdefault(c if isinstance(c, str) else None, (np.full(len(own), -np.inf), np.zeros(len(own), np.int64)))
-                    g = g.sort_values("doc_id")
-                    for i in range(0, len(g), step):
-                        ids = g["doc_id"].to_numpy()[i : i + step]
-                        s = np.round(q @ _unit(np.stack([np.asarray(v, float) for v in g["v"].iloc[i : i + step]])).T, 12)
-                        s[own[:, None] == ids[None, :]] = -np.inf
-                        j = s.argmax(axis=1)
-                        top = s[at, j]
-                        better = (top > score) | ((top == score) & (ids[j] < who))
-                        score[better], who[better] = top[better], ids[j][better]
-            for c, (score, who) in best.items():
-                found = np.isfinite(score)
-                yield pd.DataFrame({"doc_id": own[found], "category": pd.Series([c] * int(found.sum()), dtype=object), "score": score[found], "nn_doc_id": who[found]})
-
-        return rows.select("doc_id", F.col("category").cast("string").alias("category"), F.col(vector).alias("v")).mapInPandas(run, schema)
-
-    out = scored(0)
-    for k in range(1, blocks):
-        out = out.union(scored(k))
-    best = F.max_by(F.col("nn_doc_id"), F.struct(F.col("score"), -F.col("nn_doc_id"))).alias("nn_doc_id")
-    return out.groupBy("doc_id", "category").agg(F.max("score").alias("score"), best).select("doc_id", "category", "score", "nn_doc_id")
+    """The same of each query among all ``rows`` but those with its doc_id."""
+    return by_blocks.nearest(queries, rows, vector, others_only=True)
 
 
 def centroids(train: DataFrame, label: str = "category", vector: str = "vec") -> DataFrame:

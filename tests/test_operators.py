@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import birch, categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads
+from quillspark.operators import birch, categorize, cluster, duplicates, explain, features, index, lsi, metrics, nearest, neighbors, search, threads
 from quillspark.operators.components import connected_components
 
 
@@ -411,8 +411,11 @@ def test_nearest_others_against_brute_force(spark, monkeypatch):
             s = round(float(u[a] @ u[b]), 9)
             if a != b and (s, -b) > expected.get((a, kinds[b]), (-2.0, 0)):
                 expected[a, kinds[b]] = s, -b
-    for size in (neighbors.BLOCK_VALUES, 8):
-        monkeypatch.setattr(neighbors, "BLOCK_VALUES", size)
+    for rows_of_block, values, chunk, small in ((2048, 4_000_000, 16_384, 500_000), (2048, 4_000_000, 16_384, 0), (9, 40, 2, 0)):
+        monkeypatch.setattr(nearest, "SMALL_VALUES", small)
+        monkeypatch.setattr(nearest, "BLOCK_ROWS", rows_of_block)
+        monkeypatch.setattr(nearest, "VALUES", values)
+        monkeypatch.setattr(nearest, "CHUNK", chunk)
         rows = neighbors.nearest_others(v.where("doc_id % 10 = 0"), v).collect()
         assert {(r["doc_id"], r["category"]): (round(r["score"], 9), -r["nn_doc_id"]) for r in rows} == expected and len(rows) == len(expected)
 
@@ -509,3 +512,35 @@ def test_highlight(spark):
     with pytest.raises(ValueError):
         explain.colormap(filter_ratio=2)
     assert explain.random_weights(["a"], 1) == explain.random_weights(["a"], 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_are_left_out_only_where_they_cannot_hold_the_nearest(spark, monkeypatch, seed):
+    """Clustered vectors, copies, a vector of norm 0 and one missing; most blocks are never met."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(nearest, "SMALL_VALUES", 0)
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(12, 8))
+    x = centers[rng.integers(0, 12, 900)] + 0.03 * rng.normal(size=(900, 8))
+    x[5] = 0
+    x[100:160] = x[100]
+    kinds = [("a", "b", None)[i % 3] for i in range(900)]
+    v = spark.createDataFrame([(i, x[i].tolist() if i != 7 else None, kinds[i]) for i in range(900)], "doc_id long, vec array<double>, category string").repartition(4)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    expected = {}
+    for a in range(0, 900, 50):
+        for b in range(900):
+            s = round(float(unit[a] @ unit[b]), 9)
+            if b != 7 and (s, -b) > expected.get((a, kinds[b]), (-2.0, 0)):
+                expected[a, kinds[b]] = s, -b
+    met, plain = [], nearest._met
+
+    def counting(visits, train, *rest):
+        met.append((visits.count(), train.select("block").distinct().count()))
+        return plain(visits, train, *rest)
+
+    monkeypatch.setattr(nearest, "_met", counting)
+    rows = neighbors.nearest(v.where("doc_id % 50 = 0"), v).collect()
+    assert {(r["doc_id"], r["category"]): (round(r["score"], 9), -r["nn_doc_id"]) for r in rows} == expected
+    assert met[0][0] == 18 * 3 and met[1][0] < 0.4 * 18 * met[1][1], met
+    assert neighbors.nearest(v, v.limit(0)).count() == 0 and neighbors.nearest(v.limit(0), v).count() == 0
