@@ -1,7 +1,7 @@
 """Latent semantic indexing by a randomized range finder (Halko, Martinsson, Tropp 2011).
 
-The vocabulary is bounded by the feature parameters, so a terms x components matrix fits a
-task and the driver (its size is checked); documents never leave the executors. One pass
+A terms x components matrix of checked size is held by the driver and each task; for any other
+``lsi_blocks`` does the same over tables. Documents never leave the executors. One pass
 over the documents multiplies with the matrix and its transpose at once, and the partial
 results are summed in blocks of terms.
 """
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import lsi_blocks
 from quillspark.operators.features import indexed
 
 OVERSAMPLE, ITERATIONS = 10, 5
-MAX_VALUES = 64_000_000
+MAX_VALUES = 16_000_000
 TERM_BLOCK = 4096
 
 
@@ -113,8 +114,9 @@ def _gram(rows: DataFrame, m: np.ndarray) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["part"]).reshape(-1, m.shape[1]) for r in found])
 
 
-def fit(weights: DataFrame, n_docs: int, n_components: int = 150, alpha: float = 0.33, seed: int = 42) -> LsiModel:
-    """Truncated SVD of the documents x terms matrix in long form."""
+def fit(weights: DataFrame, n_docs: int, n_components: int = 150, alpha: float = 0.33, seed: int = 42) -> LsiModel | lsi_blocks.BlockModel:
+    """Truncated SVD of the documents x terms matrix in long form. If the terms x components matrix
+    is too large for a task, the model has it as a table."""
     terms = indexed(weights.select("term").distinct()).select("term", "idx").persist()
     n_terms = terms.count()
     if not n_terms:
@@ -122,7 +124,8 @@ def fit(weights: DataFrame, n_docs: int, n_components: int = 150, alpha: float =
     k = min(components_for(n_components, n_docs, n_terms), n_terms)
     width = min(n_terms, k + OVERSAMPLE)
     if n_terms * width > MAX_VALUES:
-        raise ValueError(f"{n_terms} terms x {width} components: bound the vocabulary (n_features, min_df) first")
+        terms.unpersist()
+        return lsi_blocks.fit(weights, n_docs, k, seed)
     rows = _rows(weights, terms).persist()
     q = np.random.default_rng(seed).standard_normal((n_terms, width))
     for _ in range(ITERATIONS):
