@@ -1,9 +1,11 @@
 """Birch: clustering features in a height-balanced tree (Zhang, Ramakrishnan, Livny 1996).
 
 The exact tree depends on the order of insertion, so it is sequential. ``fit_tree`` builds
-it for data that fits one process. ``fit_distributed`` first lets each partition condense
-its rows to leaf features with the same threshold, and builds one tree over those; the
-number of features that reach the driver is checked.
+it for data that fits one process. ``fit_distributed`` lets each partition condense its rows to
+leaf features; features are mergeable, so groups of partitions merge theirs into one tree, and
+groups of these, until one is left. A tree that outgrows its bound is built anew from its leaves with
+a higher threshold, so every step has bounded memory. Features, nodes and paths stay in tables; the
+last tree is built by one task.
 """
 
 from __future__ import annotations
@@ -13,11 +15,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-#: Leaf features that may reach the driver, and bytes of their vectors.
-MAX_FEATURES, MAX_BYTES = 200_000, 512_000_000
+from quillspark.plans.scratch import Scratch
+
+#: Leaf features that a tree may keep, and bytes of their vectors.
+MAX_FEATURES, MAX_BYTES = 20_000, 256_000_000
+#: Trees that one task merges, and what a threshold is raised by.
+FAN, RAISE = 8, 1.5
 
 
 @dataclass
@@ -162,41 +169,103 @@ def agglomerate(centers: np.ndarray, sizes: np.ndarray, n_clusters: int) -> np.n
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
+class Condenser:
+    """A tree whose leaves stay within the bounds, their number and the bytes of their vectors."""
+
+    def __init__(self, threshold: float, branching: int, bounds: tuple[int, int]):
+        self.threshold, self.branching, self.bounds = threshold, branching, bounds
+        self.tree, self._since = Tree(threshold, branching), 0
+
+    def add(self, feature: Feature) -> None:
+        self.tree.insert(feature)
+        self._since += 1
+        if self._since >= self._most(feature):
+            self._rebuild(self._most(feature) // 2)
+
+    def _most(self, feature: Feature) -> int:
+        return max(2, min(self.bounds[0], self.bounds[1] // (8 * max(1, len(feature.ls)))))
+
+    def _rebuild(self, most: int) -> None:
+        leaves = list(self.tree.leaves())
+        while len(leaves) > most:
+            self.threshold *= RAISE
+            self.tree = Tree(self.threshold, self.branching)
+            for f in leaves:
+                self.tree.insert(f)
+            leaves = list(self.tree.leaves())
+        self._since = len(leaves)
+
+    def rows(self, part: int) -> pd.DataFrame:
+        out = list(self.tree.leaves())
+        return pd.DataFrame({"part": part, "threshold": self.threshold, "n": [f.n for f in out], "ls": [f.ls for f in out], "ss": [f.ss for f in out]})
+
+
+_FEATURES = "part bigint, threshold double, n double, ls array<double>, ss double"
+
+
 def leaf_features(vectors: DataFrame, threshold: float, branching: int = 50, vector: str = "vec") -> DataFrame:
-    """``n``, ``ls``, ``ss`` of the leaves of one tree per partition."""
+    """``part``, ``threshold``, ``n``, ``ls``, ``ss`` of the leaves of one tree per partition."""
+
+    bounds = MAX_FEATURES, MAX_BYTES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = Tree(threshold, branching)
+        own = Condenser(threshold, branching, bounds)
         for pdf in batches:
             for v in pdf["v"]:
                 x = np.asarray(v, float)
-                tree.insert(Feature(1.0, x, float(x @ x)))
-        out = list(tree.leaves())
-        yield pd.DataFrame({"n": [f.n for f in out], "ls": [f.ls for f in out], "ss": [f.ss for f in out]})
+                own.add(Feature(1.0, x, float(x @ x)))
+        if own.tree.root.features:
+            yield own.rows(TaskContext.get().partitionId())
+
+    return vectors.select(F.col(vector).alias("v")).where("v is not null").mapInPandas(run, _FEATURES)
+
 
-    return vectors.select(F.col(vector).alias("v")).mapInPandas(run, "n double, ls array<double>, ss double")
+def _merged(pdf: pd.DataFrame, branching: int, bounds: tuple[int, int]) -> Condenser:
+    """One tree over the features of several, those of many points first."""
+    own = Condenser(float(pdf["threshold"].max()), branching, bounds)
+    for ls, n, ss in sorted(zip(map(tuple, pdf["ls"]), pdf["n"], pdf["ss"], strict=True), key=lambda r: (-r[1], r[0])):
+        own.add(Feature(n, np.array(ls), ss))
+    return own
+
+
+def _together(rows: DataFrame) -> GroupedData:
+    """All rows as one group; for tables whose size a tree bounds."""
+    return rows.withColumn("all", F.lit(0)).groupBy("all")
+
+
+def condensed(vectors: DataFrame, threshold: float = 0.5, branching: int = 50, vector: str = "vec") -> DataFrame:
+    """The features of all partitions, merged group by group until they fit one tree."""
+    scratch, bounds = Scratch(vectors.sparkSession, "birch"), (MAX_FEATURES, MAX_BYTES)
+    features = scratch.save(leaf_features(vectors, threshold, branching, vector), "features")
+    while True:
+        n, last, width = features.agg(F.count("*"), F.max("part"), F.max(F.size("ls"))).first()
+        if not last or n <= min(bounds[0], bounds[1] // (8 * max(1, width or 1))):
+            return features
+
+        def merge(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return _merged(pdf, branching, bounds).rows(int(group[0]))
+
+        merged = features.groupBy(F.floor(F.col("part") / FAN).cast("bigint").alias("of")).applyInPandas(merge, _FEATURES)
+        merged = scratch.save(merged, "features")
+        scratch.drop(features)
+        features = merged
 
 
 def fit_distributed(vectors: DataFrame, threshold: float = 0.5, branching: int = 50, n_clusters: int = 0, vector: str = "vec") -> DataFrame:
     """``cluster_id``, ``centroid``, ``size`` of the leaves, or of ``n_clusters`` Ward clusters
     of them."""
-    features = leaf_features(vectors, threshold, branching, vector).persist()
-    n, width = features.agg(F.count("*"), F.max(F.size("ls"))).first()
-    if n > MAX_FEATURES or n * 8 * (width or 0) > MAX_BYTES:
-        raise ValueError(f"{n} leaf features of {width} values: raise the threshold")
-    tree = Tree(threshold, branching)
-    rows = sorted(((tuple(r["ls"]), r["n"], r["ss"]) for r in features.collect()), key=lambda r: (-r[1], r[0]))
-    features.unpersist()
-    for ls, n, ss in rows:
-        tree.insert(Feature(n, np.array(ls), ss))
-    leaves = list(tree.leaves())
-    labels = agglomerate(np.stack([f.centroid for f in leaves]), np.array([f.n for f in leaves]), n_clusters) if 0 < n_clusters < len(leaves) else np.arange(len(leaves))
-    out = []
-    for k in range(labels.max() + 1 if len(labels) else 0):
-        own = [f for f, x in zip(leaves, labels, strict=True) if x == k]
-        n = sum(f.n for f in own)
-        out.append((k, (np.sum([f.ls for f in own], axis=0) / n).tolist(), int(n)))
-    return vectors.sparkSession.createDataFrame(out, "cluster_id int, centroid array<double>, size bigint")
+    bounds = MAX_FEATURES, MAX_BYTES
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaves = list(_merged(pdf, branching, bounds).tree.leaves())
+        labels = agglomerate(np.stack([f.centroid for f in leaves]), np.array([f.n for f in leaves]), n_clusters) if 0 < n_clusters < len(leaves) else np.arange(len(leaves))
+        owns = [[f for f, x in zip(leaves, labels, strict=True) if x == k] for k in range(labels.max() + 1)] if n_clusters else [[f] for f in leaves]
+        sizes = [sum(f.n for f in own) for own in owns]
+        return pd.DataFrame({"cluster_id": range(len(owns)), "centroid": [np.sum([f.ls for f in own], axis=0) / n for own, n in zip(owns, sizes, strict=True)], "size": [int(n) for n in sizes]})
+
+    features = condensed(vectors, threshold, branching, vector)
+    centers = _together(features).applyInPandas(finish, "cluster_id int, centroid array<double>, size bigint")  # bounded features
+    return Scratch(vectors.sparkSession, "birch").save(centers, "centers")
 
 
 # Trees as rows
@@ -236,42 +305,62 @@ def tree_frame(spark, tree: Tree) -> DataFrame:
     return spark.createDataFrame(rows, TREE)
 
 
+_NODES = "cluster_id int, parent_id int, depth int, children array<int>"
+
+
 def hierarchy(vectors: DataFrame, threshold: float = 0.5, branching: int = 50, vector: str = "vec") -> tuple[DataFrame, DataFrame]:
     """The tree over the condensed features of a distributed fit: nodes (``cluster_id``,
     ``parent_id``, ``depth``, ``children``, ``cluster_size``), and the deepest node of each
-    document (``doc_id``, ``cluster_id``). Only features and nodes reach the driver."""
+    document (``doc_id``, ``cluster_id``). One task builds the tree of bounded size."""
     from quillspark.operators.neighbors import nearest_centroid
 
-    spark = vectors.sparkSession
+    scratch = Scratch(vectors.sparkSession, "birch")
     centers = fit_distributed(vectors, threshold, branching, vector=vector)
-    tree = Tree(threshold, branching)
-    for r in centers.orderBy("cluster_id").collect():  # at most MAX_FEATURES
-        x = np.array(r["centroid"])
-        n = float(r["size"])  # a feature weighs as many documents as it condenses
-        tree.insert(Feature(n, n * x, n * float(x @ x), ids=[r["cluster_id"]]))
-    rows = tree_rows(tree)
-    deepest = {leaf: r["cluster_id"] for r in rows for leaf in r["doc_ids"]}  # rows go down the tree
-    leaves = spark.createDataFrame(list(deepest.items()), "leaf int, node int")
-    members = nearest_centroid(vectors, centers, vector, "cluster_id").select("doc_id", F.col("cluster_id").alias("leaf")).join(leaves, "leaf").select("doc_id", F.col("node").alias("cluster_id"))
-    held = {r["node"]: r["n"] for r in members.groupBy(F.col("cluster_id").alias("node")).agg(F.count("*").alias("n")).collect()}
-    size = {r["cluster_id"]: held.get(r["cluster_id"], 0) for r in rows}
-    for r in reversed(rows):
-        if r["parent_id"] is not None:
-            size[r["parent_id"]] += size[r["cluster_id"]]
-    nodes = [(r["cluster_id"], r["parent_id"], r["depth"], r["children"], size[r["cluster_id"]]) for r in rows]
-    return spark.createDataFrame(nodes, "cluster_id int, parent_id int, depth int, children array<int>, cluster_size bigint"), members
+
+    def rows_of(pdf: pd.DataFrame) -> list[dict]:
+        tree, pdf = Tree(threshold, branching), pdf.sort_values("cluster_id")
+        for k, c, n in zip(pdf["cluster_id"], pdf["centroid"], pdf["size"], strict=True):
+            x = np.asarray(c, float)  # a feature weighs as many documents as it condenses
+            tree.insert(Feature(float(n), n * x, n * float(x @ x), ids=[int(k)]))
+        return tree_rows(tree)
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = rows_of(pdf)
+        return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype="Int32" if c != "children" else object) for c in ("cluster_id", "parent_id", "depth", "children")})
+
+    def deepest(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = {leaf: r["cluster_id"] for r in rows_of(pdf) for leaf in r["doc_ids"]}  # rows go down the tree
+        return pd.DataFrame({"leaf": list(found), "node": list(found.values())})
+
+    nodes = scratch.save(_together(centers).applyInPandas(told, _NODES), "nodes")
+    of_leaf = scratch.save(_together(centers).applyInPandas(deepest, "leaf int, node int"), "leaves")
+    near = nearest_centroid(vectors, centers, vector, "cluster_id").select("doc_id", F.col("cluster_id").alias("leaf"))
+    members = scratch.save(near.join(of_leaf, "leaf").select("doc_id", F.col("node").alias("cluster_id")), "members")
+    held = members.groupBy(F.col("cluster_id").alias("node")).agg(F.count("*").alias("n"))
+    sizes = held.join(ancestors(nodes), "node").groupBy(F.col("above").alias("of")).agg(F.sum("n").alias("cluster_size"))
+    return nodes.join(sizes, nodes["cluster_id"] == sizes["of"], "left").select(*nodes.columns, F.coalesce("cluster_size", F.lit(0)).alias("cluster_size")), members
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """``node``, ``above`` of every node and each node above it, itself included. The paths grow by
+    doubling joins, one round for each bit of the depth."""
+    scratch = Scratch(nodes.sparkSession, "birch")
+    tree = scratch.save(nodes.select("cluster_id", "parent_id", "depth"), "tree", narrow=True)
+    deep = tree.agg(F.max("depth")).first()[0] or 0
+    hops = tree.where("parent_id is not null").select(F.col("cluster_id").alias("node"), F.col("parent_id").alias("above"))
+    every = scratch.save(tree.select(F.col("cluster_id").alias("node"), F.col("cluster_id").alias("above")).union(hops), "paths", narrow=True)
+    reach = 1
+    while reach < deep:
+        # all paths of up to ``reach`` steps, one after the other
+        further = every.select(F.col("node").alias("above"), F.col("above").alias("over"))
+        every = scratch.save(every.join(further, "above").select("node", F.col("over").alias("above")).distinct(), "paths", narrow=True)
+        reach *= 2
+    return every
 
 
 def node_members(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """``doc_id``, ``cluster_id`` of every node above a document, its deepest one included."""
-    parent = {r["cluster_id"]: r["parent_id"] for r in nodes.select("cluster_id", "parent_id").collect()}  # at most twice MAX_FEATURES
-    rows = []
-    for node in parent:
-        above = node
-        while above is not None:
-            rows.append((node, above))
-            above = parent[above]
-    paths = nodes.sparkSession.createDataFrame(rows, "deepest int, cluster_id int")
+    paths = ancestors(nodes).select(F.col("node").alias("deepest"), F.col("above").alias("cluster_id"))
     return members.withColumnRenamed("cluster_id", "deepest").join(paths, "deepest").select("doc_id", "cluster_id")
 
 

@@ -235,13 +235,20 @@ def node_similarities(vectors: DataFrame, nodes: DataFrame, members: DataFrame,
     return nodes.join(per, "cluster_id"), each.select("doc_id", "cluster_id", "similarity")
 
 
+def cut_hierarchy(nodes: DataFrame, min_similarity: float) -> DataFrame:
+    """``cluster_id`` of the highest nodes that are similar enough or have no children. ``nodes`` is a
+    result of ``node_similarities``; the cut is joins over the paths of the tree."""
+    done = nodes.where((F.col("cluster_similarity") >= min_similarity) | (F.size("children") == 0)).select("cluster_id")
+    paths = birch.ancestors(nodes).where("node <> above")
+    below = paths.join(done.withColumnRenamed("cluster_id", "above"), "above").select(F.col("node").alias("cluster_id")).distinct()
+    return done.join(below, "cluster_id", "left_anti")
+
+
 def sample_hierarchy(nodes: DataFrame, members: DataFrame, min_similarity: float, min_coverage: float) -> DataFrame:
-    """``optimal_sampling`` of a distributed hierarchy, for the results of ``node_similarities``:
-    ``cluster_id``, ``doc_id``, ``cluster_size``. Only the nodes reach the driver."""
-    rows = [r.asDict() for r in nodes.select("cluster_id", "children", "cluster_size", "cluster_similarity").orderBy("cluster_id").collect()]
-    cut = _cut(rows, min_similarity)
-    chosen = nodes.sparkSession.createDataFrame([(r["cluster_id"],) for r in cut], "cluster_id int")
-    return sample_clusters(members.join(chosen, "cluster_id", "left_semi"), min_coverage)
+    """The sample that a cut of a distributed hierarchy gives: of its clusters, largest first, until
+    more than a share of the documents is covered, the document nearest to the centroid.
+    ``cluster_id``, ``doc_id``, ``cluster_size``; for the results of ``node_similarities``."""
+    return sample_clusters(members.join(cut_hierarchy(nodes, min_similarity), "cluster_id", "left_semi"), min_coverage)
 
 
 def ward(vectors: np.ndarray, n_clusters: int) -> np.ndarray:

@@ -698,6 +698,33 @@ def birch(spark, d):
     return cluster.birch_clusters(_unit(spark, d), 0.6, n_clusters=10)[0]
 
 
+@query(f"WITH {_UNIT}, e AS (SELECT unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM u) SELECT i - 1 AS i, round(sum(x), 6) AS total, count(*) AS n FROM e GROUP BY i")
+def birch_sums(spark, d):
+    """Clustering features lose nothing: sizes and sums of all leaves are those of the rows."""
+    centers = birch_nodes.fit_distributed(_unit(spark, d), sim.euclidean_from_cosine(0.6))
+    parts = centers.select("size", F.posexplode("centroid").alias("i", "c"))
+    return parts.groupBy(F.col("i").cast("bigint").alias("i")).agg(F.round(F.sum(F.col("c") * F.col("size")), 6).alias("total"), F.sum("size").alias("n"))
+
+
+@query("SELECT true AS root_holds_all, true AS parents_hold_children, true AS every_document_once, true AS cut_holds_all_once, true AS sample_covers, count(*) AS n FROM embeddings")
+def hierarchy_sampling(spark, d):
+    """A hierarchy, its cut and the sample of it, by what must hold of them."""
+    v = _unit(spark, d)
+    nodes, members = birch_nodes.hierarchy(v, 0.8, 20)
+    nodes, each = cluster.node_similarities(v, nodes, members)
+    n = members.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+    root = nodes.where("parent_id is null").agg(F.sum("cluster_size").alias("held"))
+    kids = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("of")).agg(F.sum("cluster_size").alias("below"))
+    parents = nodes.join(kids, nodes["cluster_id"] == kids["of"]).agg(F.coalesce(F.bool_and(F.col("cluster_size") == F.col("below")), F.lit(True)).alias("equal"))
+    cut = each.join(cluster.cut_hierarchy(nodes, 0.5), "cluster_id", "left_semi").agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("cut"))
+    sample = cluster.sample_hierarchy(nodes, each, 0.5, 0.5).agg(F.sum("cluster_size").alias("covered"))
+    told = n.crossJoin(root).crossJoin(parents).crossJoin(cut).crossJoin(sample)  # one row each
+    return told.select(
+        (F.col("held") == F.col("n")).alias("root_holds_all"), F.col("equal").alias("parents_hold_children"), (F.col("n") == F.col("documents")).alias("every_document_once"),
+        ((F.col("rows") == F.col("n")) & (F.col("cut") == F.col("n"))).alias("cut_holds_all_once"), (F.col("covered") > 0.5 * F.col("n")).alias("sample_covers"), "n",
+    )
+
+
 @query()
 def birch_tree(spark, d):
     return birch_nodes.hierarchy(_unit(spark, d), 0.8, 20)[0]

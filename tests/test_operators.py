@@ -544,3 +544,35 @@ def test_blocks_are_left_out_only_where_they_cannot_hold_the_nearest(spark, monk
     assert {(r["doc_id"], r["category"]): (round(r["score"], 9), -r["nn_doc_id"]) for r in rows} == expected
     assert met[0][0] == 18 * 3 and met[1][0] < 0.6 * 18 * met[1][1]
     assert neighbors.nearest(v, v.limit(0)).count() == 0 and neighbors.nearest(v.limit(0), v).count() == 0
+
+
+def test_features_merge_within_bounds(spark, monkeypatch):
+    """Many partitions and a small bound: thresholds rise, and sums and sizes stay exact."""
+    monkeypatch.setattr(birch, "MAX_FEATURES", 12)
+    monkeypatch.setattr(birch, "FAN", 2)
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(300, 3))
+    leaves = birch.condensed(vectors(spark, m).repartition(7), 0.2, 4).collect()
+    assert len(leaves) <= 12 and len({r["part"] for r in leaves}) <= 7 and max(r["threshold"] for r in leaves) > 0.2
+    assert sum(r["n"] for r in leaves) == 300 and np.allclose(sum(np.array(r["ls"]) for r in leaves), m.sum(axis=0))
+    assert sum(r["ss"] for r in leaves) == pytest.approx((m**2).sum())
+    centers = birch.fit_distributed(vectors(spark, m).repartition(7), 0.2, 4, n_clusters=3).collect()
+    assert len(centers) == 3 and sum(r["size"] for r in centers) == 300
+    assert np.allclose(sum(r["size"] * np.array(r["centroid"]) for r in centers), m.sum(axis=0))
+    assert birch.fit_distributed(vectors(spark, m).limit(0)).count() == 0
+
+
+def test_paths_of_a_tree(spark):
+    parent = {0: None, 1: 0, 2: 0, 3: 1, 4: 3, 5: 4, 6: 5, 7: 6}
+    depth = {k: 0 for k in parent}
+    for k, p in parent.items():
+        depth[k] = 0 if p is None else depth[p] + 1
+    nodes = spark.createDataFrame([(k, p, depth[k]) for k, p in parent.items()], "cluster_id int, parent_id int, depth int")
+    expected = set()
+    for k in parent:
+        above = k
+        while above is not None:
+            expected.add((k, above))
+            above = parent[above]
+    rows = birch.ancestors(nodes).collect()
+    assert {(r["node"], r["above"]) for r in rows} == expected and len(rows) == len(expected)
