@@ -188,15 +188,16 @@ def _postings(docs: DataFrame, told: Broadcast[Queries]) -> DataFrame:
 
 def _heaps(postings: DataFrame, told: Broadcast[Queries], df: np.ndarray, documents: int, length: int, k: int) -> DataFrame:
     """``query``, ``doc_id``, ``score``: of each query the best ``k`` of each task."""
+    most_postings, most_docs = SHARD_POSTINGS, SHARD_DOCS
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, rows, size = [], 0, 0
         for b in batches:
             lengths = pc.fill_null(pc.list_value_length(b.column("term")), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.maximum(np.cumsum(lengths) // SHARD_POSTINGS, np.arange(1, len(lengths) + 1) // SHARD_DOCS))) + 1
+            cuts = np.flatnonzero(np.diff(np.maximum(np.cumsum(lengths) // most_postings, np.arange(1, len(lengths) + 1) // most_docs))) + 1
             for part in (b.slice(x, y - x) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True)):
                 more = len(part.column("term").flatten())
-                if held and (size + more > SHARD_POSTINGS or rows + part.num_rows > SHARD_DOCS):
+                if held and (size + more > most_postings or rows + part.num_rows > most_docs):
                     yield pa.Table.from_batches(held)
                     held, rows, size = [], 0, 0
                 held.append(part)

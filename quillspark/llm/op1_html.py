@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.batches import bounded
 
 FEED = 1 << 16
+#: Pieces of mark-up without an end that are read as text at the end of a page.
+UNFINISHED = 8
 SIGMA = 1.5
 
 BLOCKS = frozenset(
@@ -100,6 +102,7 @@ class PageLines(HTMLParser):
         self._open: Counter[str] = Counter()
         self._at = 0
         self._outside = self._headers = self._headings = self._links = self._leaves = 0
+        self._ending, self._unfinished = False, 0
         self._parts: list[str] = []
         self._link_chars = 0
         self._tags = 0
@@ -108,6 +111,33 @@ class PageLines(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
+    def check_for_whole_start_tag(self, i: int) -> int:
+        return super().check_for_whole_start_tag(i) if self.rawdata.find(">", i) >= 0 else -1
+
+    def _ended(self, end: int) -> int:
+        """The end of mark-up, or that of the page after too many pieces of mark-up without one: as
+        in a browser, an unfinished tag then takes the rest. Each costs a look at all that follows."""
+        if end < 0 and self._ending:
+            self._unfinished += 1
+            if self._unfinished > UNFINISHED:
+                return len(self.rawdata)
+        return end
+
+    def parse_starttag(self, i: int) -> int:
+        return self._ended(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._ended(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._ended(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._ended(super().parse_pi(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._ended(super().parse_html_declaration(i))
+
     def _flush(self) -> None:
         text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
@@ -215,7 +245,17 @@ class PageLines(HTMLParser):
             if self._links:
                 self._link_chars += len(data)
 
+    def take(self, html: str) -> None:
+        """The whole page, in pieces that at least double what is still unread."""
+        at = 0
+        while at < len(html):
+            size = max(FEED, len(self.rawdata))
+            self.feed(html[at : at + size])
+            at += size
+        self.close()
+
     def close(self) -> None:
+        self._ending = True
         super().close()
         self._flush()
         self._pop(0)
@@ -289,9 +329,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = PageLines()
-    for i in range(0, len(html), FEED):
-        page.feed(html[i : i + FEED])
-    page.close()
+    page.take(html)
     if not page.text:
         return ""
     return "\n".join(page.text[i] for i in np.flatnonzero(completed(page, *content(page))))

@@ -68,7 +68,7 @@ def test_search_in_small_shards_and_slices(spark, monkeypatch):
     for shard, sliced, stretch in ((2_000_000, 2_000_000, 64), (50, 40, 4)):
         monkeypatch.setattr(op11_wand, "SHARD_POSTINGS", shard)
         monkeypatch.setattr(op11_wand, "SLICE_ROWS", sliced)
-        monkeypatch.setattr(op11_wand, "STRETCH", stretch)
+        monkeypatch.setattr(op11_wand, "SHARD_DOCS", stretch * 128)
         found = op11_wand.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, text string"))
         assert ranks(found) == plain
 

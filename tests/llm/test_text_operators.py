@@ -4,6 +4,7 @@ import html as htmllib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,14 @@ def article(page):
     return "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("unit", ['<div class="x" ', "<a ", "<!-- x ", "</a ", "<?x ", "<!x ", "<a b='>'", '<a b="x>', "<div><b>", "<p><i>x", "<ul><li>x"])
+def test_malformed_long_pages_take_linear_time(unit):
+    body = "real text of the article " * 20
+    began = time.perf_counter()
+    text = op1_html.main_text(f"<article><p>{body}</p></article>{unit * (1_000_000 // len(unit))}")
+    assert " ".join(body.split()) in text and time.perf_counter() - began < 20
+
+
 def test_pages(spark, sf_dir):
     rows = {r["page_id"]: r for r in op1_html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
     for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
