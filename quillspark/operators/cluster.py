@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 from quillspark.functions import similarity as sim
 from quillspark.functions.porter import stem
 from quillspark.functions.stopwords import ENGLISH, GIVEN_NAMES, LABEL_EXTRA
-from quillspark.operators import birch
-from quillspark.operators.components import connected_components
+from quillspark.operators import birch, linkage
 from quillspark.operators.neighbors import centroids, nearest_centroid
 from quillspark.operators.running import running_sums
 from quillspark.plans.scratch import Scratch
@@ -99,22 +98,7 @@ def dbscan(vectors: DataFrame, min_similarity: float = 0.9, min_samples: int = 1
     A core point has ``min_samples`` points within reach, itself included. Components of
     core points are clusters; another point joins the least core point in reach.
     """
-    scratch = Scratch(vectors.sparkSession, "dbscan")
-    # equal vectors are one point that counts as often as it occurs, so copies make no pairs
-    rows = vectors.select("doc_id", F.col(vector).cast("array<double>").alias("vec")).withColumn("h", F.sha2(F.to_json("vec"), 256))
-    points = scratch.save(rows.groupBy("h").agg(F.min("doc_id").alias("point"), F.count("*").alias("n"), F.min_by("vec", "doc_id").alias("vec")), "points")
-    of_point = scratch.save(rows.select("doc_id", "h").join(points.select("h", "point"), "h").select("doc_id", "point"), "members", narrow=True)
-    pairs = scratch.save(within(points.select(F.col("point").alias("doc_id"), "vec"), sim.euclidean_from_cosine(min_similarity)), "pairs")
-    both = pairs.union(pairs.select("b", "a"))
-    weight = points.select(F.col("point").alias("b"), "n")
-    around = both.join(weight, "b").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("others"))
-    core = scratch.save(points.select("point", "n").join(around, "point", "left").where(F.coalesce("others", F.lit(0)) + F.col("n") >= min_samples).select("point"), "core", narrow=True)
-    is_core = lambda c: core.select(F.col("point").alias(c))
-    links = connected_components(pairs.join(is_core("a"), "a", "left_semi").join(is_core("b"), "b", "left_semi"), scratch)
-    core_label = scratch.save(core.join(links, F.col("point") == F.col("node"), "left").select("point", F.coalesce("label", "point").alias("cluster_id")), "labels", narrow=True)
-    border = both.join(core_label.withColumnRenamed("point", "b"), "b").groupBy(F.col("a").alias("point")).agg(F.min_by("cluster_id", "b").alias("joined"))
-    found = points.select("point").join(core_label, "point", "left").join(border, "point", "left").select("point", F.coalesce("cluster_id", "joined", F.lit(-1)).alias("cluster_id"))
-    return of_point.join(scratch.save(found, "found", narrow=True), "point").select("doc_id", "cluster_id")
+    return linkage.dbscan(vectors, sim.euclidean_from_cosine(min_similarity), min_samples, vector)
 
 
 def similarities(vectors: DataFrame, clusters: DataFrame, vector: str = "vec") -> DataFrame:

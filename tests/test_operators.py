@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import birch, categorize, cluster, duplicates, explain, features, index, lsi, metrics, nearest, neighbors, search, threads
+from quillspark.operators import birch, categorize, cluster, duplicates, explain, features, index, linkage, lsi, metrics, nearest, neighbors, search, threads
 from quillspark.operators.components import connected_components
 
 
@@ -576,3 +576,49 @@ def test_paths_of_a_tree(spark):
             above = parent[above]
     rows = birch.ancestors(nodes).collect()
     assert {(r["node"], r["above"]) for r in rows} == expected and len(rows) == len(expected)
+
+
+def plain_dbscan(m, reach, least):
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2)) <= reach
+    core = d.sum(1) >= least
+    label = np.full(len(m), -1)
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            todo, label[i] = [i], i
+            while todo:
+                k = todo.pop()
+                new = np.flatnonzero(d[k] & core & (label < 0))
+                label[new] = i
+                todo += new.tolist()
+    for i in np.flatnonzero(~core):
+        near = np.flatnonzero(d[i] & core)
+        if len(near):
+            label[i] = label[near[0]]
+    return dict(enumerate(label.tolist()))
+
+
+@pytest.mark.parametrize(("seed", "reach", "least", "block"), [(1, 0.25, 4, 1024), (2, 0.25, 4, 16), (3, 0.6, 12, 32), (4, 0.1, 2, 16), (5, 1.5, 30, 64)])
+def test_dbscan_against_a_plain_version(spark, monkeypatch, seed, reach, least, block):
+    monkeypatch.setattr(linkage, "BLOCK", block)
+    monkeypatch.setattr(linkage, "PIVOTS", 5)
+    rng = np.random.default_rng(seed)
+    m = np.concatenate([rng.normal(c, 0.15, (60, 2)) for c in ((0, 0), (1, 0), (0, 2))] + [rng.uniform(-2, 3, (60, 2)), np.zeros((9, 2))])
+    m = rng.permutation(m)
+    assert labels(linkage.dbscan(vectors(spark, m).repartition(3), reach, least)) == plain_dbscan(m, reach, least)
+
+
+def test_points_in_reach_of_each_other_make_few_links(spark):
+    """A dense group of m points is about a node a block, and none of its pairs is a row."""
+    from quillspark.plans.scratch import Scratch
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(0, 0.01, (3000, 3))
+    points = vectors(spark, m).select(F.col("doc_id").alias("point"), F.lit(1).cast("bigint").alias("n"), "vec")
+    scratch = Scratch(spark, "test")
+    cells = linkage._cells(points, 1.0, scratch)
+    balls = linkage._balls(cells, 1.0)
+    placed = cells.where("home").join(balls, "point").select("cell", "point", F.col("ball").alias("node"), "v")
+    links = linkage._compared(placed, cells.join(balls, "point").select("cell", "point", F.col("ball").alias("node"), "v"), 1.0, linkage._forest, "a long, b long")
+    assert links.count() < 3 * linkage.PIVOTS * linkage.PIVOTS
+    found = linkage.dbscan(vectors(spark, m), 1.0, 10)
+    assert {r["cluster_id"] for r in found.collect()} == {0}
