@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quillspark.operators.components import connected_components
 from quillspark.plans.scratch import Scratch
 
-PIVOTS = 64
+#: Cells at most, and blocks of points that a cell is for at least: fewer points need no cells.
+PIVOTS, BLOCKS_OF_CELL = 64, 4
 BLOCK = 1024
 #: Distances by a matrix product are this near; closer calls are settled by the difference.
 BLUR, EXACT = 1e-9, 1e-12
@@ -52,9 +53,10 @@ def _near(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
     return near
 
 
-def _cells(points: DataFrame, reach: float, scratch: Scratch) -> DataFrame:
+def _cells(points: DataFrame, n: int, reach: float, scratch: Scratch) -> DataFrame:
     """``cell``, ``home``, ``point``, ``n``, ``v``: every point in each cell that it lives in or visits."""
-    chosen = points.orderBy(F.xxhash64("point"), "point").limit(PIVOTS).select("vec").collect()
+    n_pivots = max(1, min(PIVOTS, n // (BLOCKS_OF_CELL * BLOCK)))
+    chosen = points.orderBy(F.xxhash64("point"), "point").limit(n_pivots).select("vec").collect()
     pivots = np.array([r["vec"] for r in chosen], float)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +162,10 @@ def dbscan(vectors: DataFrame, reach: float, min_samples: int = 10, vector: str
     known = rows.where("vec is not null")
     points = scratch.save(known.groupBy("h").agg(F.min("doc_id").alias("point"), F.count("*").alias("n"), F.min_by("vec", "doc_id").alias("vec")), "points")
     of_point = scratch.save(rows.select("doc_id", "h").join(points.select("h", "point"), "h", "left").select("doc_id", "point"), "members")
-    if points.isEmpty():
+    n = points.count()
+    if not n:
         return rows.select("doc_id", F.lit(-1).cast(kind).alias("cluster_id"))
-    cells = _cells(points, reach, scratch)
+    cells = _cells(points, n, reach, scratch)
     balls = scratch.save(_balls(cells, reach), "balls")
 
     few = balls.where(F.col("held") < min_samples).select("point")

@@ -600,7 +600,7 @@ def plain_dbscan(m, reach, least):
 @pytest.mark.parametrize(("seed", "reach", "least", "block"), [(1, 0.25, 4, 1024), (2, 0.25, 4, 16), (3, 0.6, 12, 32), (4, 0.1, 2, 16), (5, 1.5, 30, 64)])
 def test_dbscan_against_a_plain_version(spark, monkeypatch, seed, reach, least, block):
     monkeypatch.setattr(linkage, "BLOCK", block)
-    monkeypatch.setattr(linkage, "PIVOTS", 5)
+    monkeypatch.setattr(linkage, "BLOCKS_OF_CELL", 1)
     rng = np.random.default_rng(seed)
     m = np.concatenate([rng.normal(c, 0.15, (60, 2)) for c in ((0, 0), (1, 0), (0, 2))] + [rng.uniform(-2, 3, (60, 2)), np.zeros((9, 2))])
     m = rng.permutation(m)
@@ -615,7 +615,7 @@ def test_points_in_reach_of_each_other_make_few_links(spark):
     m = rng.normal(0, 0.01, (3000, 3))
     points = vectors(spark, m).select(F.col("doc_id").alias("point"), F.lit(1).cast("bigint").alias("n"), "vec")
     scratch = Scratch(spark, "test")
-    cells = linkage._cells(points, 1.0, scratch)
+    cells = linkage._cells(points, 64 * 4 * 1024, 1.0, scratch)
     balls = linkage._balls(cells, 1.0)
     placed = cells.where("home").join(balls, "point").select("cell", "point", F.col("ball").alias("node"), "v")
     links = linkage._compared(placed, cells.join(balls, "point").select("cell", "point", F.col("ball").alias("node"), "v"), 1.0, linkage._forest, "a long, b long")
