@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.similarity import expit
 from quillspark.operators import neighbors
 from quillspark.operators.lsi import LsiModel
+from quillspark.operators.lsi_blocks import BlockModel
 
 METHODS = ("LinearSVC", "LogisticRegression", "xgboost", "NearestCentroid", "NearestNeighbor")
 FOLDS = 3
@@ -116,14 +117,13 @@ def training_scores(model: Categorizer, data: DataFrame, vector: str = "vec") ->
     return micro_scores(data.select("doc_id", F.col("category").cast("string").alias("y_true")).join(best, "doc_id"))
 
 
-def term_coefficients(model: Categorizer, space: LsiModel, category: str) -> DataFrame:
+def term_coefficients(model: Categorizer, space: LsiModel | BlockModel, category: str) -> DataFrame:
     """``term``, ``coefficient`` of a fitted linear model over semantic vectors, back in term space:
     the model's decision on the vector of a document before it is normalized is the sum of term
     weights times these, and the intercept."""
     fitted = dict(model.model)[category]
-    values = space.v / space.sigma @ fitted.coefficients.toArray()
-    rows = space.terms.sparkSession.createDataFrame(((i, float(v)) for i, v in enumerate(values)), "idx bigint, coefficient double")  # as many as the model has terms
-    return space.terms.join(rows, "idx").select("term", "coefficient")
+    own = (fitted.coefficients.toArray() / space.sigma).tolist()  # components, not terms
+    return space.to_terms(space.terms.sparkSession.createDataFrame([(0, own)], "doc_id bigint, vec array<double>")).select("term", F.col("weight").alias("coefficient"))
 
 
 def sensitivity(weights: DataFrame, coefficients: DataFrame) -> DataFrame:

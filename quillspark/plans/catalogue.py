@@ -19,6 +19,9 @@ from quillspark.functions import weighting as wt
 from quillspark.functions.stopwords import ENGLISH
 from quillspark.operators import birch as birch_nodes
 from quillspark.operators import categorize, cluster, duplicates, explain, features, index, lsi, metrics, neighbors, search, threads, topk
+from quillspark.plans.ingest_log import IngestLog
+from quillspark.plans.scratch import Scratch
+from quillspark.plans.store import Store
 from quillspark.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,6 +425,24 @@ def batches_united(spark, d):
     return docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+@query(
+    "WITH b AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS batch FROM documents)"
+    " SELECT doc_id, batch, row_number() OVER (ORDER BY batch, doc_id) - 1 AS internal_id, (SELECT count(*) FROM b x WHERE x.batch < b.batch) AS batch_offset FROM b"
+)
+def ingest_batches(spark, d):
+    """Three batches, of which the last comes first, the second is killed before its record is written
+    and sent again, and the first is sent twice."""
+    docs = _docs(spark, d).withColumn("of", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2))
+    parts = [docs.where(F.col("of") == k).drop("of") for k in range(3)]
+    store = Store(spark, Scratch(spark, "ingest").path("store"))
+    log = IngestLog(store, store.create("vectorizer", {}))
+    log.add(2, parts[2])
+    log._write(1, parts[1].where("n_chars < 1000"))  # and no record
+    for k in (0, 1, 0):
+        log.add(k, parts[k])
+    return log.documents().join(log.batches(), "batch").select("doc_id", "batch", "internal_id", F.col("offset").alias("batch_offset"))
+
+
 # Metrics
 
 _JUDGED = "r AS (SELECT l.doc_id, l.quality AS y_true, d.n_chars::DOUBLE AS score, (d.n_chars > 1500)::INT AS y_pred FROM labels l JOIN documents d USING (doc_id))"
@@ -755,6 +776,33 @@ def lsi_vectors(spark, d):
     return lsi.fit(x, docs.count(), 20).transform(x)
 
 
+@query("SELECT unnest(range(20)) AS component, 1.0::DOUBLE AS length, 0.0::DOUBLE AS overlap")
+def lsi_components(spark, d):
+    """Documents in semantic space before they are scaled to length one: over all documents each
+    component has length 1 and none overlaps with another."""
+    docs = _docs(spark, d)
+    x = features.weights(docs, VECTOR_TERMS).persist()
+    rows = lsi.fit(x, docs.count(), 20).transform(x, normalize=False)
+    parts = rows.select("doc_id", F.col("vec").alias("v"), F.posexplode("vec").alias("component", "c"))
+    products = parts.select("component", F.posexplode(F.transform("v", lambda y: y * F.col("c"))).alias("other", "p")).groupBy("component", "other").agg(F.sum("p").alias("p"))
+    own, least = F.col("component") == F.col("other"), F.when(F.col("component") != F.col("other"), F.abs("p"))
+    told = products.groupBy(F.col("component").cast("bigint").alias("component")).agg(F.round(F.max(F.when(own, F.sqrt("p"))), 6).alias("length"), F.round(F.max(least), 5).alias("overlap"))
+    x.unpersist()
+    return told
+
+
+@query("SELECT count(*) AS n_groups, 0::BIGINT AS n_split FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+def duplicates_dbscan(spark, d):
+    """Duplicates by density in semantic space. What must hold of them: copies share a cluster."""
+    docs = _docs(spark, d)
+    x = features.weights(docs, VECTOR_TERMS).persist()
+    found = cluster.dbscan(lsi.fit(x, docs.count(), 20).transform(x), 0.95, 2)
+    x.unpersist()
+    # a document without a known term has no vector, and so no cluster
+    told = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(found, "doc_id", "left").groupBy("h").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("cluster_id", F.lit(-1))).alias("clusters"))
+    return told.where("n > 1").agg(F.count("*").alias("n_groups"), F.count_if(F.col("clusters") > 1).alias("n_split"))
+
+
 @query()
 def categorize_logistic(spark, d):
     v = _vectors(spark, d)

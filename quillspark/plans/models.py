@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.categorize import Categorizer
 from quillspark.operators.features import FeatureModel, FeatureParams
+from quillspark.operators import lsi
 from quillspark.operators.lsi import LsiModel
+from quillspark.operators.lsi_blocks import BlockModel
 from quillspark.plans.store import Step, Store
 
 _FITTED = {"LogisticRegression": LogisticRegressionModel, "LinearSVC": LinearSVCModel, "xgboost": GBTClassificationModel}
@@ -34,18 +36,25 @@ def load_features(store: Store, step: Step) -> FeatureModel:
     return FeatureModel(FeatureParams(**given), store.read(step, "vocabulary"), saved["n_docs"], saved["pivot"])
 
 
-def save_lsi(store: Store, model: LsiModel, parent: Step, id: str | None = None, mode: str = "w") -> Step:
+def save_lsi(store: Store, model: LsiModel | BlockModel, parent: Step, id: str | None = None, mode: str = "w") -> Step:
     """Singular values and the loadings of each term, a row per term."""
     step = store.create("lsi", {"sigma": model.sigma.tolist(), "explained_variance": model.explained_variance}, parent, id, mode)
-    rows = store.spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(model.v)), "idx bigint, v array<double>")
+    if isinstance(model, BlockModel):
+        rows = model.v.select("idx", F.col("vec").alias("v"))
+    else:
+        rows = store.spark.createDataFrame(((i, v.tolist()) for i, v in enumerate(model.v)), "idx bigint, v array<double>")
     store.write(step, "terms", model.terms.select("term", "idx").join(rows, "idx"))
     return step
 
 
-def load_lsi(store: Store, step: Step) -> LsiModel:
+def load_lsi(store: Store, step: Step) -> LsiModel | BlockModel:
+    """A model as it was saved; loadings that are too many for a task stay a table."""
     saved, terms = store.params(step), store.read(step, "terms")
-    rows = terms.select("idx", "v").orderBy("idx").collect()  # terms x components, checked when it was fitted
-    return LsiModel(terms.select("term", "idx"), np.array([r["v"] for r in rows]), np.array(saved["sigma"]), saved["explained_variance"])
+    sigma = np.array(saved["sigma"])
+    if terms.count() * len(sigma) > lsi.MAX_VALUES:
+        return BlockModel(terms.select("term", "idx"), terms.select("idx", F.col("v").alias("vec")), sigma, saved["explained_variance"])
+    rows = terms.select("idx", "v").orderBy("idx").collect()  # at most lsi.MAX_VALUES numbers
+    return LsiModel(terms.select("term", "idx"), np.array([r["v"] for r in rows]), sigma, saved["explained_variance"])
 
 
 def save_categorizer(store: Store, model: Categorizer, parent: Step, id: str | None = None, mode: str = "w") -> Step:
