@@ -23,6 +23,7 @@ from quillspark.plans.ingest_log import IngestLog
 from quillspark.plans.scratch import Scratch
 from quillspark.plans.store import Store
 from quillspark.plans.tables import table
+from quillspark.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -425,6 +426,14 @@ def batches_united(spark, d):
     return docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id AS document_id, trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS text FROM documents")
+def tagged_text(spark, d):
+    """The documents as files of tagged blocks, read back record by record."""
+    path = Scratch(spark, "tagged").path("files")
+    _docs(spark, d).select(F.concat(F.lit(".I "), F.col("doc_id").cast("string"), F.lit("\n.W\n"), "text").alias("value")).write.text(path)
+    return files.read_tagged(spark, path)
+
+
 @query(
     "WITH b AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS batch FROM documents)"
     " SELECT doc_id, batch, row_number() OVER (ORDER BY batch, doc_id) - 1 AS internal_id, (SELECT count(*) FROM b x WHERE x.batch < b.batch) AS batch_offset FROM b"

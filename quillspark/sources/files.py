@@ -69,12 +69,16 @@ def read_csv(spark: SparkSession, path: str, column_ids: Sequence[int], separato
 
 
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
-    """``document_id``, ``text`` of a file of ``.I <id>`` and ``.W`` blocks; lines of a block are
-    joined by a space. The file must begin with a tag."""
-    whole = spark.read.text(path, wholetext=True)
-    if not whole.where(~F.col("value").rlike(r"^\s*\.[A-Z]\b")).isEmpty():
+    """``document_id``, ``text`` of files of ``.I <id>`` and ``.W`` blocks; lines of a block are
+    joined by a space. A file must begin with a tag. Blocks are the records of the scan, so a large
+    file is read by many tasks and a task holds a block at a time."""
+    read = spark.read.option("lineSep", "\n.I ").text(path)
+    records = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = records.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("value"))  # a record per file
+    if not first.where(~F.col("value").rlike(r"^\s*\.[A-Z]\b")).isEmpty():
         raise ValueError("the file does not begin with a tag")
-    blocks = whole.select(F.explode(F.split("value", r"(?m)^\.I ")).alias("b")).where(F.trim("b") != "")
+    # the scan has taken the tag of all records but the first; what stands before the first block is none
+    blocks = records.where(~F.col("value").rlike(r"^\s*\.[A-HJ-Z]\b")).select(F.regexp_replace("value", r"^\s*\.I ", "").alias("b")).where(F.trim("b") != "")
     parts = F.split("b", r"(?m)^\.W\s*$")
     body = F.trim(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s*\n\s*", " "))
     return blocks.select(F.trim(F.regexp_extract("b", r"^\s*(\S+)", 1)).cast("bigint").alias("document_id"), body.alias("text"))

@@ -133,3 +133,21 @@ def test_models_come_back(spark, sf_dir, tmp_path):
     for table, of in (("features", step), ("vectors", child)):
         assert not store.read(of, table).isEmpty() and store.read(of, table).where("doc_id % 2 = 0").isEmpty()
     assert not store.children(child)
+
+
+def test_a_tagged_file_is_read_by_many_tasks(spark, tmp_path):
+    """Blocks over the borders of splits are read once and whole."""
+    blocks = {i: [f"word{i * k} line {k}" for k in range(i % 7)] for i in range(3000)}
+    (tmp_path / "big").write_text("\n".join(f".I {i}\n.W\n" + "\n".join(x) for i, x in blocks.items()) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(f"{tmp_path}/big").rdd.getNumPartitions() > 20
+        rows = files.read_tagged(spark, f"{tmp_path}/big").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["document_id"]: r["text"] for r in rows} == {i: " ".join(x) for i, x in blocks.items()} and len(rows) == 3000
+    (tmp_path / "prelude").write_text(".X\nfirst\n.I 4\n.W\nbody\n")
+    assert [tuple(r) for r in files.read_tagged(spark, f"{tmp_path}/prelude").collect()] == [(4, "body")]
