@@ -117,13 +117,19 @@ def training_scores(model: Categorizer, data: DataFrame, vector: str = "vec") ->
     return micro_scores(data.select("doc_id", F.col("category").cast("string").alias("y_true")).join(best, "doc_id"))
 
 
+def coefficients(model: Categorizer, space: LsiModel | BlockModel) -> DataFrame:
+    """``category``, ``term``, ``coefficient`` of fitted linear models over semantic vectors, back in
+    term space: a model's decision on the vector of a document before it is normalized is the sum
+    of term weights times these, and the intercept."""
+    rows = [(c, (fitted.coefficients.toArray() / space.sigma).tolist()) for c, fitted in model.model]  # components, not terms
+    told = space.to_terms(space.terms.sparkSession.createDataFrame(rows, "category string, vec array<double>"), key="category")
+    return told.select("category", "term", F.col("weight").alias("coefficient"))
+
+
 def term_coefficients(model: Categorizer, space: LsiModel | BlockModel, category: str) -> DataFrame:
-    """``term``, ``coefficient`` of a fitted linear model over semantic vectors, back in term space:
-    the model's decision on the vector of a document before it is normalized is the sum of term
-    weights times these, and the intercept."""
-    fitted = dict(model.model)[category]
-    own = (fitted.coefficients.toArray() / space.sigma).tolist()  # components, not terms
-    return space.to_terms(space.terms.sparkSession.createDataFrame([(0, own)], "doc_id bigint, vec array<double>")).select("term", F.col("weight").alias("coefficient"))
+    """``term``, ``coefficient`` of one category."""
+    own = Categorizer(model.method, [category], [m for m in model.model if m[0] == category])
+    return coefficients(own, space).drop("category")
 
 
 def sensitivity(weights: DataFrame, coefficients: DataFrame) -> DataFrame:

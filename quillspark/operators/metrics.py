@@ -78,6 +78,22 @@ def categorization_score(rows: DataFrame, truth: str = "y_true", score: str = "s
     return base | roc_auc(rows, truth, score).first().asDict() | average_precision(rows, truth, score).first().asDict() | {"recall_at_20p": recall_at_k(rows, 0.2, truth, score).first()[0]}
 
 
+def response_scores(truth: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of metrics of a categorization's answer: ``truth`` has doc_id and category, ``best``
+    doc_id, the best category of each and its score. Of two categories the second by name is the
+    positive one, and a score for the other counts with its sign turned; otherwise scores are
+    micro-averaged and the rank metrics are NaN. Without rows every value is null."""
+    both = truth.select("doc_id", F.col("category").alias("t")).join(best.select("doc_id", F.col("category").alias("p"), "score"), "doc_id")
+    classes = [r[0] for r in truth.select("category").distinct().orderBy("category").limit(3).collect()]
+    if len(classes) != 2:
+        base = micro_scores(both.select(F.col("t").alias("y_true"), F.col("p").alias("y_pred")))
+        return base.withColumns({n: F.lit(math.nan) for n in ("roc_auc", "average_precision", "recall_at_20p")})
+    hit, told = (F.col(c) == classes[1] for c in ("t", "p"))
+    rows = both.select("doc_id", hit.cast("int").alias("y_true"), told.cast("int").alias("y_pred"), F.when(told, F.col("score")).otherwise(-F.col("score")).alias("score"))
+    ranks = recall_at_k(rows, 0.2).withColumnRenamed("recall_at_k", "recall_at_20p")
+    return precision_recall_f1(rows).crossJoin(roc_auc(rows)).crossJoin(average_precision(rows)).crossJoin(ranks)  # one row each
+
+
 def contingency(rows: DataFrame, a: str = "y_true", b: str = "y_pred") -> DataFrame:
     return rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 

@@ -500,6 +500,22 @@ def metric_recall_at_k(spark, d):
     return metrics.recall_at_k(_judged(spark, d), 0.2).select(*_rounded("recall_at_k"))
 
 
+@query(
+    "WITH r AS (SELECT l.doc_id, l.quality AS y_true, (d.n_chars > 1500)::INT AS y_pred, (d.n_chars - 1500)::DOUBLE / 1000 AS score FROM labels l JOIN documents d USING (doc_id)),"
+    " a AS (SELECT sum((y_true = 1 AND y_pred = 1)::INT) AS tp, sum((y_true = 0 AND y_pred = 1)::INT) AS fp, sum((y_true = 1 AND y_pred = 0)::INT) AS fn FROM r),"
+    " k AS (SELECT y_true, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM r),"
+    " u AS (SELECT (sum(rk) FILTER (WHERE y_true = 1) - count(*) FILTER (WHERE y_true = 1) * (count(*) FILTER (WHERE y_true = 1) + 1) / 2) / (count(*) FILTER (WHERE y_true = 1) * count(*) FILTER (WHERE y_true <> 1)) AS roc_auc FROM k),"
+    " c AS (SELECT y_true, sum((y_true = 1)::INT) OVER w AS tp, count(*) OVER w AS n FROM r WINDOW w AS (ORDER BY score DESC)),"
+    " p AS (SELECT sum(tp / n) FILTER (WHERE y_true = 1) / count(*) FILTER (WHERE y_true = 1) AS average_precision FROM c)"
+    " SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision FROM a, u, p"
+)
+def metric_response(spark, d):
+    """Metrics of an answer that tells the best category and its score; long texts stand for quality 1."""
+    truth = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("category"))
+    best = _docs(spark, d).select("doc_id", (F.col("n_chars") > 1500).cast("int").cast("string").alias("category"), (F.abs(F.col("n_chars") - 1500) / 1000).alias("score"))
+    return metrics.response_scores(truth, best).select(*_rounded("precision", "recall", "f1", "roc_auc", "average_precision"))
+
+
 @query(
     f"WITH {_GROUPED}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ab, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS sa,"
     " (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS sb, (SELECT sum(n) FROM c) AS t)"
@@ -831,6 +847,24 @@ def sensitivity(spark, d):
     return categorize.sensitivity(x, c).select("doc_id", "term", *_rounded("contribution"))
 
 
+@query("SELECT DISTINCT lang AS category, 0.0::DOUBLE AS difference FROM documents")
+def sensitivity_fitted(spark, d):
+    """What each term of a document adds to the decision of a model over semantic vectors; with the
+    intercept these are the decision itself."""
+    docs = _docs(spark, d)
+    x = features.weights(docs, VECTOR_TERMS).persist()
+    space = lsi.fit(x, docs.count(), 20)
+    vectors = space.transform(x, normalize=False)
+    model = categorize.train(vectors.join(docs.select("doc_id", F.col("lang").alias("category")), "doc_id"), "LogisticRegression")
+
+    told = x.join(categorize.coefficients(model, space), "term").groupBy("doc_id", "category").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("told"))
+    each = [F.struct(F.lit(c).alias("category"), F.array(*[F.lit(float(v)) for v in fitted.coefficients.toArray()]).alias("w")) for c, fitted in model.model]
+    decision = F.aggregate(F.zip_with("vec", F.col("m.w"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    decided = vectors.select("doc_id", "vec", F.explode(F.array(*each)).alias("m")).select("doc_id", "m.category", decision.alias("decision"))
+    gap = F.max(F.abs(F.col("decision") - F.coalesce("told", F.lit(float("inf")))))
+    return decided.join(told, ["doc_id", "category"], "left").groupBy("category").agg(F.round(gap, 6).alias("difference"))
+
+
 @query()
 def highlighted(spark, d):
     return _docs(spark, d).select("doc_id", explain.highlighted(F.col("text"), {"license": 1.0, "the": -0.4}).alias("html"))

@@ -622,3 +622,61 @@ def test_points_in_reach_of_each_other_make_few_links(spark):
     assert links.count() < 3 * linkage.PIVOTS * linkage.PIVOTS
     found = linkage.dbscan(vectors(spark, m), 1.0, 10)
     assert {r["cluster_id"] for r in found.collect()} == {0}
+
+
+def test_answers_in_the_order_of_one_category(spark):
+    rows = [(1, "a", 0.9), (1, "b", 0.1), (2, "a", 0.2), (2, "b", 0.8), (3, "a", 0.5), (3, "b", 0.4)]
+    scores = spark.createDataFrame(rows, "doc_id long, category string, score double")
+    told = lambda **k: [(r["doc_id"], round(r["best"], 9), [s["category"] for s in r["scores"]]) for r in categorize.shape(scores, **k).collect()]
+    assert told() == [(1, 0.9, ["a"]), (2, 0.8, ["b"]), (3, 0.5, ["a"])]
+    assert told(sort_by="b") == [(2, 0.8, ["b"]), (3, 0.4, ["a"]), (1, 0.1, ["a"])]
+    assert told(max_categories=2, sort_by="a", min_score=0.3) == [(1, 0.9, ["a", "b"]), (3, 0.5, ["a", "b"])]
+
+
+def test_centroid_ranker_tells_the_least_distance(spark):
+    v = vectors(spark, [(0, 0), (0, 2), (4, 0)])
+    centers = spark.createDataFrame([("x", [0.0, 0.0]), ("y", [4.0, 1.0])], "category string, centroid array<double>")
+    got = {r["doc_id"]: (r["decision"], r["score"]) for r in neighbors.centroid_score(v, centers).collect()}
+    assert got == {i: (d, pytest.approx(1 / (1 + np.exp(-d)))) for i, d in ((0, 0.0), (1, 2.0), (2, 1.0))}
+
+
+def test_scores_of_an_answer(spark):
+    """The second category by name is positive; scores for the first count with their sign turned."""
+    truth = [(1, "ham"), (2, "spam"), (3, "spam"), (4, "ham"), (5, "spam")]
+    best = [(1, "ham", 0.9), (2, "spam", 0.8), (3, "ham", 0.1), (4, "spam", 0.3), (5, "spam", 0.6)]
+    frames = spark.createDataFrame(truth, "doc_id long, category string"), spark.createDataFrame(best, "doc_id long, category string, score double")
+    row = metrics.response_scores(*frames).first()
+    # signed: 2: 0.8, 5: 0.6, 4: 0.3, 3: -0.1, 1: -0.9
+    assert row["precision"] == pytest.approx(2 / 3) and row["recall"] == pytest.approx(2 / 3) and row["roc_auc"] == pytest.approx(5 / 6)
+    assert row["average_precision"] == pytest.approx((1 + 1 + 3 / 4) / 3)
+    three = metrics.response_scores(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, category string"), frames[1].withColumn("category", F.lit("a"))).first()
+    assert three["precision"] == pytest.approx(1 / 3) and np.isnan(three["roc_auc"])
+
+
+def test_coefficients_over_a_table_model(spark, sf_dir, monkeypatch, tmp_path):
+    """A model whose loadings are a table explains, is stored and comes back as one of the driver's."""
+    from quillspark.plans import models
+    from quillspark.plans.store import Store
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 4 = 0")
+    x = features.weights(docs, features.FeatureParams(min_df=3, max_df=0.5, n_features=200, weighting="ltc")).persist()
+    monkeypatch.setattr(lsi, "MAX_VALUES", 10)
+    space = lsi.fit(x, docs.count(), 5)
+    vec = space.transform(x, normalize=False)
+    model = categorize.train(vec.join(docs.select("doc_id", F.col("lang").alias("category")), "doc_id"), "LogisticRegression")
+    name, fitted = model.model[0]
+    told = categorize.sensitivity(x, categorize.term_coefficients(model, space, name)).groupBy("doc_id").agg(F.sum("contribution").alias("s"))
+    told = {r["doc_id"]: r["s"] for r in told.collect()}
+    decided = {r["doc_id"]: float(np.dot(r["vec"], fitted.coefficients.toArray())) for r in vec.collect()}
+    assert decided.keys() == told.keys() and all(abs(decided[d] - told[d]) < 1e-8 for d in told)
+    store = Store(spark, str(tmp_path / "store"))
+    parent = store.create("vectorizer", {})
+    step = models.save_lsi(store, space, parent)
+    again = {r["doc_id"]: r["vec"] for r in models.load_lsi(store, step).transform(x, normalize=False).collect()}
+    monkeypatch.setattr(lsi, "MAX_VALUES", 10_000_000)
+    held = models.load_lsi(store, step)
+    assert isinstance(held, lsi.LsiModel)
+    here = {r["doc_id"]: r["vec"] for r in held.transform(x, normalize=False).collect()}
+    before = {r["doc_id"]: r["vec"] for r in vec.collect()}
+    assert all(np.allclose(again[d], before[d]) and np.allclose(here[d], before[d]) for d in before) and len(again) == len(here) == len(before)
+    x.unpersist()
