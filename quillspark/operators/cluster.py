@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quillspark.functions import similarity as sim
 from quillspark.functions.porter import stem
 from quillspark.functions.stopwords import ENGLISH, GIVEN_NAMES, LABEL_EXTRA
-from quillspark.operators import birch, linkage
+from quillspark.operators import birch, features, linkage
 from quillspark.operators.neighbors import centroids, nearest_centroid
 from quillspark.operators.running import running_sums
 from quillspark.plans.scratch import Scratch
@@ -114,18 +114,26 @@ def similarities(vectors: DataFrame, clusters: DataFrame, vector: str = "vec") -
 
 def sparse_centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     """``cluster_id``, ``term``, ``weight``: mean weights over all documents of the cluster."""
+    return _centroids(weights, clusters).drop("postings")
+
+
+def _centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    sums = weights.join(clusters, "doc_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("s"))
-    return sums.join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("weight"))
+    # the ids are the hashed side, so that the weights are not sorted
+    sums = weights.join(clusters.hint("shuffle_hash"), "doc_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("s"), F.count("*").alias("postings"))
+    return sums.join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("weight"), "postings")
 
 
 def sparse_similarities(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     """The same as ``similarities`` over long tables; documents without terms have none."""
-    rows = weights.join(clusters, "doc_id").select("doc_id", "cluster_id", "term", "weight")
-    centers = sparse_centroids(weights, clusters).withColumnRenamed("weight", "m")
+    scratch = Scratch(weights.sparkSession, "sparse")
+    rows = weights.join(clusters.hint("shuffle_hash"), "doc_id").select("doc_id", "cluster_id", "term", "weight")
+    centers = scratch.save(_centroids(weights, clusters).withColumnRenamed("weight", "m"), "centers")
     c_norm = centers.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("c_norm"))
-    dots = rows.join(centers, ["cluster_id", "term"]).groupBy("doc_id", "cluster_id").agg(F.sum(F.col("weight") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    met = features.looked_up(rows, centers, ["cluster_id", "term"], "postings")
+    dots = met.groupBy("doc_id", "cluster_id").agg(F.sum(F.col("weight") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     one = dots.join(c_norm, "cluster_id").select("doc_id", "cluster_id", (F.col("dot") / F.nullif(F.col("norm") * F.col("c_norm"), F.lit(0.0))).alias("similarity"))
+    one = scratch.save(one, "rows")
     per = one.groupBy("cluster_id").agg(F.avg("similarity").alias("cluster_similarity"), F.count("*").alias("cluster_size"))
     return one.join(per, "cluster_id").select("doc_id", "cluster_id", "similarity", "cluster_similarity", "cluster_size")
 
