@@ -72,3 +72,25 @@ def test_sparse_similarities_by_rare_terms(spark, monkeypatch, head):
     monkeypatch.setattr(features, "HEAD", head)
     got = cluster.sparse_similarities(x, clusters).collect()
     assert len(got) == len(plain) and all((r["cluster_id"], r["similarity"], r["cluster_similarity"], r["cluster_size"]) == plain[r["doc_id"]] for r in got)
+
+
+def test_scores_on_the_bound_are_those_of_the_sql(spark, tmp_path):
+    """Cosines of 1/20, by one or two common words of documents whose norms multiply to 20 or 40."""
+    texts, k = {}, 0
+    for common in (1, 2):
+        square = (20 * common) ** 2
+        for a in range(common, square + 1):
+            b = square // a
+            if a * b == square and a != b and common <= min(a, b) and max(a, b) <= 400:
+                k += 1
+                of = lambda side, n: " ".join([f"k{k}c{i}" for i in range(common)] + [f"k{k}{side}{i}" for i in range(n - common)])  # noqa: B023, E731
+                texts |= {100 * k: of("x", a), 100 * k + 1: of("y", b)}
+    assert math.isclose(k, 20, abs_tol=20) and k > 5
+    d = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{d}/documents.parquet")
+    import duckdb
+
+    frames = {"documents": duckdb.connect().sql(f"SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')").df()}
+    columns, told = sql_rows(catalogue.ORACLES["search_document_all"], frames=frames)
+    assert_same(catalogue.QUERIES["search_document_all"](spark, d), columns, told)
