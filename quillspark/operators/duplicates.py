@@ -16,12 +16,13 @@ from quillspark.plans.scratch import Scratch
 BITS = 64
 
 
-def simhash(terms: DataFrame, hashed: Column | None = None, bits: int = BITS) -> DataFrame:
+def simhash(terms: DataFrame, hashed: Column | None = None, bits: int = BITS, distinct: bool = False) -> DataFrame:
     """``doc_id``, ``simhash``: a majority vote of the bits of the hashes of a document's
     distinct terms. ``terms`` has doc_id, term; weights do not count. One aggregation with
-    partial sums per bit."""
+    partial sums per bit. ``distinct`` tells that no document has a term twice."""
     h = F.xxhash64("term") if hashed is None else hashed
-    rows = terms.select("doc_id", "term").distinct().select("doc_id", h.alias("h"))
+    rows = terms.select("doc_id", "term")
+    rows = (rows if distinct else rows.distinct()).select("doc_id", h.alias("h"))
     votes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(bits)]
     value = reduce(lambda x, b: x.bitwiseOR(F.shiftleft((F.col(f"b{b}") > 0).cast("long"), b)), range(bits), F.lit(0).cast("long"))
     return rows.groupBy("doc_id").agg(*votes).select("doc_id", value.alias("simhash"))
@@ -48,7 +49,9 @@ def hamming_pairs(hashes: DataFrame, distance: int = 1, bits: int = BITS, scratc
     of = lambda chosen: sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen)
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("v").bitwiseAND(F.lit(signed(of(chosen))).cast("long")).alias("x")) for k, chosen in enumerate(tables)])
-    dealt = hashes.select(F.col("simhash").alias("v")).distinct().select("v", F.explode(keys).alias("key")).select("v", "key.k", "key.x")
+    # written, so that the texts are read and hashed once and the sizes of what is joined are known
+    values = (scratch or Scratch(hashes.sparkSession, "hamming")).save(hashes.select(F.col("simhash").alias("v")).distinct(), "distinct", narrow=True)
+    dealt = values.select("v", F.explode(keys).alias("key")).select("v", "key.k", "key.x")
     left, right = dealt.withColumnRenamed("v", "a"), dealt.withColumnRenamed("v", "b")
     d = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     return left.join(right, ["k", "x"]).where("a < b").select("a", "b", d.cast("int").alias("distance")).where(F.col("distance") <= distance).distinct()
@@ -58,7 +61,7 @@ def simhash_clusters(hashes: DataFrame, distance: int = 1, bits: int = BITS) ->
     """``doc_id``, ``cluster_id`` (least doc_id): components of values within the distance."""
     scratch = Scratch(hashes.sparkSession, "simhash")
     values = scratch.save(hashes.groupBy("simhash").agg(F.min("doc_id").alias("rep")), "values")
-    pairs = hamming_pairs(values, distance, bits)
+    pairs = hamming_pairs(values, distance, bits, scratch)
     of = lambda c: values.select(F.col("simhash").alias(c), F.col("rep").alias(f"rep_{c}"))
     links = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     labels = connected_components(links, scratch)

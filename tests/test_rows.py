@@ -94,3 +94,9 @@ def test_scores_on_the_bound_are_those_of_the_sql(spark, tmp_path):
     frames = {"documents": duckdb.connect().sql(f"SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')").df()}
     columns, told = sql_rows(catalogue.ORACLES["search_document_all"], frames=frames)
     assert_same(catalogue.QUERIES["search_document_all"](spark, d), columns, told)
+
+
+def test_simhash_values_are_written_once(spark, sf_dir):
+    """Both sides of the join read a table of values, not the texts."""
+    plan = catalogue.QUERIES["simhash_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "text" not in plan and "bit" in plan
