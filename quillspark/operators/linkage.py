@@ -28,7 +28,11 @@ from quillspark.plans.scratch import Scratch
 
 #: Cells at most, and blocks of points that a cell is for at least: fewer points need no cells.
 PIVOTS, BLOCKS_OF_CELL = 64, 4
-BLOCK = 1024
+#: Cells that a pivot itself would visit, in the mean, beyond which there is one cell only.
+VISITS = 8
+#: Points of a block that leaders gather into balls, of a block of pairs, and of the part of such a
+#: block that is compared at once. Every point travels once for each block that it is compared with.
+BALLS, BLOCK, TILE = 1024, 32_768, 2048
 #: Distances by a matrix product are this near; closer calls are settled by the difference.
 BLUR, EXACT = 1e-9, 1e-12
 
@@ -55,9 +59,11 @@ def _near(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
 
 def _cells(points: DataFrame, n: int, reach: float, scratch: Scratch) -> DataFrame:
     """``cell``, ``home``, ``point``, ``n``, ``v``: every point in each cell that it lives in or visits."""
-    n_pivots = max(1, min(PIVOTS, n // (BLOCKS_OF_CELL * BLOCK)))
+    n_pivots = max(1, min(PIVOTS, n // (BLOCKS_OF_CELL * min(BALLS, BLOCK))))
     chosen = points.orderBy(F.xxhash64("point"), "point").limit(n_pivots).select("vec").collect()
     pivots = np.array([r["vec"] for r in chosen], float)
+    if (_squares(pivots, pivots) <= (2 * reach) ** 2).sum(1).mean() > VISITS:
+        pivots = pivots[:1]  # nearly every point would be written for nearly every cell
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,12 +96,24 @@ def _balls(cells: DataFrame, reach: float) -> DataFrame:
         return pa.table({"point": rows.column("point"), "ball": rows.column("point").take(pa.array(leader)), "held": held[leader]})
 
     homes = cells.where("home")
-    blocks = homes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    blocks = homes.groupBy("cell").agg(F.ceil(F.count("*") / BALLS).alias("blocks"))
     dealt = homes.join(blocks, "cell").withColumn("h", F.pmod(F.xxhash64("point"), F.col("blocks")))
     kind = cells.schema["point"].dataType.simpleString()
     return dealt.select("cell", "h", "point", "n", "v").groupBy("cell", "h").applyInArrow(gather, f"point {kind}, ball {kind}, held bigint")
 
 
+def _told(here: pa.Table, there: pa.Table, reach: float, tell: Told) -> list[pa.Table]:
+    """What is told of two blocks, tile by tile."""
+    out = []
+    for i in range(0, here.num_rows, TILE):
+        x = here.slice(i, TILE).combine_chunks()
+        mx = _matrix(x.column("v"))
+        for j in range(0, there.num_rows, TILE):
+            y = there.slice(j, TILE).combine_chunks()
+            out.append(tell(x, y, _near(mx, _matrix(y.column("v")), reach)))
+    return out
+
+
 def _compared(homes: DataFrame, visits: DataFrame, reach: float, tell: Told, schema: str) -> DataFrame:
     """What ``tell`` says of every block of points that live in a cell, every block of points that
     come to it, and which of them are within reach. Both have cell, point and v, and more."""
@@ -111,7 +129,7 @@ def _compared(homes: DataFrame, visits: DataFrame, reach: float, tell: Told, sch
     def compare(here: pa.Table, there: pa.Table) -> pa.Table:
         if not here.num_rows or not there.num_rows:
             return tell(here.slice(0, 0), there.slice(0, 0), np.zeros((0, 0), bool))
-        return tell(here, there, _near(_matrix(here.column("v")), _matrix(there.column("v")), reach))
+        return pa.concat_tables(_told(here, there, reach, tell))
 
     return x.groupBy("cell", "h", "k").cogroup(y.groupBy("cell", "h", "k")).applyInArrow(compare, schema)
 
