@@ -100,3 +100,20 @@ def test_simhash_values_are_written_once(spark, sf_dir):
     """Both sides of the join read a table of values, not the texts."""
     plan = catalogue.QUERIES["simhash_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in plan and "text" not in plan and "bit" in plan
+
+
+def test_norms_of_the_pivot_are_added_up_once_and_documents_are_not_sorted(spark, monkeypatch):
+    docs, params = documents(spark), features.FeatureParams(weighting="nslp")
+    calls, plain = [], features._norms
+    monkeypatch.setattr(features, "_norms", lambda raw, scheme: calls.append(scheme) or plain(raw, scheme))
+    with_size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = features.weights(docs, params)
+        plan = x._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_size)
+    assert calls == ["nslp"]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    tf = features.term_frequencies(docs, params)
+    assert {(r["doc_id"], r["term"]): r["weight"] for r in x.collect()} == rows(features.fit(docs, params, tf=tf).weigh(tf))
