@@ -117,3 +117,25 @@ def test_norms_of_the_pivot_are_added_up_once_and_documents_are_not_sorted(spark
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     tf = features.term_frequencies(docs, params)
     assert {(r["doc_id"], r["term"]): r["weight"] for r in x.collect()} == rows(features.fit(docs, params, tf=tf).weigh(tf))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    with_size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_size)
+
+
+def by_documents_unsorted(df):
+    """Whether the plan sorts no rows by document, neither for a join nor for a window."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    return not any("Window" in x or ("SortMergeJoin" in x and "doc_id" in x) for x in lines)
+
+
+def test_similarities_to_sparse_centroids_sort_no_weights(spark, monkeypatch, no_broadcast):
+    docs = documents(spark).where("doc_id is not null and doc_id <> 5")
+    met, plain = [], features.looked_up
+    monkeypatch.setattr(features, "looked_up", lambda rows, *more: met.append(rows) or plain(rows, *more))
+    cluster.sparse_similarities(features.weights(docs, catalogue.WORDS), docs.selectExpr("doc_id", "doc_id % 3 as cluster_id")).collect()
+    assert len(met) == 1 and by_documents_unsorted(met[0])
