@@ -139,3 +139,9 @@ def test_similarities_to_sparse_centroids_sort_no_weights(spark, monkeypatch, no
     monkeypatch.setattr(features, "looked_up", lambda rows, *more: met.append(rows) or plain(rows, *more))
     cluster.sparse_similarities(features.weights(docs, catalogue.WORDS), docs.selectExpr("doc_id", "doc_id % 3 as cluster_id")).collect()
     assert len(met) == 1 and by_documents_unsorted(met[0])
+
+
+def test_sparse_centroids_sort_no_weights(spark, no_broadcast):
+    docs = documents(spark)
+    centers = cluster.sparse_centroids(features.weights(docs, catalogue.WORDS), docs.selectExpr("doc_id", "doc_id % 3 as cluster_id"))
+    assert by_documents_unsorted(centers)
