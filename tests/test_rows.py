@@ -145,3 +145,8 @@ def test_sparse_centroids_sort_no_weights(spark, no_broadcast):
     docs = documents(spark)
     centers = cluster.sparse_centroids(features.weights(docs, catalogue.WORDS), docs.selectExpr("doc_id", "doc_id % 3 as cluster_id"))
     assert by_documents_unsorted(centers)
+
+
+def test_top_terms_sort_no_weights(spark, no_broadcast):
+    docs = documents(spark)
+    assert by_documents_unsorted(features.top_terms(features.weights(docs, catalogue.WORDS), docs.where("doc_id < 9"), 5))
