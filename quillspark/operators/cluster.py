@@ -118,17 +118,23 @@ def sparse_centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _centroids(weights: DataFrame, clusters: DataFrame) -> DataFrame:
-    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
     # the ids are the hashed side, so that the weights are not sorted
-    sums = weights.join(clusters.hint("shuffle_hash"), "doc_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("s"), F.count("*").alias("postings"))
+    return _means(weights.join(clusters.hint("shuffle_hash"), "doc_id"), clusters)
+
+
+def _means(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``cluster_id``, ``term``, ``weight`` and ``postings`` from weights that tell their cluster."""
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    sums = rows.groupBy("cluster_id", "term").agg(F.sum("weight").alias("s"), F.count("*").alias("postings"))
     return sums.join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("n")).alias("weight"), "postings")
 
 
 def sparse_similarities(weights: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The same as ``similarities`` over long tables; documents without terms have none."""
+    """The same as ``similarities`` over long tables; documents without terms have none. The weights
+    are read for the centroids and twice for the products: they are written, not made three times."""
     scratch = Scratch(weights.sparkSession, "sparse")
-    rows = weights.join(clusters.hint("shuffle_hash"), "doc_id").select("doc_id", "cluster_id", "term", "weight")
-    centers = scratch.save(_centroids(weights, clusters).withColumnRenamed("weight", "m"), "centers")
+    rows = scratch.save(weights.join(clusters.hint("shuffle_hash"), "doc_id").select("doc_id", "cluster_id", "term", "weight"), "weights")
+    centers = scratch.save(_means(rows, clusters).withColumnRenamed("weight", "m"), "centers")
     c_norm = centers.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("c_norm"))
     met = features.looked_up(rows, centers, ["cluster_id", "term"], "postings")
     dots = met.groupBy("doc_id", "cluster_id").agg(F.sum(F.col("weight") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))

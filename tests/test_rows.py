@@ -150,3 +150,12 @@ def test_sparse_centroids_sort_no_weights(spark, no_broadcast):
 def test_top_terms_sort_no_weights(spark, no_broadcast):
     docs = documents(spark)
     assert by_documents_unsorted(features.top_terms(features.weights(docs, catalogue.WORDS), docs.where("doc_id < 9"), 5))
+
+
+def test_similarities_to_sparse_centroids_make_the_weights_once(spark, monkeypatch):
+    docs = documents(spark).where("doc_id is not null and doc_id <> 5")
+    met, plain = [], features.looked_up
+    monkeypatch.setattr(features, "looked_up", lambda rows, *more: met.append(rows) or plain(rows, *more))
+    cluster.sparse_similarities(features.weights(docs, catalogue.WORDS), docs.selectExpr("doc_id", "doc_id % 3 as cluster_id")).collect()
+    plan = met[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "Join" not in plan and "collect_list" not in plan
