@@ -40,7 +40,9 @@ def hamming_pairs(hashes: DataFrame, distance: int = 1, bits: int = BITS, scratc
 
     Values are cut into blocks, and for each set of blocks that must agree they meet by those:
     for 3 of 64 bits six blocks, twenty tables and keys of 32 bits, so that few values meet by
-    chance in any table. Documents with equal values are one value here: expand by the hash.
+    chance in any table. A pair is told by the first table in which it meets. The written values are
+    few bytes, but dealt to the tables they are many rows: neither side is ever told to all tasks,
+    which the driver would have to hold. Documents with equal values are one value here: expand by the hash.
     """
     if not 0 <= distance < bits:
         raise ValueError(f"distance lies in [0, {bits})")
@@ -48,13 +50,16 @@ def hamming_pairs(hashes: DataFrame, distance: int = 1, bits: int = BITS, scratc
     cuts = [bits * k // n for k in range(n + 1)]
     of = lambda chosen: sum(((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in chosen)
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("v").bitwiseAND(F.lit(signed(of(chosen))).cast("long")).alias("x")) for k, chosen in enumerate(tables)])
+    masks = [F.lit(signed(of(chosen))).cast("long") for chosen in tables]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("v").bitwiseAND(mask).alias("x")) for k, mask in enumerate(masks)])
     # written, so that the texts are read and hashed once and the sizes of what is joined are known
     values = (scratch or Scratch(hashes.sparkSession, "hamming")).save(hashes.select(F.col("simhash").alias("v")).distinct(), "distinct", narrow=True)
     dealt = values.select("v", F.explode(keys).alias("key")).select("v", "key.k", "key.x")
     left, right = dealt.withColumnRenamed("v", "a"), dealt.withColumnRenamed("v", "b")
-    d = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["k", "x"]).where("a < b").select("a", "b", d.cast("int").alias("distance")).where(F.col("distance") <= distance).distinct()
+    other = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(other.bitwiseAND(mask) == 0, F.lit(k)) for k, mask in enumerate(masks)])
+    met = left.hint("merge").join(right, ["k", "x"]).where((F.col("a") < F.col("b")) & (F.bit_count(other) <= distance) & (F.col("k") == first))
+    return met.select("a", "b", F.bit_count(other).cast("int").alias("distance"))
 
 
 def simhash_clusters(hashes: DataFrame, distance: int = 1, bits: int = BITS) -> DataFrame:

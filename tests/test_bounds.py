@@ -1,10 +1,12 @@
 """Searches whose scores lie on the bound of their SQL, and searches that hold all pairs in no shuffle."""
 
 import math
+import random
 
 import duckdb
 import pytest
 
+from quillspark.operators import duplicates
 from quillspark.plans import catalogue
 from tests.comparing import assert_same, sql_rows
 
@@ -27,3 +29,19 @@ def test_search_document_on_the_bound(spark, tmp_path, common, own):
     columns, told = sql_rows(catalogue.ORACLES["search_document"], frames=frames)
     assert math.isclose(told[0][1], 0.05, abs_tol=0.01)
     assert_same(catalogue.QUERIES["search_document"](spark, str(tmp_path)), columns, told)
+
+
+@pytest.mark.parametrize(("distance", "bits"), [(0, 64), (1, 64), (3, 64), (2, 16)])
+def test_hamming_pairs_without_broadcast(spark, distance, bits):
+    """Each pair once, and no side in the driver, however few bytes the written values take."""
+    rng = random.Random(4)
+    values = {rng.getrandbits(bits) for _ in range(60)}
+    for v in list(values):
+        values |= {v ^ sum(1 << b for b in rng.sample(range(bits), k)) for k in (1, 2, 3)}
+    values = sorted(v - (1 << 64) if v >= 1 << 63 else v for v in values)
+    df = duplicates.hamming_pairs(spark.createDataFrame([(v,) for v in values], "simhash long"), distance, bits)
+    of = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    told = [(a, b, of(a, b)) for i, a in enumerate(values) for b in values[i + 1 :] if of(a, b) <= distance]
+    assert sorted(map(tuple, df.collect())) == told
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
