@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from quillspark.operators import duplicates
+from quillspark.operators import duplicates, products
 from quillspark.plans import catalogue
 from tests.comparing import assert_same, sql_rows
 
@@ -45,3 +45,25 @@ def test_hamming_pairs_without_broadcast(spark, distance, bits):
     assert sorted(map(tuple, df.collect())) == told
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_search_document_all_shuffles_no_pairs(spark, sf_dir):
+    """Before, a row per query, document and common term was shuffled."""
+    df = catalogue.QUERIES["search_document_all"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("limits", [{}, {"POSTINGS": 60, "CHUNK": 7, "HELD": 20}, {"ROWS": 3, "DENSE": 0.2, "DENSE_TERMS": 2}])
+@pytest.mark.parametrize("above", [None, 0.3])
+def test_pairs_are_those_of_a_full_scan(spark, monkeypatch, limits, above):
+    for name, value in limits.items():
+        monkeypatch.setattr(products, name, value)
+    rng = random.Random(8)
+    of = lambda n: [(i, {f"t{int(30 * rng.random() ** 2)}": rng.random() for _ in range(rng.randrange(0, 6))}) for i in range(n)]
+    docs, queries = of(80) + [(3, {"t1": 0.9})], of(25)
+    frame = lambda rows, key: spark.createDataFrame([(i, list(w.items())) for i, w in rows], f"{key} long, terms array<struct<term:string,weight:double>>")
+    got = products.pairs(frame(docs, "doc_id"), frame(queries, "query_id"), above).collect()
+    dots = [(q, i, sum(x * w.get(t, 0) for t, x in v.items())) for q, v in queries for i, w in docs]
+    told = sorted(x for x in dots if above is None or x[2] > above)
+    assert sorted(map(tuple, got)) == [(q, i, pytest.approx(s)) for q, i, s in told]
