@@ -4,6 +4,7 @@ import math
 import random
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from quillspark.operators import duplicates, products
@@ -67,3 +68,16 @@ def test_pairs_are_those_of_a_full_scan(spark, monkeypatch, limits, above):
     dots = [(q, i, sum(x * w.get(t, 0) for t, x in v.items())) for q, v in queries for i, w in docs]
     told = sorted(x for x in dots if above is None or x[2] > above)
     assert sorted(map(tuple, got)) == [(q, i, pytest.approx(s)) for q, i, s in told]
+
+
+def test_search_scales_all_asks_every_item(spark, tmp_path):
+    """Before, only items divisible by 100. Rows without an id, text or known word are rows too, repeated documents rows each."""
+    d = str(tmp_path)
+    texts = [(1, "red red blue"), (2, "blue green"), (3, None), (4, "x"), (5, "red"), (5, "green green"), (None, "red blue"), (None, None)]
+    items = spark.createDataFrame([(0, "red blue"), (7, "green unknown"), (7, "blue"), (8, "unknown"), (9, None), (None, "red")], "item_id long, text string")
+    items.coalesce(1).write.parquet(f"{d}/benchmark.parquet")
+    write_documents(spark, d, texts)
+    frames = {t: pq.read_table(f"{d}/{t}.parquet") for t in ("documents", "benchmark")}
+    columns, told = sql_rows(catalogue.ORACLES["search_scales_all"], frames=frames)
+    assert len(told) == 8 * 5
+    assert_same(catalogue.QUERIES["search_scales_all"](spark, d), columns, told)
