@@ -31,8 +31,8 @@ PIVOTS, BLOCKS_OF_CELL = 64, 4
 #: Cells that a pivot itself would visit, in the mean, beyond which there is one cell only.
 VISITS = 8
 #: Points of a block that leaders gather into balls, of a block of pairs, and of the part of such a
-#: block that is compared at once. Every point travels once for each block that it is compared with.
-BALLS, BLOCK, TILE = 1024, 32_768, 2048
+#: block that is compared at once: near points, few enough for the processor's cache. Every point travels once for each block that it is compared with.
+BALLS, BLOCK, TILE = 1024, 32_768, 512
 #: Distances by a matrix product are this near; closer calls are settled by the difference.
 BLUR, EXACT = 1e-9, 1e-12
 
@@ -102,16 +102,34 @@ def _balls(cells: DataFrame, reach: float) -> DataFrame:
     return dealt.select("cell", "h", "point", "n", "v").groupBy("cell", "h").applyInArrow(gather, f"point {kind}, ball {kind}, held bigint")
 
 
+def _tiles(x: np.ndarray) -> list[np.ndarray]:
+    """Places of rows in tiles: halves by the coordinate that varies most, again and again."""
+    done, rest = [], [np.arange(len(x))]
+    while rest:
+        at = rest.pop()
+        if len(at) <= TILE:
+            done.append(at)
+            continue
+        axis = x[at].var(axis=0).argmax()
+        at = at[np.argpartition(x[at, axis], len(at) // 2)]
+        rest += [at[: len(at) // 2], at[len(at) // 2 :]]
+    return done
+
+
 def _told(here: pa.Table, there: pa.Table, reach: float, tell: Told) -> list[pa.Table]:
-    """What is told of two blocks, tile by tile."""
-    out = []
-    for i in range(0, here.num_rows, TILE):
-        x = here.slice(i, TILE).combine_chunks()
-        mx = _matrix(x.column("v"))
-        for j in range(0, there.num_rows, TILE):
-            y = there.slice(j, TILE).combine_chunks()
-            out.append(tell(x, y, _near(mx, _matrix(y.column("v")), reach)))
-    return out
+    """What is told of two blocks, tile by tile. Tiles whose boxes are more than the reach apart have no
+    near points."""
+    out, x, y = [], _matrix(here.column("v")), _matrix(there.column("v"))
+    here, there, others = here.drop_columns("v"), there.drop_columns("v"), _tiles(y)
+    low, high = (np.stack([f(y[j], 0) for j in others]) for f in (np.min, np.max))
+    for i in _tiles(x):
+        apart = np.maximum(np.maximum(low - x[i].max(0), x[i].min(0) - high), 0)
+        own = here.take(pa.array(i)).combine_chunks()
+        for k in np.flatnonzero((apart * apart).sum(1) <= reach * reach + BLUR):
+            near = _near(x[i], y[others[k]], reach)
+            if near.any():
+                out.append(tell(own, there.take(pa.array(others[k])).combine_chunks(), near))
+    return out or [tell(here.slice(0, 0), there.slice(0, 0), np.zeros((0, 0), bool))]
 
 
 def _compared(homes: DataFrame, visits: DataFrame, reach: float, tell: Told, schema: str) -> DataFrame:
@@ -136,7 +154,9 @@ def _compared(homes: DataFrame, visits: DataFrame, reach: float, tell: Told, sch
 
 def _counts(here: pa.Table, there: pa.Table, near: np.ndarray) -> pa.Table:
     """Points in reach, copies counted, itself included."""
-    return pa.table({"point": here.column("point"), "around": near @ there.column("n").to_numpy() if here.num_rows else pa.array([], pa.int64())})
+    i, j = np.nonzero(near)
+    around = np.bincount(i, there.column("n").to_numpy()[j], here.num_rows).astype(np.int64)
+    return pa.table({"point": here.column("point"), "around": around})
 
 
 def _forest(here: pa.Table, there: pa.Table, near: np.ndarray) -> pa.Table:
@@ -147,10 +167,10 @@ def _forest(here: pa.Table, there: pa.Table, near: np.ndarray) -> pa.Table:
     code = order[code]  # nodes by rank, so that the least number is the least node
     a, b = code[: here.num_rows], code[here.num_rows :]
     root = np.arange(len(names))
-    linked = np.zeros((len(names), len(names)), bool)
-    for k in np.unique(a):
-        linked[k, b[near[a == k].any(axis=0)]] = True
-    i, j = np.nonzero(linked | linked.T)
+    i, j = np.nonzero(near)
+    links = np.unique((a[i] * len(names) + b[j])[a[i] != b[j]])
+    i, j = np.divmod(links, max(len(names), 1))
+    i, j = np.concatenate([i, j]), np.concatenate([j, i])
     while len(i):
         before = root.copy()
         np.minimum.at(root, i, root[j])
